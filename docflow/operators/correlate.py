@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docflow.config import DEFAULTS, Params
 from docflow.operators.pairs import SIDES, common_norm, cross_pair_counts
 from docflow.operators.skew import hot_keys, lookup_join, salted_join
+from docflow.session import cut_lineage
 
 VALUE_RULES = ("SAME_KEY_VALUE_PAIR", "SAME_VALUE")
 
@@ -56,6 +57,8 @@ def rule_overlap(rows: DataFrame, rules: DataFrame, several: bool = True) -> Dat
     named = rules.where(F.col("rule_type").isin(*VALUE_RULES)).select(*SIDES, "rule_type", "n")
     mode = F.when(F.col("rule_type") == "SAME_VALUE", "v:").otherwise("k:")
     named = named.withColumn("_f1", F.concat(mode, "key_1")).withColumn("_f2", F.concat(mode, "key_2"))
+    # A table over keys, used six times below: computed once.
+    named = cut_lineage(named)
     cols = ["key_1", "key_2", "rule_type", "n", "_f1", "_f2"]
     rule_a = named.select("cluster_1", "cluster_2", *[F.col(c).alias(c + "_a") for c in cols])
     rule_b = named.select("cluster_1", "cluster_2", *[F.col(c).alias(c + "_b") for c in cols])

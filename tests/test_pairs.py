@@ -54,7 +54,7 @@ def _rules(rows):
     return pairs
 
 
-@pytest.mark.parametrize("heavy", [10_000, 3, 1, 0])
+@pytest.mark.parametrize("heavy", [10_000, 1, 0])
 def test_rule_counts_match_brute_force(data, heavy):
     rows, frame = data
     expected = {k: len(v) for k, v in _rules(rows).items()}
@@ -62,7 +62,7 @@ def test_rule_counts_match_brute_force(data, heavy):
     assert got == expected
 
 
-@pytest.mark.parametrize("heavy", [10_000, 2, 0])
+@pytest.mark.parametrize("heavy", [10_000, 1])
 def test_same_type_counts_match_brute_force(spark, data, heavy):
     rows, _ = data
     scoped = [(doc % 2, doc, c, k, v) for doc, c, k, v in rows]
@@ -93,7 +93,8 @@ def test_overlap_matches_brute_force(data):
         key = frozenset([(r["key_1_a"], r["key_2_a"], r["rule_type_a"]), (r["key_1_b"], r["key_2_b"], r["rule_type_b"])])
         got[(r["cluster_1"], r["cluster_2"], key)] = (r["n_both"], round(r["jaccard"], 9))
     assert got == expected
-    assert corroborated(rule_overlap(frame, rules)).count() >= 0
+    good = {(a, b) for (a, b, _), (_, j) in expected.items() if j > 0.5}
+    assert {(r[0], r[2]) for r in corroborated(rule_overlap(frame, rules)).collect()} == good
 
 
 def test_blocks_and_same_key(data):
