@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from docflow.config import DEFAULTS, Params
 from docflow.operators.leaves import MAX_DEPTH
@@ -56,7 +57,7 @@ def array_profiles(
     spark = documents.sparkSession
     cur = documents.select(
         *keep, F.lit("").alias("path"), content.alias("v"), F.lit(None).alias("_done")
-    ).where(F.col("v").isNotNull())
+    )
     profile_type = None
     for _ in range(max_depth):
         schema = F.schema_of_variant("v")
@@ -65,10 +66,7 @@ def array_profiles(
         cur = cur.withColumn("_p", profile)
         if profile_type is None:
             profile_type = cur.schema["_p"].dataType
-            cur = cur.withColumn("_done", F.array().cast("array<string>").cast("array<string>"))
-            cur = cur.withColumn(
-                "_done", F.filter(F.array(F.lit(None).cast(profile_type)), lambda x: x.isNotNull())
-            )
+            cur = cur.withColumn("_done", F.lit(None).cast(ArrayType(profile_type)))
         exploded = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
         stop = F.col("pos").isNull()
         field = F.col("key").isNotNull()
@@ -77,18 +75,17 @@ def array_profiles(
             F.concat("path", F.lit("."), "key")
         )
         indexed = F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-        none = F.filter("_done", lambda x: F.lit(False))
-        kept = F.when(first, F.col("_done")).otherwise(none)
-        grown = F.when(
-            first & F.col("_p").isNotNull(), F.concat(kept, F.array("_p"))
-        ).otherwise(kept)
+        # Null stands for "no profile carried"; only the row of a first entry carries them on.
+        carried = F.when(first, F.col("_done"))
+        found = F.when(first & F.col("_p").isNotNull(), F.array("_p"))
+        grown = F.when(carried.isNull(), found).when(found.isNull(), carried).otherwise(F.concat(carried, found))
         cur = exploded.select(
             *keep,
             F.when(stop, F.col("path")).when(field, dotted).otherwise(indexed).alias("path"),
             F.when(stop, F.col("v")).otherwise(F.col("value")).alias("v"),
             grown.alias("_done"),
         )
-    return cur.where(F.size("_done") > 0).select(*keep, F.explode("_done").alias("_p")).select(
+    return cur.where(F.col("_done").isNotNull()).select(*keep, F.explode("_done").alias("_p")).select(
         *keep, "_p.*"
     )
 

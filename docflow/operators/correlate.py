@@ -290,3 +290,28 @@ def entry_claims(reference: DataFrame) -> DataFrame:
 def unused(documents: DataFrame, case_docs: DataFrame) -> DataFrame:
     """Documents in no case."""
     return documents.join(case_docs.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def entry_links(entries: DataFrame, keys: list[str] | None = None, min_rows: int | None = None) -> DataFrame:
+    """Edges between array entries of different documents that share a value of a correlating key.
+
+    `entries`: doc_id, entry_idx, key, norm.  Entries holding the value form a hub and are linked to its
+    smallest entry: doc_id, entry_idx, to_doc, to_entry, key.
+    """
+    rows = entries if keys is None else entries.where(F.col("key").isin(keys))
+    rows = rows.select("doc_id", "entry_idx", "key", "norm").distinct()
+    hubs = (
+        rows.groupBy("key", "norm")
+        .agg(
+            F.min(F.struct("doc_id", "entry_idx")).alias("_to"),
+            F.max("doc_id").alias("_last"),
+        )
+        .where(F.col("_to.doc_id") < F.col("_last"))
+        .select("key", "norm", "_to")
+    )
+    return (
+        lookup_join(rows, hubs, ["key", "norm"], min_rows=min_rows)
+        .where(F.struct("doc_id", "entry_idx") != F.col("_to"))
+        .select("doc_id", "entry_idx", F.col("_to.doc_id").alias("to_doc"), F.col("_to.entry_idx").alias("to_entry"), "key")
+        .distinct()
+    )

@@ -41,7 +41,7 @@ def walk(documents: DataFrame, keep: list[str] | None = None, max_depth: int = M
         none_int.alias("list_idx"),
         F.lit(False).alias("in_list"),
         content.alias("v"),
-    ).where(F.col("v").isNotNull())
+    )
     for _ in range(max_depth):
         exploded = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
         stop = F.col("pos").isNull()
@@ -87,7 +87,8 @@ def leaves(documents: DataFrame, keep: list[str] | None = None, max_depth: int =
     empty = schema.isin("OBJECT<>", "ARRAY<VOID>") & (F.to_json("v").isin("{}", "[]"))
     text = F.try_variant_get("v", "$", "string")
     out = (
-        opened.where(~empty)
+        # Malformed content is a null value here; testing it before the walk would parse it twice.
+        opened.where(F.col("v").isNotNull() & ~empty)
         .withColumn("vtype", vtype)
         .withColumn(
             "value",

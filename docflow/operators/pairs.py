@@ -69,7 +69,10 @@ def _set_pairs(
     same: bool,
     heavy: int,
 ) -> DataFrame:
-    """Pairs of documents with several values each that share a value: scope, SIDES, rule_type, n."""
+    """Pairs of documents with several values each that share a value: scope, rule_id, n.
+
+    Rows are narrow (hashes and counts); `rule_id` stands for SIDES and rule type.
+    """
     by = ["cluster", "key"]
     cells = (
         sets.where(F.col("_k") > 1)
@@ -91,7 +94,7 @@ def _set_pairs(
         .withColumn("_hp", F.bit_xor(F.when(F.col("_heavy"), F.xxhash64("norm", F.lit(43)))).over(one_set))
         .withColumn("_hp", F.coalesce("_hp", F.lit(0)))
     )
-    out = [*scope, *SIDES, "rule_type"]
+    out = [*scope, "rule_id"]
 
     def meet(table: DataFrame, ids: list[str]) -> DataFrame:
         cols = [*by, *ids, "n"]
@@ -102,7 +105,7 @@ def _set_pairs(
             met = met.where(equal & (first <= second))
         else:
             met = met.where(F.col("cluster_1") < F.col("cluster_2"))
-        met = met.withColumn("rule_type", kind(F.col("key_1"), F.col("key_2"), F.col("norm")))
+        met = met.withColumn("rule_id", _rule_id(kind(F.col("key_1"), F.col("key_2"), F.col("norm"))))
         return met.select(*out, *[i + s for s in ("_1", "_2") for i in ids], "n_1", "n_2").distinct()
 
     def total(met: DataFrame, ids: list[str]) -> DataFrame:
@@ -123,7 +126,16 @@ def _set_pairs(
         )
     light = marked.where(~F.col("_heavy")).drop("_heavy")
     light_met = meet(light, ["_g1", "_g2", "_hp"]).join(found, [*out, "_hp_1", "_hp_2"], "left_anti")
-    return total(heavy_met, ["_hp"]).unionByName(total(light_met, ["_g1", "_g2"]))
+    return (
+        total(heavy_met, ["_hp"])
+        .unionByName(total(light_met, ["_g1", "_g2"]))
+        .groupBy(*out)
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def _rule_id(rule_type_col: Column) -> Column:
+    return F.xxhash64(*SIDES, rule_type_col)
 
 
 def cross_pair_counts(
@@ -151,10 +163,12 @@ def cross_pair_counts(
         .agg(F.sum(F.col("t_1") * F.col("t_2") - F.col("m_1") * F.col("m_2")).alias("n"))
     )
     if several:
+        # Every rule met by two sets is met by two cells as well, so `single` names all rules.
+        more = _set_pairs(sets, [], kind, False, heavy).withColumnRenamed("n", "_more")
         single = (
-            single.unionByName(_set_pairs(sets, [], kind, False, heavy))
-            .groupBy(*SIDES, "rule_type")
-            .agg(F.sum("n").alias("n"))
+            single.withColumn("rule_id", _rule_id(F.col("rule_type")))
+            .join(more, "rule_id", "left")
+            .select(*SIDES, "rule_type", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n"))
         )
     return single.where(F.col("n") > 0)
 
@@ -172,13 +186,12 @@ def same_type_pair_counts(
     cells = _cells(sets, [*scope, *by])
     choose = F.col("t") * (F.col("t") - 1) / 2 - F.col("m") * (F.col("m") - 1) / 2
     single = cells.groupBy(*scope, *by).agg(F.sum(choose.cast("long")).alias("n"))
-    several = _set_pairs(sets, scope, lambda a, b, v: F.lit("ANY"), True, heavy).select(
-        *scope, F.col("cluster_1").alias("cluster"), F.col("key_1").alias("key"), "n"
-    )
+    more = _set_pairs(sets, scope, lambda a, b, v: F.lit("ANY"), True, heavy).withColumnRenamed("n", "_more")
+    own_id = F.xxhash64("cluster", "key", "cluster", "key", F.lit("ANY"))
     return (
-        single.unionByName(several)
-        .groupBy(*scope, *by)
-        .agg(F.sum("n").alias("n"))
+        single.withColumn("rule_id", own_id)
+        .join(more, [*scope, "rule_id"], "left")
+        .select(*scope, *by, (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n"))
         .where(F.col("n") > 0)
     )
 
