@@ -8,13 +8,17 @@ from docflow.config import DEFAULTS, Params
 from docflow.operators.leaves import MAX_DEPTH
 
 
-def _profile(v: Column, path: Column, threshold: float) -> Column:
+def _entry_keys(v: Column) -> Column:
+    """Sorted keys of every entry when `v` is a non-empty array of objects, else null."""
+    entries = F.try_variant_get(v, "$", "array<map<string,variant>>")
+    return F.transform(entries, lambda e: F.array_sort(F.map_keys(e)))
+
+
+def _profile(keys: Column, path: Column, threshold: float) -> Column:
     """Key profile of one array of objects, computed on the row that holds it.
 
     Every entry is compared with the first one (Jaccard of the key sets).
     """
-    entries = F.try_variant_get(v, "$", "array<map<string,variant>>")
-    keys = F.transform(entries, lambda e: F.array_sort(F.map_keys(e)))
     base = F.element_at(keys, 1)
     rest = F.slice(keys, 2, F.greatest(F.size(keys) - 1, F.lit(0)))
 
@@ -24,15 +28,17 @@ def _profile(v: Column, path: Column, threshold: float) -> Column:
 
     similarities = F.transform(rest, jaccard)
     uniform = (F.size(keys) >= 2) & F.forall(similarities, lambda s: s >= threshold)
+    # Entries mostly repeat a few key sets, so the differences are taken over distinct ones.
+    kinds = F.array_distinct(rest)
     return F.struct(
         path.alias("path"),
         F.size(keys).alias("n_entries"),
         base.alias("base_keys"),
         F.transform(similarities, lambda s: F.round(s, 3)).alias("similarities"),
-        F.array_distinct(F.flatten(F.transform(rest, lambda k: F.array_except(base, k)))).alias(
+        F.array_distinct(F.flatten(F.transform(kinds, lambda k: F.array_except(base, k)))).alias(
             "missing_keys"
         ),
-        F.array_distinct(F.flatten(F.transform(rest, lambda k: F.array_except(k, base)))).alias(
+        F.array_distinct(F.flatten(F.transform(kinds, lambda k: F.array_except(k, base)))).alias(
             "extra_keys"
         ),
         uniform.alias("is_uniform"),
@@ -60,10 +66,11 @@ def array_profiles(
     )
     profile_type = None
     for _ in range(max_depth):
-        schema = F.schema_of_variant("v")
-        objects = schema.startswith("ARRAY<OBJECT")
-        profile = F.when(objects, _profile(F.col("v"), F.col("path"), params.similarity_threshold))
-        cur = cur.withColumn("_p", profile)
+        # The keys are a column of their own: the profile reads them many times.
+        cur = cur.withColumn("_keys", _entry_keys(F.col("v")))
+        objects = (F.size("_keys") > 0) & F.forall("_keys", lambda k: k.isNotNull())
+        profile = F.when(objects, _profile(F.col("_keys"), F.col("path"), params.similarity_threshold))
+        cur = cur.withColumn("_p", profile).drop("_keys")
         if profile_type is None:
             profile_type = cur.schema["_p"].dataType
             cur = cur.withColumn("_done", F.lit(None).cast(ArrayType(profile_type)))

@@ -184,31 +184,36 @@ def key_classes(rows: DataFrame, n_docs: int | None = None, params: Params = DEF
     sum over values, and a value's part needs only the number of documents per set size, so documents
     are never paired.
     """
-    sizes = rows.groupBy("key", "doc_id").agg(F.count_distinct("norm").alias("size"))
-    holders = sizes.groupBy("key").agg(F.count("*").alias("n_docs"))
-    if n_docs is None:
-        n_all = rows.agg(F.count_distinct("doc_id").alias("n_all")).scalar()
-    else:
-        n_all = F.lit(n_docs)
+    # A document's values under one key came out of one row, so this window stays small.
+    own = Window.partitionBy("key", "doc_id")
     per_size = (
         rows.select("key", "doc_id", "norm")
-        .distinct()
-        .join(sizes, ["key", "doc_id"])
+        .withColumn("size", F.count("*").over(own))
         .groupBy("key", "norm", "size")
         .agg(F.count("*").alias("c"))
     )
+    if n_docs is None:
+        n_all = rows.agg(F.count_distinct("doc_id").alias("n_all")).scalar()
+    else:
+        n_all = F.lit(n_docs)
     larger = (
         Window.partitionBy("key", "norm").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     )
     part = (F.col("c") * F.coalesce(F.sum("c").over(larger), F.lit(0)) + F.col("c") * (F.col("c") - 1) / 2) / F.col(
         "size"
     )
-    shared = per_size.withColumn("_part", part).groupBy("key").agg(F.sum("_part").alias("_sum"))
+    # Every document of a given size stands in exactly that many rows, which counts the documents.
+    shared = (
+        per_size.withColumn("_part", part)
+        .groupBy("key", "size")
+        .agg(F.sum("_part").alias("_part"), F.sum("c").alias("_rows"))
+        .groupBy("key")
+        .agg(F.sum("_part").alias("_sum"), F.sum((F.col("_rows") / F.col("size")).cast("long")).alias("n_docs"))
+    )
     pairs = F.col("n_docs") * (F.col("n_docs") - 1) / 2
     overlap = F.when(pairs > 0, F.col("_sum") / pairs).otherwise(F.lit(0.0))
     out = (
-        holders.join(shared, "key")
-        .select(
+        shared.select(
             "key",
             "n_docs",
             (F.col("n_docs") / n_all).alias("coverage"),
