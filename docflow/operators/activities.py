@@ -11,6 +11,7 @@ from docflow.config import DEFAULTS, Params
 from docflow.functions.names import activity_name
 from docflow.operators.graph import components
 from docflow.operators.relations import PAIR, RULE, set_overlap
+from docflow.operators.skew import lookup_join, small_join
 from docflow.session import cut_lineage
 
 OBJECT = ["cluster", "variant"]
@@ -82,8 +83,7 @@ def content_activities(
     ids = io.select("activity_id").distinct()
     rules = accepted.select(activity_id().alias("activity_id"), *RULE).distinct().join(ids, "activity_id", "left_semi")
     evidence = (
-        instances.withColumn("activity_id", activity_id())
-        .join(rules, ["activity_id", *RULE], "left_semi")
+        small_join(instances.withColumn("activity_id", activity_id()), rules, ["activity_id", *RULE], "left_semi")
         .select("activity_id", "case_id", *RULE, "ts_1", "ts_2", "doc_1", "doc_2")
     )
     return io, rules, evidence
@@ -114,9 +114,9 @@ def attribute_weights(rules: DataFrame) -> DataFrame:
 def temporal_proximity(evidence: DataFrame, spans: DataFrame) -> DataFrame:
     """Mean exp(-pair time / case duration) per activity.  `spans`: case_id, span_s."""
     gap = F.abs(F.unix_micros(F.col("ts_1").cast("timestamp")) - F.unix_micros(F.col("ts_2").cast("timestamp"))) / 1e6
+    timed = evidence.where(F.col("ts_1").isNotNull() & F.col("ts_2").isNotNull())
     return (
-        evidence.where(F.col("ts_1").isNotNull() & F.col("ts_2").isNotNull())
-        .join(spans.where(F.col("span_s") > 0), "case_id")
+        lookup_join(timed, spans.where(F.col("span_s") > 0), ["case_id"])
         .groupBy("activity_id")
         .agg(F.avg(F.exp(-gap / F.col("span_s"))).alias("proximity"))
     )
@@ -425,7 +425,8 @@ def apply_merge(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """io, rules and evidence of the merged activities, as set unions."""
     def moved(df: DataFrame) -> DataFrame:
-        return df.join(groups, "activity_id").drop("activity_id").withColumnRenamed("merged_id", "activity_id")
+        moved_rows = small_join(df, groups, ["activity_id"]).drop("activity_id")
+        return moved_rows.withColumnRenamed("merged_id", "activity_id")
 
     return moved(io).distinct(), moved(rules).distinct(), moved(evidence).distinct()
 

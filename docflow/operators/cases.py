@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.operators.skew import number_rows
+from docflow.operators.skew import hot_keys, lookup_join, number_rows
 
 
 def case_documents(
@@ -84,12 +84,14 @@ def case_stats(case_docs: DataFrame) -> DataFrame:
 def repeat_index(case_docs: DataFrame, order: tuple = ("final_ts", "doc_id"), hot=None) -> DataFrame:
     """Number repeated types of a case by time: variant_id from 0, and the flags `has_variants` (more
     than one document of the type) and `multiple` (fewer different times than documents)."""
-    numbered = number_rows(case_docs, ["case_id", "cluster"], list(order), "_no", hot)
-    counts = case_docs.groupBy("case_id", "cluster").agg(
+    by = ["case_id", "cluster"]
+    hot = hot_keys(case_docs, by) if hot is None else hot
+    numbered = number_rows(case_docs, by, list(order), "_no", hot)
+    counts = case_docs.groupBy(*by).agg(
         F.count("*").alias("_n"), F.count_distinct("final_ts").alias("_times")
     )
     return (
-        numbered.join(counts, ["case_id", "cluster"])
+        lookup_join(numbered, counts, by, hot=hot)
         .withColumn("variant_id", F.col("_no") - 1)
         .withColumn("has_variants", F.col("_n") > 1)
         .withColumn("multiple", F.col("_times") < F.col("_n"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Params
 from docflow.operators.pairs import SIDES, common_norm, cross_pair_counts
-from docflow.operators.skew import hot_keys, lookup_join, salted_join
+from docflow.operators.skew import hot_keys, lookup_join, salted_join, small_join
 from docflow.session import cut_lineage
 
 VALUE_RULES = ("SAME_KEY_VALUE_PAIR", "SAME_VALUE")
@@ -77,7 +77,7 @@ def rule_overlap(rows: DataFrame, rules: DataFrame, several: bool = True) -> Dat
     left = moded.select("doc_id", "cluster", F.col("_f").alias("_fa"), F.col("norm").alias("_va"))
     right = moded.select("doc_id", "cluster", F.col("_f").alias("_fb"), F.col("norm").alias("_vb"))
     combined = (
-        left.join(wanted, ["cluster", "_fa"])
+        small_join(left, wanted, ["cluster", "_fa"])
         .join(right, ["doc_id", "cluster", "_fb"])
         .select(
             "doc_id",
@@ -244,7 +244,7 @@ def links(rows: DataFrame, accepted: DataFrame, extra: list[str] | None = None,
     sides = accepted.select(rule_id.alias("rule_id"), F.col("cluster_1").alias("cluster"), F.col("key_1").alias("key"), F.lit(1).alias("side")).union(
         accepted.select(rule_id, "cluster_2", "key_2", F.lit(2))
     )
-    held = rows.join(sides, ["cluster", "key"]).select(*extra, "doc_id", "rule_id", "norm", "side")
+    held = small_join(rows, sides, ["cluster", "key"]).select(*extra, "doc_id", "rule_id", "norm", "side")
     on = [*extra, "rule_id", "norm"]
     hubs = (
         held.groupBy(*on)
@@ -270,10 +270,10 @@ def reference_links(
     turned = turned.withColumn("rule_id", rule_id)
     own = turned.select("rule_id", F.col("cluster_1").alias("cluster"), F.col("key_1").alias("key"))
     other = turned.select("rule_id", F.col("cluster_2").alias("cluster"), F.col("key_2").alias("key"))
-    left = case_rows.select("case_id", "cluster", "key", "norm").distinct().join(own, ["cluster", "key"])
-    left = left.select("case_id", "rule_id", "norm")
+    left = small_join(case_rows.select("case_id", "cluster", "key", "norm"), own, ["cluster", "key"]).distinct()
+    left = left.select("case_id", "rule_id", "norm").distinct()
     right = reference_rows.select("doc_id", "cluster", "key", "norm", "entry_idx").distinct()
-    right = right.join(other, ["cluster", "key"]).select("rule_id", "norm", "doc_id", "cluster", "entry_idx")
+    right = small_join(right, other, ["cluster", "key"]).select("rule_id", "norm", "doc_id", "cluster", "entry_idx")
     return (
         salted_join(left, right, ["rule_id", "norm"], hot_keys(left, ["rule_id", "norm"], min_rows))
         .select("case_id", "doc_id", "cluster", "entry_idx")

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.skew import small_join
+
 
 def reassign(labels: DataFrame, overrides: DataFrame) -> DataFrame:
     """Move documents to another cluster, optionally setting the reference flag.
@@ -19,7 +21,7 @@ def reassign(labels: DataFrame, overrides: DataFrame) -> DataFrame:
 def mark_reference_clusters(labels: DataFrame, clusters: DataFrame) -> DataFrame:
     """Mark whole clusters as reference data.  `clusters`: cluster."""
     marks = clusters.select("cluster").distinct().withColumn("_mark", F.lit(True))
-    return labels.join(marks, "cluster", "left").select(
+    return small_join(labels, marks, ["cluster"], "left").select(
         *[c for c in labels.columns if c != "is_reference"],
         (F.col("is_reference") | F.coalesce("_mark", F.lit(False))).alias("is_reference"),
     )
@@ -27,8 +29,9 @@ def mark_reference_clusters(labels: DataFrame, clusters: DataFrame) -> DataFrame
 
 def rename(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """Rename types or activities.  `mapping`: old_name, new_name."""
-    joined = df.join(mapping, F.col(column) == F.col("old_name"), "left")
-    return joined.withColumn(column, F.coalesce("new_name", column)).drop("old_name", "new_name")
+    renamed = mapping.select(F.col("old_name").alias(column), "new_name")
+    joined = small_join(df, renamed, [column], "left")
+    return joined.withColumn(column, F.coalesce("new_name", column)).select(*df.columns)
 
 
 # Fixed value: what a relation the user likes adds to its score.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Params
 from docflow.operators.eventlog import follows
+from docflow.operators.skew import lookup_join, small_join
 
 # Document types with their expected neighbours and required fields.
 BUSINESS_PATTERNS = {
@@ -53,7 +54,7 @@ def verified_flows(
     source = times.select(case, F.col(activity).alias("place"), F.col("first_ts").alias("source_ts"))
     target = times.select(case, F.col(activity).alias("target"), F.col("first_ts").alias("target_ts"))
     return (
-        source.join(paths, "place")
+        small_join(source, paths, ["place"])
         .join(target, [case, "target"])
         .where(F.col("target_ts") > F.col("source_ts"))
         .select(case, "place", "transition")
@@ -171,7 +172,7 @@ def fit_rules(
     Classes are weighted to balance.  importances: feature, importance, sorted, above the cut.
     """
     counts = features.groupBy(label).agg(F.count("*").alias("_n"))
-    weighted = features.join(counts, label)
+    weighted = small_join(features, counts, [label])
     n = features.count()
     classes = counts.count()
     weighted = weighted.withColumn("_weight", F.lit(float(n)) / (F.lit(float(classes)) * F.col("_n")))
@@ -207,7 +208,7 @@ def decision_factors(paths: DataFrame, attributes: DataFrame, case: str = "case_
     """
     sizes = paths.groupBy("path").agg(F.count_distinct(case).alias("_cases"))
     total = paths.agg(F.count_distinct(case).alias("_all")).scalar()
-    held = paths.distinct().join(attributes, case)
+    held = lookup_join(attributes, paths.distinct(), [case])
     per_value = held.groupBy("path", "attribute", "value").agg(F.count("*").alias("_n"))
     per_path = per_value.groupBy("path", "attribute").agg(
         (F.count("*") / F.sum("_n")).alias("_distinctness")
@@ -250,7 +251,7 @@ def missing_neighbours(
                 edge = F.max(ts) if kind == "followed_by" else F.min(ts)
                 bound = near.groupBy(case).agg(edge.alias("_edge"))
                 good = F.col("_edge") >= F.col(ts) if kind == "followed_by" else F.col("_edge") <= F.col(ts)
-                found = docs.join(bound, case, "left").where(F.col("_edge").isNull() | ~good)
+                found = lookup_join(docs, bound, [case], "left").where(F.col("_edge").isNull() | ~good)
             checks.append(found.select(doc, activity, F.lit(f"{kind} missing").alias("check")))
     out = checks[0]
     for other in checks[1:]:
@@ -274,7 +275,8 @@ def _within_days(docs: DataFrame, near: DataFrame, case: str, doc: str, ts: str,
     edges = times.groupBy(case, "_b").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
     here = edges.select(case, "_b", F.col("_hi").alias("_last_here"))
     after = edges.select(case, (F.col("_b") - 1).alias("_b"), F.col("_lo").alias("_first_after"))
-    joined = d.join(here, [case, "_b"], "left").join(after, [case, "_b"], "left")
+    around = here.join(after, [case, "_b"], "full")
+    joined = lookup_join(d, around, [case, "_b"], "left")
     # Inside a bucket any later time is within `days`, so its last time decides; in the next bucket its
     # first time is the nearest one.
     ok = (F.col("_last_here") >= F.col("_t")) | (F.col("_first_after") - F.col("_t") <= width)

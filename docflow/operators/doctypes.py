@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docflow.config import DEFAULTS, Params
 from docflow.functions.names import clean_file_name, prepared_tokens, type_name
 from docflow.operators.graph import components
+from docflow.operators.skew import small_join
 from docflow.session import cut_lineage
 
 
@@ -69,7 +70,7 @@ def type_by_keys(signatures: DataFrame) -> DataFrame:
     document.  `signatures`: doc_id, key_text.  Result: doc_id, cluster."""
     firsts = signatures.groupBy("key_text").agg(F.min("doc_id").alias("_first"))
     numbered = firsts.withColumn("cluster", F.row_number().over(Window.orderBy("_first")) - 1)
-    return signatures.join(numbered, "key_text").select("doc_id", "cluster")
+    return small_join(signatures, numbered, ["key_text"]).select("doc_id", "cluster")
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:
@@ -106,6 +107,5 @@ def group_by_names(documents: DataFrame) -> DataFrame:
         .select(F.col("name").alias("src"), F.col("part").alias("dst"))
     )
     groups = components(edges, names.select(F.col("name").alias("node")))
-    return named.join(
-        groups.select(F.col("node").alias("name"), F.col("component").alias("name_group")), "name", "left"
-    ).select("doc_id", "name", F.coalesce("name_group", F.lit("")).alias("name_group"))
+    grouped = groups.select(F.col("node").alias("name"), F.col("component").alias("name_group"))
+    return small_join(named, grouped, ["name"], "left").select("doc_id", "name", F.coalesce("name_group", F.lit("")).alias("name_group"))

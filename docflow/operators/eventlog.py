@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.functions.names import activity_name
-from docflow.operators.skew import neighbour, number_rows
+from docflow.operators.skew import neighbour, number_rows, small_join
 
 
 def object_name(cluster: Column, variant: Column) -> Column:
@@ -110,7 +110,7 @@ def merged_events(pairs: DataFrame, activity_map: DataFrame, case: str = "case_i
 
     `activity_map`: a, b, activity.  Pairs without an entry keep their own name.
     """
-    named = pairs.join(activity_map.withColumnRenamed("activity", "_merged"), ["a", "b"], "left")
+    named = small_join(pairs, activity_map.withColumnRenamed("activity", "_merged"), ["a", "b"], "left")
     named = named.withColumn("activity", F.coalesce("_merged", "activity"))
     single = named.where(F.col("_merged").isNull()).select(
         case, "activity", F.col("start_us").cast("double"), F.col("end_us").cast("double")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.names import activity_inputs, activity_outputs
 from docflow.operators.eventlog import follows
+from docflow.operators.skew import small_join
 
 
 def net(io: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -92,7 +93,8 @@ def arc_usage(
     per_case = pairs.groupBy(case, F.col(activity).alias("a"), F.col("next_activity").alias("b")).agg(
         F.count("*").alias("n")
     )
-    marked = per_case.join(allowed.select("a", "b").distinct().withColumn("_ok", F.lit(True)), ["a", "b"], "left")
+    known = allowed.select("a", "b").distinct().withColumn("_ok", F.lit(True))
+    marked = small_join(per_case, known, ["a", "b"], "left")
     bad = marked.where(F.col("_ok").isNull()).select(case).distinct()
     used = (
         marked.where(F.col("_ok"))

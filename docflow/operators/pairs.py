@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docflow.functions.values import NULL, is_common, norm_text, rule_type
 
-HEAVY_SETS = 10_000
+HEAVY_SETS = 1_000
 SIDES = ["cluster_1", "key_1", "cluster_2", "key_2"]
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Params
 from docflow.operators.pairs import rule_of
+from docflow.operators.skew import small_join
 
 PAIR = ["cluster_1", "variant_1", "cluster_2", "variant_2"]
 RULE = ["rule_type", "key_lo", "key_hi"]
@@ -127,7 +128,7 @@ def judge_relations(counts: DataFrame, types: DataFrame, params: Params = DEFAUL
 
 def relation_objects(instances: DataFrame, accepted: DataFrame) -> DataFrame:
     """Mean direction of both objects of every accepted pair: PAIR, cluster, variant, weight."""
-    kept = instances.join(accepted.select(*PAIR, *RULE).distinct(), [*PAIR, *RULE], "left_semi")
+    kept = small_join(instances, accepted.select(*PAIR, *RULE).distinct(), [*PAIR, *RULE], "left_semi")
     mean = kept.groupBy(*PAIR).agg(F.avg("w_1").alias("_w"))
     first = mean.select(
         *PAIR, F.col("cluster_1").alias("cluster"), F.col("variant_1").alias("variant"), F.col("_w").alias("weight")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Params
+from docflow.operators.skew import lookup_join
 from docflow.functions.values import KEY_TIERS, TIER_WEIGHTS, number_similarity, string_similarity
 
 # Weights of the parts of a pair's similarity.
@@ -34,7 +35,8 @@ def attribute_similarity(pairs: DataFrame, leaf: DataFrame) -> DataFrame:
             F.col("doc_id").alias(f"doc_{n}"), "key", *[F.col(c).alias(f"{c}_{n}") for c in ("value", "vtype", "num")]
         )
 
-    met = pairs.select("doc_1", "doc_2").join(side("1"), "doc_1").join(side("2"), ["doc_2", "key"])
+    first = lookup_join(pairs.select("doc_1", "doc_2"), side("1"), ["doc_1"])
+    met = lookup_join(first, side("2"), ["doc_2", "key"])
     score = value_similarity(*[F.col(c) for c in ("vtype_1", "value_1", "num_1", "vtype_2", "value_2", "num_2")])
     return met.groupBy("doc_1", "doc_2").agg(F.count("*").alias("n_common"), F.avg(score).alias("attributes"))
 
@@ -49,7 +51,8 @@ def business_key_similarity(pairs: DataFrame, leaf: DataFrame, tiers: dict = KEY
     def side(n: str) -> DataFrame:
         return keyed.select(F.col("doc_id").alias(f"doc_{n}"), "key", F.col("norm").alias(f"norm_{n}"))
 
-    met = pairs.select("doc_1", "doc_2").join(side("1"), "doc_1").join(side("2"), ["doc_2", "key"])
+    first = lookup_join(pairs.select("doc_1", "doc_2"), side("1"), ["doc_1"])
+    met = lookup_join(first, side("2"), ["doc_2", "key"])
     return (
         met.where(F.col("norm_1") == F.col("norm_2"))
         .select("doc_1", "doc_2", "key")
@@ -65,9 +68,8 @@ def token_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     two = texts.select(F.col("doc_id").alias("doc_2"), F.array_distinct("tokens").alias("_t2"))
     union = F.size(F.array_union("_t1", "_t2"))
     jaccard = F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect("_t1", "_t2")) / union)
-    return pairs.select("doc_1", "doc_2").join(one, "doc_1").join(two, "doc_2").select(
-        "doc_1", "doc_2", jaccard.alias("text")
-    )
+    met = lookup_join(lookup_join(pairs.select("doc_1", "doc_2"), one, ["doc_1"]), two, ["doc_2"])
+    return met.select("doc_1", "doc_2", jaccard.alias("text"))
 
 
 def temporal_similarity(pairs: DataFrame, times: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -75,9 +77,8 @@ def temporal_similarity(pairs: DataFrame, times: DataFrame, params: Params = DEF
     one = times.select(F.col("doc_id").alias("doc_1"), F.col("final_ts").alias("_a"))
     two = times.select(F.col("doc_id").alias("doc_2"), F.col("final_ts").alias("_b"))
     days = F.abs(F.unix_micros(F.col("_a").cast("timestamp")) - F.unix_micros(F.col("_b").cast("timestamp"))) / 8.64e10
-    return pairs.select("doc_1", "doc_2").join(one, "doc_1").join(two, "doc_2").select(
-        "doc_1", "doc_2", F.exp(-days / params.max_pattern_days).alias("temporal")
-    )
+    met = lookup_join(lookup_join(pairs.select("doc_1", "doc_2"), one, ["doc_1"]), two, ["doc_2"])
+    return met.select("doc_1", "doc_2", F.exp(-days / params.max_pattern_days).alias("temporal"))
 
 
 def document_similarity(pairs: DataFrame, parts: dict[str, DataFrame], weights: dict = WEIGHTS) -> DataFrame:

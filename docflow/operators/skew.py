@@ -17,6 +17,7 @@ from docflow.session import cut_lineage
 
 HOT_LIMIT = 1000
 HOT_MIN_ROWS = 1_000_000
+SMALL_ROWS = 50_000
 
 
 def key_hash(cols: Sequence[str]) -> Column:
@@ -53,10 +54,10 @@ def lookup_join(
     hot: Sequence[int] | None = None,
     min_rows: int | None = None,
 ) -> DataFrame:
-    """Join a large `left` to a `right` holding at most one row per key.
+    """Join a large `left` to a `right` holding one row per key (or a few, bounded by the schema).
 
-    Rows of hot keys meet a broadcast of at most HOT_LIMIT right rows; all others go through an
-    ordinary shuffle join.
+    Rows of hot keys meet a broadcast of the right rows of at most HOT_LIMIT keys; all others go through
+    an ordinary shuffle join.
     """
     on = list(on)
     if hot is None:
@@ -82,6 +83,20 @@ def salted_join(
     return cold.unionByName(warm)
 
 
+def small_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """Join a large `left` to a table over types, keys or rules, whose keys are few and therefore hot.
+
+    The right side is computed once and counted; up to `max_rows` rows it is broadcast, which spares the
+    shuffle of `left`, and beyond that the join goes by hot keys.
+    """
+    right = cut_lineage(right)
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), list(on), how)
+    return lookup_join(left, right, on, how)
+
+
 def _range_pieces(df: DataFrame, part: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Cut the ordered rows of every key into evenly filled range partitions; `_piece` numbers them in
     order.

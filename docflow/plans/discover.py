@@ -10,6 +10,7 @@ from docflow.functions.names import type_name
 from docflow.operators import activities as act
 from docflow.operators import arrays, cases, correlate, doctypes, eventlog, footprint, leaves, objects, pairs, relations
 from docflow.operators.graph import components
+from docflow.operators.skew import lookup_join
 from docflow.session import cut_lineage
 
 
@@ -93,7 +94,9 @@ def case_leaves(found: Cases, by_variant: bool = True) -> DataFrame:
     leaf = found.leaf.where(~F.col("in_list") & (F.col("vtype") != "NESTED"))
     columns = ["case_id", "doc_id", "cluster", "variant_id", "final_ts", "is_shared", "key", "norm"]
     first = own.join(leaf.select("doc_id", "key", "norm"), "doc_id").select(*columns)
-    second = shared.join(leaf.select("doc_id", "entry_idx", "key", "norm"), ["doc_id", "entry_idx"]).select(*columns)
+    # An entry may be claimed by very many cases; its own leaves are few.
+    entry = leaf.select("doc_id", "entry_idx", "key", "norm")
+    second = lookup_join(shared, entry, ["doc_id", "entry_idx"]).select(*columns)
     out = first.unionByName(second)
     return out if by_variant else out.withColumn("variant_id", F.lit(0).cast("long"))
 
