@@ -66,11 +66,11 @@ def rule_overlap(rows: DataFrame, rules: DataFrame, several: bool = True) -> Dat
     order_b = F.struct("key_1_b", "key_2_b", "rule_type_b")
     both = rule_a.join(rule_b, ["cluster_1", "cluster_2"]).where(order_a < order_b)
 
-    wanted = (
-        both.select(F.col("cluster_1").alias("cluster"), F.col("_f1_a").alias("_fa"), F.col("_f1_b").alias("_fb"))
-        .union(both.select("cluster_2", "_f2_a", "_f2_b"))
-        .distinct()
-    )
+    rules_id = F.xxhash64("cluster_1", "cluster_2", "_f1_a", "_f2_a", "_f1_b", "_f2_b").cast("string")
+    both = both.withColumn("_pair", rules_id)
+    wanted = both.select(
+        "_pair", F.col("cluster_1").alias("cluster"), F.col("_f1_a").alias("_fa"), F.col("_f1_b").alias("_fb")
+    ).union(both.select("_pair", "cluster_2", "_f2_a", "_f2_b"))
     moded = rows.withColumn("_f", F.concat(F.lit("k:"), "key")).unionByName(
         rows.where(~common_norm(F.col("norm"))).withColumn("_f", F.concat(F.lit("v:"), "key"))
     )
@@ -82,19 +82,21 @@ def rule_overlap(rows: DataFrame, rules: DataFrame, several: bool = True) -> Dat
         .select(
             "doc_id",
             "cluster",
-            F.concat_ws("\u0001", "_fa", "_fb").alias("key"),
-            F.concat_ws("\u0001", "_va", "_vb").alias("norm"),
+            F.col("_pair").alias("key"),
+            F.concat_ws("\u0001", "_pair", "_va", "_vb").alias("norm"),
         )
     )
-    inter = cross_pair_counts(combined, several=several).select(
-        "cluster_1", "key_1", "cluster_2", "key_2", F.col("n").alias("n_both")
-    )
-    joined = (
-        both.withColumn("key_1", F.concat_ws("\u0001", "_f1_a", "_f1_b"))
-        .withColumn("key_2", F.concat_ws("\u0001", "_f2_a", "_f2_b"))
-        .join(inter, SIDES, "left")
-        .withColumn("n_both", F.coalesce("n_both", F.lit(0)))
+    # Combined values held on one side only belong to no pair; most of them end here.
+    combined = cut_lineage(combined)
+    shared = (
+        combined.groupBy("norm")
+        .agg(F.min("cluster").alias("_lo"), F.max("cluster").alias("_hi"))
+        .where(F.col("_lo") < F.col("_hi"))
+        .select("norm")
     )
+    combined = lookup_join(combined, shared, ["norm"], "left_semi")
+    inter = cross_pair_counts(combined, several=several).select(F.col("key_1").alias("_pair"), F.col("n").alias("n_both"))
+    joined = both.join(inter, "_pair", "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
     return joined.select(
         "cluster_1",
         "cluster_2",

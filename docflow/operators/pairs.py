@@ -1,15 +1,18 @@
 """Equal values between documents, counted without listing document pairs.
 
 The number of document pairs that share a value grows with the square of its frequency, so pairs are
-never listed.  Three facts make exact counts possible from grouped rows:
-
-* Documents with one value per key: the pairs of a rule are the sum over values of n1(v) * n2(v).
-* Documents with several values per key (array entries): a pair must count once however many values it
-  shares.  Documents with the same value set act alike, so sets are compared instead of documents, and
-  only sets of two or more values need it; a pair with a one-value document cannot share two values.
-* Values held by very many different sets ("heavy") are compared through the heavy part of the sets
-  only.  Light values meet in groups of bounded size, and pairs already found through a heavy value are
-  left out there.
+never listed.  A pair must count once however many values it shares (array entries give a document
+several values under one key), which is had from grouped rows:
+
+* Documents with at most SHORT_SET values under a key (nearly all): by inclusion and exclusion over
+  value subsets.  A pair sharing the values S adds +1 for every odd and -1 for every even subset of S,
+  which is 1 in total, so the pairs are the signed sum over subsets T of n1(T) * n2(T).  A document
+  gives at most 2**SHORT_SET - 1 rows, and they are counted before they meet.
+* Longer value sets against one-value documents: the sum over values of n1(v) * n2(v).
+* Longer value sets against others: documents with the same set act alike, so different sets meet once
+  per pair of sets.  Values held by very many sets ("heavy") meet through the heavy part of the sets
+  only; light values meet in groups of bounded size, leaving out pairs already found through a heavy
+  value.
 
 A rule keeps its direction: key_1 belongs to cluster_1 and key_2 to cluster_2.
 """
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from docflow.functions.values import NULL, is_common, norm_text, rule_type
 
 HEAVY_SETS = 1_000
+SHORT_SET = 8
 SIDES = ["cluster_1", "key_1", "cluster_2", "key_2"]
 
 
@@ -51,10 +55,57 @@ def _value_sets(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _cells(sets: DataFrame, by: list[str]) -> DataFrame:
-    """Per key and value: documents holding it (t), and among them those with several values (m)."""
+def _subsets(sets: DataFrame, by: list[str], short: int) -> DataFrame:
+    """Value subsets of the short sets with their number of documents: by, h1, h2, size, kind, n.
+
+    A subset is told by two independent 64-bit hashes; `kind` is p (no common literal), c (only common
+    literals) or m (mixed).
+    """
+    value = F.struct(
+        F.xxhash64("norm").alias("h1"),
+        F.xxhash64("norm", F.lit(29)).alias("h2"),
+        common_norm(F.col("norm")).alias("common"),
+    )
+    per_doc = sets.where(F.col("_k") <= short).groupBy(*by, "doc_id").agg(F.collect_list(value).alias("_v"))
+    empty = F.struct(
+        F.lit(0).cast("long").alias("h1"),
+        F.lit(0).cast("long").alias("h2"),
+        F.lit(0).alias("size"),
+        F.lit(True).alias("plain"),
+        F.lit(True).alias("common"),
+    )
+
+    def with_value(s: Column, v: Column) -> Column:
+        return F.struct(
+            s["h1"].bitwiseXOR(v["h1"]).alias("h1"),
+            s["h2"].bitwiseXOR(v["h2"]).alias("h2"),
+            (s["size"] + 1).alias("size"),
+            (s["plain"] & ~v["common"]).alias("plain"),
+            (s["common"] & v["common"]).alias("common"),
+        )
+
+    grown = F.aggregate(
+        "_v", F.array(empty), lambda acc, v: F.concat(acc, F.transform(acc, lambda s: with_value(s, v)))
+    )
+    found = per_doc.select(*by, F.explode(grown).alias("_s")).where(F.col("_s.size") > 0)
+    kind = F.when(F.col("_s.plain"), "p").when(F.col("_s.common"), "c").otherwise("m")
+    return found.groupBy(
+        *by,
+        F.col("_s.h1").alias("h1"),
+        F.col("_s.h2").alias("h2"),
+        F.col("_s.size").alias("size"),
+        kind.alias("kind"),
+    ).agg(F.count("*").alias("n"))
+
+
+def _sign() -> Column:
+    return F.when(F.col("size") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
+
+
+def _cells(sets: DataFrame, by: list[str], short: int) -> DataFrame:
+    """Per key and value: documents with this value only (one) and documents with a long set (long)."""
     return sets.groupBy(*by, "norm").agg(
-        F.count("*").alias("t"), F.count_if(F.col("_k") > 1).alias("m")
+        F.count_if(F.col("_k") == 1).alias("one"), F.count_if(F.col("_k") > short).alias("long")
     )
 
 
@@ -68,15 +119,15 @@ def _set_pairs(
     kind: Callable[[Column, Column, Column], Column],
     same: bool,
     heavy: int,
+    short: int,
 ) -> DataFrame:
-    """Pairs of documents with several values each that share a value: scope, rule_id, n.
-
-    Rows are narrow (hashes and counts); `rule_id` stands for SIDES and rule type.
-    """
+    """Pairs of documents with several values each, one of them with a long set, that share a value:
+    scope, SIDES, rule_type, n."""
     by = ["cluster", "key"]
     cells = (
         sets.where(F.col("_k") > 1)
-        .groupBy(*scope, *by, "norm", "_g1", "_g2")
+        .withColumn("_long", F.col("_k") > short)
+        .groupBy(*scope, *by, "norm", "_g1", "_g2", "_long")
         .agg(F.count("*").alias("n"))
     )
     heavy_values = (
@@ -87,7 +138,7 @@ def _set_pairs(
         .distinct()
         .withColumn("_heavy", F.lit(True))
     )
-    one_set = Window.partitionBy(*scope, *by, "_g1", "_g2")
+    one_set = Window.partitionBy(*scope, *by, "_g1", "_g2", "_long")
     marked = (
         cells.join(heavy_values, [*scope, "norm"], "left")
         .withColumn("_heavy", F.coalesce("_heavy", F.lit(False)))
@@ -95,86 +146,128 @@ def _set_pairs(
         .withColumn("_hp", F.coalesce("_hp", F.lit(0)))
     )
     out = [*scope, "rule_id"]
+    names = [*scope, *SIDES, "rule_type"]
 
     def meet(table: DataFrame, ids: list[str]) -> DataFrame:
-        cols = [*by, *ids, "n"]
+        cols = [*by, *ids, "_long", "n"]
         met = _sided(table, cols, "_1").join(_sided(table, cols, "_2"), [*scope, "norm"])
+        met = met.where(F.col("_long_1") | F.col("_long_2"))
         if same:
-            first, second = (F.struct(*[F.col(i + s) for i in ids]) for s in ("_1", "_2"))
+            first, second = (F.struct(*[F.col(i + s) for i in ("_long", *ids)]) for s in ("_1", "_2"))
             equal = (F.col("cluster_1") == F.col("cluster_2")) & (F.col("key_1") == F.col("key_2"))
             met = met.where(equal & (first <= second))
         else:
             met = met.where(F.col("cluster_1") < F.col("cluster_2"))
-        met = met.withColumn("rule_id", _rule_id(kind(F.col("key_1"), F.col("key_2"), F.col("norm"))))
-        return met.select(*out, *[i + s for s in ("_1", "_2") for i in ids], "n_1", "n_2").distinct()
+        met = met.withColumn("rule_type", kind(F.col("key_1"), F.col("key_2"), F.col("norm")))
+        met = met.withColumn("rule_id", F.xxhash64(*SIDES, "rule_type"))
+        # Rows stay narrow where they are many: hashes and counts, the rule by its number.
+        ends = [i + s for s in ("_1", "_2") for i in ("_long", *ids)]
+        return met.select(*out, *ends, "n_1", "n_2").distinct()
 
     def total(met: DataFrame, ids: list[str]) -> DataFrame:
         pairs = F.col("n_1") * F.col("n_2")
         if same:
             equal = F.lit(True)
-            for i in ids:
+            for i in ("_long", *ids):
                 equal = equal & (F.col(i + "_1") == F.col(i + "_2"))
             pairs = F.when(equal, (F.col("n_1") * (F.col("n_1") - 1) / 2).cast("long")).otherwise(pairs)
         return met.groupBy(*out).agg(F.sum(pairs).alias("n"))
 
-    classes = marked.where("_heavy").groupBy(*scope, *by, "norm", "_hp").agg(F.sum("n").alias("n"))
+    classes = marked.where("_heavy").groupBy(*scope, *by, "norm", "_hp", "_long").agg(F.sum("n").alias("n"))
     heavy_met = meet(classes, ["_hp"])
-    found = heavy_met.select(*out, "_hp_1", "_hp_2")
+    ends = ["_hp_1", "_long_1", "_hp_2", "_long_2"]
+    found = heavy_met.select(*out, *ends)
     if same:
-        found = found.union(
-            found.select(*out, F.col("_hp_2").alias("_hp_1"), F.col("_hp_1").alias("_hp_2"))
-        )
+        turned = [F.col(b).alias(a) for a, b in zip(ends, ends[2:] + ends[:2], strict=True)]
+        found = found.union(found.select(*out, *turned))
     light = marked.where(~F.col("_heavy")).drop("_heavy")
-    light_met = meet(light, ["_g1", "_g2", "_hp"]).join(found, [*out, "_hp_1", "_hp_2"], "left_anti")
-    return (
+    light_met = meet(light, ["_g1", "_g2", "_hp"]).join(found, [*out, *ends], "left_anti")
+    counted = (
         total(heavy_met, ["_hp"])
         .unionByName(total(light_met, ["_g1", "_g2"]))
         .groupBy(*out)
         .agg(F.sum("n").alias("n"))
     )
-
-
-def _rule_id(rule_type_col: Column) -> Column:
-    return F.xxhash64(*SIDES, rule_type_col)
+    # The names behind the rule numbers, from the distinct (cluster, key, common) of the sets.
+    keys = sets.select(*scope, *by, common_norm(F.col("norm")).alias("_c")).distinct()
+    sample = F.when(F.col("_c"), F.lit("z")).otherwise(F.lit("s:"))
+    keys = keys.withColumn("norm", sample).drop("_c")
+    named = _sided(keys, by, "_1").join(_sided(keys, by, "_2"), [*scope, "norm"])
+    if not same:
+        named = named.where(F.col("cluster_1") < F.col("cluster_2"))
+    named = named.withColumn("rule_type", kind(F.col("key_1"), F.col("key_2"), F.col("norm")))
+    named = named.select(*names).distinct().withColumn("rule_id", F.xxhash64(*SIDES, "rule_type"))
+    return counted.join(named, out).select(*names, "n")
 
 
 def cross_pair_counts(
     rows: DataFrame,
-    kind: Callable[[Column, Column, Column], Column] | None = None,
+    typed: bool = False,
     heavy: int = HEAVY_SETS,
     several: bool = True,
+    short: int = SHORT_SET,
 ) -> DataFrame:
     """Distinct document pairs of different clusters sharing a value: SIDES, rule_type, n.
 
-    `rows`: distinct doc_id, cluster, key, norm.  `kind` tells the rule type of an equal value.  Rows
-    known to hold one value per document and key may set `several=False`, which spares the set part.
+    `rows`: distinct doc_id, cluster, key, norm.  With `typed`, the values are told apart by rule type,
+    else all count alike under `ANY`.  Rows known to hold one value per document and key may set
+    `several=False`, which spares the parts for value sets.
     """
-    kind = kind or (lambda a, b, v: F.lit("ANY"))
     by = ["cluster", "key"]
-    sets = _value_sets(rows, by) if several else rows.withColumn("_k", F.lit(1))
-    cells = _cells(sets, by)
-    cols = [*by, "t", "m"]
-    single = (
+    crossed = F.col("cluster_1") < F.col("cluster_2")
+    if not several:
+        cells = rows.groupBy(*by, "norm").agg(F.count("*").alias("n"))
+        cols = [*by, "n"]
+        kind = rule_of(F.col("key_1"), F.col("key_2"), F.col("norm")) if typed else F.lit("ANY")
+        return (
+            _sided(cells, cols, "_1")
+            .join(_sided(cells, cols, "_2"), "norm")
+            .where(crossed)
+            .groupBy(*SIDES, kind.alias("rule_type"))
+            .agg(F.sum(F.col("n_1") * F.col("n_2")).alias("n"))
+        )
+    sets = _value_sets(rows, by)
+    subsets = _subsets(sets, by, short)
+    cols = [*by, "n", "kind"]
+    same_key = F.col("key_1") == F.col("key_2")
+    subset_type = (
+        F.when(same_key, "SAME_KEY_VALUE_PAIR")
+        .when(F.col("kind_1") == "p", "SAME_VALUE")
+        .when(F.col("kind_1") == "c", "SAME_COMMON_VALUE")
+        if typed
+        else F.lit("ANY")
+    )
+    from_short = (
+        _sided(subsets, cols, "_1")
+        .join(_sided(subsets, cols, "_2"), ["h1", "h2", "size"])
+        .where(crossed)
+        .withColumn("rule_type", subset_type)
+        .where(F.col("rule_type").isNotNull())
+        .groupBy(*SIDES, "rule_type")
+        .agg(F.sum(_sign() * F.col("n_1") * F.col("n_2")).alias("n"))
+    )
+    cells = _cells(sets, by, short)
+    kind = rule_of if typed else (lambda a, b, v: F.lit("ANY"))
+    cols = [*by, "one", "long"]
+    mixed = (
         _sided(cells, cols, "_1")
         .join(_sided(cells, cols, "_2"), "norm")
-        .where(F.col("cluster_1") < F.col("cluster_2"))
+        .where(crossed & ((F.col("long_1") > 0) | (F.col("long_2") > 0)))
         .withColumn("rule_type", kind(F.col("key_1"), F.col("key_2"), F.col("norm")))
         .groupBy(*SIDES, "rule_type")
-        .agg(F.sum(F.col("t_1") * F.col("t_2") - F.col("m_1") * F.col("m_2")).alias("n"))
-    )
-    if several:
-        # Every rule met by two sets is met by two cells as well, so `single` names all rules.
-        more = _set_pairs(sets, [], kind, False, heavy).withColumnRenamed("n", "_more")
-        single = (
-            single.withColumn("rule_id", _rule_id(F.col("rule_type")))
-            .join(more, "rule_id", "left")
-            .select(*SIDES, "rule_type", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n"))
-        )
-    return single.where(F.col("n") > 0)
+        .agg(F.sum(F.col("one_1") * F.col("long_2") + F.col("long_1") * F.col("one_2")).alias("n"))
+    )
+    return (
+        from_short.unionByName(mixed)
+        .unionByName(_set_pairs(sets, [], kind, False, heavy, short))
+        .groupBy(*SIDES, "rule_type")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") > 0)
+    )
 
 
 def same_type_pair_counts(
-    rows: DataFrame, scope: list[str] | None = None, heavy: int = HEAVY_SETS
+    rows: DataFrame, scope: list[str] | None = None, heavy: int = HEAVY_SETS, short: int = SHORT_SET
 ) -> DataFrame:
     """Unordered document pairs of one cluster sharing a value of the same key, inside a scope.
 
@@ -183,15 +276,22 @@ def same_type_pair_counts(
     scope = scope or []
     by = ["cluster", "key"]
     sets = _value_sets(rows, [*scope, *by])
-    cells = _cells(sets, [*scope, *by])
-    choose = F.col("t") * (F.col("t") - 1) / 2 - F.col("m") * (F.col("m") - 1) / 2
-    single = cells.groupBy(*scope, *by).agg(F.sum(choose.cast("long")).alias("n"))
-    more = _set_pairs(sets, scope, lambda a, b, v: F.lit("ANY"), True, heavy).withColumnRenamed("n", "_more")
-    own_id = F.xxhash64("cluster", "key", "cluster", "key", F.lit("ANY"))
+    choose = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    from_short = _subsets(sets, [*scope, *by], short).groupBy(*scope, *by).agg(F.sum(_sign() * choose).alias("n"))
+    mixed = (
+        _cells(sets, [*scope, *by], short)
+        .where(F.col("long") > 0)
+        .groupBy(*scope, *by)
+        .agg(F.sum(F.col("one") * F.col("long")).alias("n"))
+    )
+    sets_met = _set_pairs(sets, scope, lambda a, b, v: F.lit("ANY"), True, heavy, short).select(
+        *scope, F.col("cluster_1").alias("cluster"), F.col("key_1").alias("key"), "n"
+    )
     return (
-        single.withColumn("rule_id", own_id)
-        .join(more, [*scope, "rule_id"], "left")
-        .select(*scope, *by, (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n"))
+        from_short.unionByName(mixed)
+        .unionByName(sets_met)
+        .groupBy(*scope, *by)
+        .agg(F.sum("n").alias("n"))
         .where(F.col("n") > 0)
     )
 
@@ -215,9 +315,11 @@ def value_blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-def rule_counts(rows: DataFrame, heavy: int = HEAVY_SETS, several: bool = True) -> DataFrame:
+def rule_counts(
+    rows: DataFrame, heavy: int = HEAVY_SETS, several: bool = True, short: int = SHORT_SET
+) -> DataFrame:
     """Rules (SIDES, rule_type) with their number of distinct document pairs `n`."""
-    return cross_pair_counts(rows, rule_of, heavy, several)
+    return cross_pair_counts(rows, True, heavy, several, short)
 
 
 def same_key_counts(rows: DataFrame, several: bool = True) -> DataFrame:
