@@ -39,15 +39,16 @@ UNIFIED_PATTERN = r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}"
 def parse_date(text: Column, extended: bool = True) -> Column:
     """Timestamp of a text that is a date in one of the known formats, else null.
 
-    A two-digit year is read as 1969-1999 or 2000-2068.
+    A two-digit year is read as 1969-1999 or 2000-2068.  A rewritten text is marked by a leading `=`, so
+    nothing else is parsed.
     """
-    shaped = F.regexp_replace(text, _YEAR_FIRST, "$1-$2$5-$3$6 $4$7")
+    shaped = F.regexp_replace(text, _YEAR_FIRST, "=$1-$2$5-$3$6 $4$7")
     if extended:
-        shaped = F.regexp_replace(shaped, _EXTENDED, "$1-$2$5-$3$6 $4$7")
-    shaped = F.regexp_replace(shaped, _DAY_FIRST, "$4-$3-$1 $5")
-    shaped = F.regexp_replace(shaped, _SHORT_OLD, "19$3-$2-$1 $4")
-    shaped = F.regexp_replace(shaped, _SHORT_NEW, "20$3-$2-$1 $4")
-    found = F.try_to_timestamp(shaped, F.lit("yyyy-M-d [H:m:s]"))
+        shaped = F.regexp_replace(shaped, _EXTENDED, "=$1-$2$5-$3$6 $4$7")
+    shaped = F.regexp_replace(shaped, _DAY_FIRST, "=$4-$3-$1 $5")
+    shaped = F.regexp_replace(shaped, _SHORT_OLD, "=19$3-$2-$1 $4")
+    shaped = F.regexp_replace(shaped, _SHORT_NEW, "=20$3-$2-$1 $4")
+    found = F.try_to_timestamp(shaped, F.lit("'='yyyy-M-d [H:m:s]"))
     return F.when(text.rlike(DATE_GATE), found)
 
 

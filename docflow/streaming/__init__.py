@@ -1,0 +1,23 @@
+"""Arriving files as documents.
+
+Reading, parsing and opening documents are narrow operators, so they run unchanged on a stream of files.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docflow.sources.files import LISTED
+
+
+def stream_raw(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Files below `path` as they arrive: path, value, file_size, modified_at (see `read_raw`)."""
+    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", LISTED)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        "value",
+        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_modification_time").alias("modified_at"),
+    )
