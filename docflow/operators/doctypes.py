@@ -66,11 +66,10 @@ def label_documents(vectors: DataFrame, k: int, params: Params = DEFAULTS, seed:
 
 
 def type_by_keys(signatures: DataFrame) -> DataFrame:
-    """Structural typing: documents with the same key set are of one type, numbered by their smallest
+    """Structural typing: documents with the same key set are of one type, named by the type's smallest
     document.  `signatures`: doc_id, key_text.  Result: doc_id, cluster."""
-    firsts = signatures.groupBy("key_text").agg(F.min("doc_id").alias("_first"))
-    numbered = firsts.withColumn("cluster", F.row_number().over(Window.orderBy("_first")) - 1)
-    return small_join(signatures, numbered, ["key_text"]).select("doc_id", "cluster")
+    firsts = signatures.groupBy("key_text").agg(F.min("doc_id").alias("cluster"))
+    return small_join(signatures, firsts, ["key_text"]).select("doc_id", "cluster")
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:

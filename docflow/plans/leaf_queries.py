@@ -79,9 +79,7 @@ def mixed_documents(spark, folder):
 
 @query(
     "structural_typing",
-    f"""WITH {MIXED}, firsts AS (SELECT key_text, min(doc_id) AS f FROM mixed GROUP BY key_text),
-    ranked AS (SELECT key_text, row_number() OVER (ORDER BY f) - 1 AS cluster FROM firsts)
-    SELECT cluster, count(*) AS n_docs FROM mixed JOIN ranked USING (key_text) GROUP BY cluster""",
+    f"WITH {MIXED} SELECT min(doc_id) AS cluster, count(*) AS n_docs FROM mixed GROUP BY key_text",
 )
 def structural_typing(spark, folder):
     docs = mixed_documents(spark, folder)
@@ -366,7 +364,12 @@ def schema_attributes(spark, folder):
     return objects.attributes(leaf).where(F.col("attribute") != "Event[].Value")
 
 
-@query("type_schemas")
+@query(
+    "type_schemas",
+    """SELECT 'Order' AS doc_type, 'OBJECT<Order: ARRAY<OBJECT<custkey: BIGINT, orderkey: BIGINT>>>' AS schema, count(*) AS n_docs FROM orders
+    UNION ALL SELECT 'Customer', 'OBJECT<Customer: ARRAY<OBJECT<custkey: BIGINT, name: STRING>>>', count(*) FROM customer
+    UNION ALL SELECT 'Supplier', 'OBJECT<Supplier: ARRAY<OBJECT<name: STRING, suppkey: BIGINT>>>', count(*) FROM supplier""",
+)
 def type_schemas(spark, folder):
     return objects.type_schemas(mixed_documents(spark, folder))
 

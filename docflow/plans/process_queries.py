@@ -416,10 +416,23 @@ def compatible_rules(spark, folder):
     return act.compatible_rules(_activities(spark, folder)[1])
 
 
-@query("time_activities")
+@query(
+    "time_activities",
+    """WITH s AS (SELECT DISTINCT l_orderkey, 'ship_' || l_returnflag AS a FROM lineitem),
+    m AS (SELECT string_agg(DISTINCT a, ''', ''' ORDER BY a) AS q, string_agg(DISTINCT a, ',' ORDER BY a) AS c FROM s),
+    r AS (SELECT 'ship_' || l_returnflag AS a, lead('ship_' || l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_returnflag) AS b FROM lineitem)
+    SELECT '((''placed''), (''' || q || '''))' AS activity, 'split' AS kind, 'placed' AS inputs, c AS outputs FROM m
+    UNION ALL SELECT '((''' || q || '''), (''closed''))', 'join', c, 'closed' FROM m
+    UNION ALL SELECT DISTINCT '((''' || a || '''), (''' || b || '''))', 'single', a, b FROM r WHERE a = b""",
+)
 def time_activities(spark, folder):
-    flow = order_flow(spark, folder)
-    pairs = cut_lineage(eventlog.time_relations(flow, order=FLOW_ORDER))
+    """Shipments of an order between its placing and its closing: the shipments run in parallel."""
+    ships = order_flow(spark, folder).where(F.col("activity") != "order").withColumn("rank", F.lit(1))
+    edge = ships.groupBy("case_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    placed = edge.select("case_id", F.lit("placed").alias("activity"), F.col("first").alias("ts"), F.lit(0).alias("rank"))
+    closed = edge.select("case_id", F.lit("closed").alias("activity"), F.col("last").alias("ts"), F.lit(2).alias("rank"))
+    flow = ships.unionByName(placed).unionByName(closed)
+    pairs = cut_lineage(eventlog.time_relations(flow, order=("rank", "ts", "activity")))
     found, _ = act.time_activities(pairs, footprint.footprint(pairs.select("a", "b", "n")))
     return found.select("activity", "kind", F.array_join("inputs", ",").alias("inputs"), F.array_join("outputs", ",").alias("outputs"))
 
