@@ -77,14 +77,14 @@ def content_activities(
     """(io, rules, evidence) of the content-based activities, one per accepted type pair.
 
     io: activity_id, direction, cluster, variant; rules: activity_id, RULE;
-    evidence: activity_id, case_id, RULE, ts_1, ts_2, doc_1, doc_2.
+    evidence: activity_id, case_id, RULE, and cluster, ts, doc of both sides.
     """
     io = directed.select(activity_id().alias("activity_id"), "direction", *OBJECT).distinct()
     ids = io.select("activity_id").distinct()
     rules = accepted.select(activity_id().alias("activity_id"), *RULE).distinct().join(ids, "activity_id", "left_semi")
     evidence = (
         small_join(instances.withColumn("activity_id", activity_id()), rules, ["activity_id", *RULE], "left_semi")
-        .select("activity_id", "case_id", *RULE, "ts_1", "ts_2", "doc_1", "doc_2")
+        .select("activity_id", "case_id", *RULE, "cluster_1", "ts_1", "doc_1", "cluster_2", "ts_2", "doc_2")
     )
     return io, rules, evidence
 
@@ -386,29 +386,96 @@ def merge_candidates(io: DataFrame, relations: DataFrame, layer: DataFrame | Non
     return out.distinct()
 
 
+def document_uses(evidence: DataFrame, io: DataFrame) -> DataFrame:
+    """Documents an activity uses on each side: activity_id, direction, cluster, doc.
+
+    `evidence` carries cluster_1, doc_1, cluster_2, doc_2.
+    """
+    used = evidence.select(
+        "activity_id", F.col("cluster_1").alias("cluster"), F.col("doc_1").alias("doc")
+    ).unionByName(
+        evidence.select("activity_id", F.col("cluster_2").alias("cluster"), F.col("doc_2").alias("doc"))
+    )
+    sides = io.select("activity_id", "direction", "cluster").distinct()
+    return small_join(used, sides, ["activity_id", "cluster"]).distinct()
+
+
+def side_overlap(uses: DataFrame) -> DataFrame:
+    """Per activity pair and side, the mean Jaccard of the documents over the types both use there:
+    id_1 < id_2, direction, overlap."""
+    by = ["direction", "cluster"]
+    rows = uses.select("activity_id", *by, "doc").distinct()
+    sizes = cut_lineage(rows.groupBy("activity_id", *by).agg(F.count("*").alias("n")))
+    one = rows.select(*by, "doc", F.col("activity_id").alias("id_1"))
+    two = rows.select(*by, "doc", F.col("activity_id").alias("id_2"))
+    both = one.join(two, [*by, "doc"]).where(F.col("id_1") < F.col("id_2"))
+    both = both.groupBy("id_1", "id_2", *by).agg(F.count("*").alias("_both"))
+    s1 = sizes.select(*by, F.col("activity_id").alias("id_1"), F.col("n").alias("_n1"))
+    s2 = sizes.select(*by, F.col("activity_id").alias("id_2"), F.col("n").alias("_n2"))
+    met = s1.join(s2, by).where(F.col("id_1") < F.col("id_2")).join(both, ["id_1", "id_2", *by], "left")
+    shared = F.coalesce("_both", F.lit(0))
+    return met.groupBy("id_1", "id_2", "direction").agg(
+        F.avg(shared / (F.col("_n1") + F.col("_n2") - shared)).alias("overlap")
+    )
+
+
+def temporal_contradictions(io: DataFrame, events: DataFrame) -> DataFrame:
+    """Activities with an input that comes after all documents of an output in some case: activity_id.
+
+    `events`: case_id, activity (object name), ts.  Times are reduced to first and last per case and
+    object before they meet.
+    """
+    spans = events.groupBy("case_id", "activity").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    named = io.withColumn("node", F.concat_ws("_", *OBJECT))
+    ins = named.where(F.col("direction") == "input").select("activity_id", F.col("node").alias("a"))
+    outs = named.where(F.col("direction") == "output").select("activity_id", F.col("node").alias("b"))
+    steps = ins.join(outs, "activity_id")
+    start = spans.select("case_id", F.col("activity").alias("a"), F.col("_first").alias("_a"))
+    end = spans.select("case_id", F.col("activity").alias("b"), F.col("_last").alias("_b"))
+    return (
+        small_join(start, steps, ["a"])
+        .join(end, ["case_id", "b"])
+        .where(F.col("_a") > F.col("_b"))
+        .select("activity_id")
+        .distinct()
+    )
+
+
 def validate_merges(
-    candidates: DataFrame, io: DataFrame, evidence: DataFrame, params: Params = DEFAULTS
+    candidates: DataFrame,
+    io: DataFrame,
+    evidence: DataFrame,
+    events: DataFrame | None = None,
+    uses: DataFrame | None = None,
+    params: Params = DEFAULTS,
 ) -> DataFrame:
-    """Candidates that stay: cases overlap enough, and neither activity turns the other around.
+    """Candidates that stay: id_1, id_2, why, overlap.
 
-    Overlap is |common cases| / |smaller case set|.  An activity contradicts another when the inputs of
-    one are outputs of the other.
+    Their cases overlap enough (Jaccard); the inputs of one are not outputs of the other; neither runs
+    against time in a case (`events`, see temporal_contradictions); and where both use a type on the same
+    side, they use mostly the same documents (`uses`, see document_uses).
     """
     cases = evidence.select("activity_id", "case_id").distinct()
     overlap = set_overlap(cases, ["activity_id"], "case_id").select(
-        F.col("activity_id_1").alias("id_1"),
-        F.col("activity_id_2").alias("id_2"),
-        (F.col("n_both") / F.least("n_1", "n_2")).alias("overlap"),
+        F.col("activity_id_1").alias("id_1"), F.col("activity_id_2").alias("id_2"), F.col("jaccard").alias("overlap")
     )
     ins = io.where(F.col("direction") == "input").select(F.col("activity_id").alias("id_1"), *OBJECT)
     outs = io.where(F.col("direction") == "output").select(F.col("activity_id").alias("id_2"), *OBJECT)
     turned = ins.join(outs, OBJECT).select("id_1", "id_2").where(F.col("id_1") != F.col("id_2"))
     turned = turned.select(F.least("id_1", "id_2").alias("id_1"), F.greatest("id_1", "id_2").alias("id_2")).distinct()
-    return (
+    out = (
         candidates.join(overlap, ["id_1", "id_2"])
         .where(F.col("overlap") >= params.case_overlap)
         .join(turned, ["id_1", "id_2"], "left_anti")
     )
+    if events is not None:
+        against = cut_lineage(temporal_contradictions(io, events))
+        for side in ("id_1", "id_2"):
+            out = out.join(against.select(F.col("activity_id").alias(side)), side, "left_anti")
+    if uses is not None:
+        apart = side_overlap(uses).where(F.col("overlap") < params.document_overlap)
+        out = out.join(apart.select("id_1", "id_2").distinct(), ["id_1", "id_2"], "left_anti")
+    return out
 
 
 def merge_groups(io: DataFrame, valid: DataFrame) -> DataFrame:

@@ -145,6 +145,14 @@ def activity_flags(evidence: DataFrame, names: list[str], case: str = "case_id")
     return evidence.groupBy(case).agg(*flags)
 
 
+def case_features(parts: list[DataFrame], case: str = "case_id") -> DataFrame:
+    """Feature vector of every case from the parts above; a part without the case gives nulls."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, case, "full")
+    return out
+
+
 def prepare_features(features: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
     """Mean imputation and z-score (sample deviation); constant columns are left out.
 

@@ -139,7 +139,8 @@ def content_activities(found: Cases, params: Params = DEFAULTS) -> dict[str, Dat
     chosen_io = cut_lineage(io.join(selected.select("activity_id"), "activity_id", "left_semi"))
     chosen_evidence = evidence.join(selected.select("activity_id"), "activity_id", "left_semi")
     candidates = act.merge_candidates(chosen_io, steps, layer)
-    valid = cut_lineage(act.validate_merges(candidates, chosen_io, chosen_evidence, params))
+    uses = act.document_uses(chosen_evidence, chosen_io)
+    valid = cut_lineage(act.validate_merges(candidates, chosen_io, chosen_evidence, log, uses, params))
     groups = cut_lineage(act.merge_groups(chosen_io, valid))
     merged_io, merged_rules, merged_evidence = act.apply_merge(groups, chosen_io, rules, chosen_evidence)
     return {

@@ -331,9 +331,12 @@ CANDIDATES = f"""{STEPS}, {DFG}, {BOTH}, par AS (SELECT a || '_0' AS a, b || '_0
       AND x.activity_id < y.activity_id WHERE EXISTS (SELECT 1 FROM par WHERE par.a = x.a || '_0' AND par.b = y.a || '_0'))"""
 
 
+def _named_log(spark, folder):
+    return user_log(spark, folder).withColumn("activity", F.concat("activity", F.lit("_0")))
+
+
 def _named_footprint(spark, folder):
-    log = user_log(spark, folder).withColumn("activity", F.concat("activity", F.lit("_0")))
-    return footprint.footprint(footprint.dfg(log))
+    return footprint.footprint(footprint.dfg(_named_log(spark, folder)))
 
 
 @query("merge_candidates", f"WITH {STEPS_IO}, {CANDIDATES} SELECT * FROM cand")
@@ -343,9 +346,12 @@ def merge_candidates(spark, folder):
 
 VALID = """cs AS (SELECT DISTINCT activity_id, case_id FROM evi), sz AS (SELECT activity_id, count(*) AS n FROM cs GROUP BY 1),
   ov AS (SELECT x.activity_id AS id_1, y.activity_id AS id_2, count(*) AS n FROM cs x JOIN cs y ON x.case_id = y.case_id AND x.activity_id < y.activity_id GROUP BY 1, 2),
-  valid AS (SELECT c.id_1, c.id_2, c.why, ov.n / least(s1.n, s2.n)::DOUBLE AS overlap FROM cand c JOIN ov USING (id_1, id_2) JOIN sz s1 ON s1.activity_id = c.id_1
+  sp AS (SELECT case_id, activity, min(ts) AS lo, max(ts) AS hi FROM log GROUP BY 1, 2),
+  contra AS (SELECT DISTINCT activity_id FROM acts JOIN sp x ON x.activity = a JOIN sp y ON y.case_id = x.case_id AND y.activity = b WHERE x.lo > y.hi),
+  valid AS (SELECT c.id_1, c.id_2, c.why, ov.n / (s1.n + s2.n - ov.n)::DOUBLE AS overlap FROM cand c JOIN ov USING (id_1, id_2) JOIN sz s1 ON s1.activity_id = c.id_1
     JOIN sz s2 ON s2.activity_id = c.id_2 JOIN acts a1 ON a1.activity_id = c.id_1 JOIN acts a2 ON a2.activity_id = c.id_2
-    WHERE ov.n / least(s1.n, s2.n)::DOUBLE >= 0.8 AND a1.a <> a2.b AND a2.a <> a1.b)"""
+    WHERE ov.n / (s1.n + s2.n - ov.n)::DOUBLE >= 0.8 AND a1.a <> a2.b AND a2.a <> a1.b
+      AND c.id_1 NOT IN (SELECT activity_id FROM contra) AND c.id_2 NOT IN (SELECT activity_id FROM contra))"""
 
 
 @query(
@@ -355,7 +361,7 @@ VALID = """cs AS (SELECT DISTINCT activity_id, case_id FROM evi), sz AS (SELECT
 def merge_validation(spark, folder):
     io, evidence = _steps_io(spark, folder)
     found = act.merge_candidates(io, cut_lineage(_named_footprint(spark, folder)))
-    return act.validate_merges(found, io, evidence).withColumn("overlap", F.round("overlap", 9))
+    return act.validate_merges(found, io, evidence, _named_log(spark, folder)).withColumn("overlap", F.round("overlap", 9))
 
 
 @query(
@@ -367,7 +373,7 @@ def merge_validation(spark, folder):
 def merge_groups(spark, folder):
     io, evidence = _steps_io(spark, folder)
     found = act.merge_candidates(io, cut_lineage(_named_footprint(spark, folder)))
-    return act.merge_groups(io, act.validate_merges(found, io, evidence))
+    return act.merge_groups(io, act.validate_merges(found, io, evidence, _named_log(spark, folder)))
 
 
 DOCS = """dd AS (SELECT DISTINCT activity_id, unnest([d1, d2]) AS doc FROM evi), ds AS (SELECT activity_id, count(*) AS n FROM dd GROUP BY 1),
@@ -819,3 +825,54 @@ def cluster_view(spark, folder):
         "doc_id", "lang", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path")
     )
     return curate.cluster_view(docs, docs.select("doc_id", F.col("lang").alias("cluster")))
+
+
+@query(
+    "temporal_contradictions",
+    f"""WITH {STEPS_IO}, sp AS (SELECT case_id, activity, min(ts) AS lo, max(ts) AS hi FROM log GROUP BY 1, 2)
+    SELECT DISTINCT activity_id FROM acts JOIN sp x ON x.activity = a JOIN sp y ON y.case_id = x.case_id AND y.activity = b WHERE x.lo > y.hi""",
+)
+def temporal_contradictions(spark, folder):
+    return act.temporal_contradictions(_steps_io(spark, folder)[0], _named_log(spark, folder))
+
+
+@query(
+    "activity_side_overlap",
+    f"""WITH {STEPS_IO}, us AS (SELECT DISTINCT activity_id, d.direction, d.cluster, d.doc FROM (SELECT a || '>' || b AS activity_id,
+        unnest([{{'direction': 'input', 'cluster': a, 'doc': case_id}}, {{'direction': 'output', 'cluster': b, 'doc': case_id}}]) AS d FROM st WHERE b IS NOT NULL)),
+    sz AS (SELECT activity_id, direction, cluster, count(*) AS n FROM us GROUP BY 1, 2, 3),
+    bo AS (SELECT x.activity_id AS i1, y.activity_id AS i2, direction, cluster, count(*) AS k FROM us x JOIN us y USING (direction, cluster, doc)
+      WHERE x.activity_id < y.activity_id GROUP BY 1, 2, 3, 4)
+    SELECT x.activity_id AS id_1, y.activity_id AS id_2, x.direction, round(avg(coalesce(k, 0) / (x.n + y.n - coalesce(k, 0))::DOUBLE), 9) AS overlap
+    FROM sz x JOIN sz y ON x.direction = y.direction AND x.cluster = y.cluster AND x.activity_id < y.activity_id
+    LEFT JOIN bo ON bo.i1 = x.activity_id AND bo.i2 = y.activity_id AND bo.direction = x.direction AND bo.cluster = x.cluster GROUP BY 1, 2, 3""",
+)
+def activity_side_overlap(spark, folder):
+    """Overlap of the users behind the steps that start (or end) with the same event type."""
+    io, evidence = _steps_io(spark, folder)
+    cells = F.split("activity_id", ">")
+    used = evidence.select(
+        "activity_id", cells[0].alias("cluster_1"), F.col("case_id").alias("doc_1"),
+        cells[1].alias("cluster_2"), F.col("case_id").alias("doc_2"),
+    )
+    # A step from a type to itself holds the type on both sides.
+    return act.side_overlap(act.document_uses(used, io)).withColumn("overlap", F.round("overlap", 9))
+
+
+@query(
+    "case_features",
+    f"""WITH {STEPS_IO}, t AS (SELECT case_id, hour(min(ts))::INT AS hour, count(*) AS total_documents, count(DISTINCT activity) AS unique_doc_types FROM log GROUP BY 1),
+    f AS (SELECT case_id, max((a = 'click' AND b = 'purchase')::INT) AS seq_click_to_purchase FROM st GROUP BY 1),
+    h AS (SELECT case_id, max((activity_id = 'view>click')::INT) AS has_step FROM evi GROUP BY 1)
+    SELECT t.case_id, hour, total_documents, unique_doc_types, seq_click_to_purchase, has_step FROM t JOIN f USING (case_id) LEFT JOIN h USING (case_id)""",
+)
+def case_features(spark, folder):
+    """Features of user cases: time, counts, follows-pairs and activities in one row."""
+    log = user_log(spark, folder)
+    _, evidence = _steps_io(spark, folder)
+    parts = [
+        decisions.time_features(log).select("case_id", "hour", "total_documents", "unique_doc_types"),
+        decisions.follow_flags(log, [("click", "purchase")]),
+        decisions.activity_flags(evidence, ["view>click"]).withColumnRenamed("has_at_view>click", "has_step"),
+    ]
+    return decisions.case_features(parts)
