@@ -29,3 +29,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names (in any case) an operator is about to write."""
     low = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import language
+from docflow.llm import language, postings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,28 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs.where(~held_out))
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     return language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    index = postings.build_index(table(spark, folder, "documents"))
+    found = postings.digest(postings.search(index, table(spark, folder, "benchmark"), n=10))
+    return found.select(F.col("id").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op4_decontaminate"] = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT item_id, len(p) AS m, p FROM (
+  SELECT item_id, CASE WHEN len(w) < 10 THEN w ELSE w[i:i + 9] END AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0))),
+lens AS (SELECT DISTINCT m FROM win),
+cand AS (SELECT r, i, m, w[i:i + m - 1] AS p FROM (
+  SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, lens WHERE len(w) >= m)),
+hit AS (SELECT r, i, cand.m, item_id FROM cand JOIN (SELECT DISTINCT item_id, m, p FROM win) win ON cand.m = win.m AND cand.p = win.p),
+cover AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS k FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (r) LEFT JOIN its USING (r)"""
