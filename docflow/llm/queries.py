@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import language, postings
+from docflow.llm import language, packing, postings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,19 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.tokenize(table(spark, folder, "documents"), tokenizer_path(), keep_ids=False)
+    packed = packing.assign(pieces)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     index = postings.build_index(table(spark, folder, "documents"))
