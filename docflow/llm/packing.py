@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docflow.llm.common import written
 
@@ -120,10 +122,7 @@ def tokenize(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spec = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * keep_ids
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(spec), timezone="UTC")
+    schema = to_arrow_schema(StructType.fromDDL(spec))
     rows = docs.select(F.col(id_col), F.col(text))
     return written(rows.mapInArrow(_cut(tokenizer_path, capacity, keep_ids, schema), spec), "pieces")
 
