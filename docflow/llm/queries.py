@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import language, near_duplicates, neighbours, packing, postings
+from docflow.llm import language, near_duplicates, neighbours, packing, postings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 @query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
