@@ -7,8 +7,9 @@ each of several trees a node sends a document on to one child per selected minwi
 Nodes are compared without ever listing the pairs of a large group:
   1. every document is confirmed against one pivot it met (the least document of a shared node), which joins copies;
   2. nodes inside one component have nothing left to find and are dropped;
-  3. small nodes are compared exhaustively, but only across components;
-  4. large mixed nodes are compared with their pivot, lose it, and branch further.
+  3. nodes with few members outside their largest component are compared exhaustively across components, which takes
+     a number of comparisons in proportion to the node's size, however large it is;
+  4. nodes of many components are compared with one pivot and branch further, until none is left.
 Sketches of two bits per minwise token reject hopeless pairs; every link is confirmed on the full sets.
 """
 
@@ -109,8 +110,8 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Method:
-    """words: shingle length; share: least similarity; trees and depth: of the first branching; small: largest node
-    compared exhaustively."""
+    """words: shingle length; share: least similarity; trees and depth: of the first branching; small: most members
+    outside a node's largest component for it to be compared exhaustively."""
 
     words: int = 5
     share: tuple[int, int] = (80, 100)
@@ -325,25 +326,30 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
     tokens = heads.select("id", "tokens")
     while True:
         labels = written(components(links), "labels").select(F.col("node").alias("id"), F.col("component").alias("part"))
-        labelled = nodes.join(labels, "id", "left").select("path", "id", "n", "pivot", F.coalesce("part", "id").alias("part"))
-        mixed = labelled.groupBy("path").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-        labelled = written(labelled.join(mixed, "path", "left_semi").join(sketches, "id"), "mixed")
-        # 3. Small nodes, across components.
-        own = labelled.where(F.col("n") <= method.small)
-        across = (F.col("a.path") == F.col("b.path")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part"))
-        pairs = own.alias("a").join(own.alias("b"), across & _similar(method)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-        # 4. Large nodes: the pivot against all, which settles it; the rest branches on.
-        large = labelled.where(F.col("n") > method.small)
-        heart = large.where(F.col("id") == F.col("pivot"))
-        star = (F.col("a.path") == F.col("b.path")) & (F.col("a.id") != F.col("b.id")) & (F.col("a.part") != F.col("b.part"))
-        stars = heart.alias("a").join(large.alias("b"), star & _similar(method)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-        pairs = pairs.unionByName(stars).distinct()
+        labelled = nodes.join(labels, "id", "left").select("path", "id", F.coalesce("part", "id").alias("part"))
+        shares = labelled.groupBy("path", "part").agg(F.count("*").alias("m"), F.min("id").alias("least"))
+        shares = shares.groupBy("path").agg(
+            F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("part", F.struct("m", "part")).alias("main"), F.min("least").alias("pivot")
+        )
+        mixed = labelled.join(shares.where(F.col("most") < F.col("n")), "path").join(sketches, "id")
+        mixed = written(mixed.withColumn("outside", F.col("part") != F.col("main")), "mixed")
+        # 3. Nodes with few members outside their largest component: these against all of other components.
+        few = mixed.where(F.col("n") - F.col("most") <= method.small)
+        once = ~F.col("b.outside") | (F.col("a.id") < F.col("b.id"))
+        across = (F.col("a.path") == F.col("b.path")) & (F.col("a.part") != F.col("b.part")) & once
+        pairs = few.where("outside").alias("a").join(few.alias("b"), across & _similar(method))
+        # 4. The others are compared with one pivot, which joins what is alike, and branch on.
+        large = mixed.where(F.col("n") - F.col("most") > method.small)
+        star = (F.col("a.path") == F.col("b.path")) & (F.col("a.part") != F.col("b.part"))
+        stars = large.where(F.col("id") == F.col("pivot")).alias("a").join(large.alias("b"), star & _similar(method))
+        pairs = pairs.select("a.id", F.col("b.id").alias("other")).unionByName(stars.select("a.id", F.col("b.id").alias("other")))
+        pairs = pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
         links = links.unionByName(confirm(texts, pairs, method))
         if large.isEmpty():
             break
-        rows = _branched(large.where(F.col("id") != F.col("pivot")), tokens)
-        nodes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-        nodes = written(rows.join(nodes, "path").select("path", "id", "n", "pivot"), "nodes")
+        rows = _branched(large, tokens)
+        nodes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        nodes = written(rows.join(nodes, "path").select("path", "id"), "nodes")
     labels = components(links).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     placed = classes.join(labels, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("component_id"))
     # Rows that repeat an id take the least component of their sets.
