@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import html, language, near_duplicates, neighbours, packing, postings, warc
+from docflow.llm import html, language, lines, near_duplicates, neighbours, packing, postings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,27 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op1_line_dedup"] = r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+f AS (SELECT doc_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: {'at': i - 1, 's': l[i]}), lambda x: regexp_matches(x.s, '\S')) AS l FROM d),
+u AS (
+  SELECT doc_id, i, list_transform(l[i:i + 2], lambda x: x.s) AS w, list_transform(l[i:i + 2], lambda x: x.at) AS c
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM f WHERE len(l) >= 3)
+  UNION ALL
+  SELECT doc_id, i, [l[i].s], [l[i].at] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM f) WHERE length(l[i].s) >= 120),
+later AS (SELECT doc_id, c FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM u) WHERE k > 1),
+gone AS (SELECT doc_id, list_distinct(flatten(list(c))) AS g FROM later GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed,
+  CASE WHEN g IS NULL THEN array_to_string(l, chr(10))
+    ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(g, i - 1)), chr(10)) END AS text
+FROM d LEFT JOIN gone USING (doc_id)"""
+
+
 @query
 def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     linked = near_duplicates.link(table(spark, folder, "documents"), near_duplicates.Method(words=2))
