@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import html, language, lines, near_duplicates, neighbours, packing, postings, warc
+from docflow.llm import chat, html, language, lines, near_duplicates, neighbours, packing, postings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,53 @@ def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+TOOLS = [
+    ("search", "query", "string", True, None),
+    ("search", "limit", "integer", False, None),
+    ("translate", "query", "string", True, None),
+    ("translate", "to", "string", True, ["de", "en", "fr"]),
+    ("measure", "query", "string", True, None),
+    ("measure", "ratio", "number", False, None),
+]
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations as a tool log: every assistant turn makes a call about the first words of its text, and the
+    user turn after it holds the result.  A call needs the one at half its turn.  What a hash of the row draws decides
+    about the tool and about wrong, missing and unknown arguments."""
+    draw = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(12))
+    name = F.when(draw % 3 == 0, "search").when(draw % 3 == 1, "translate").otherwise("measure")
+    head = F.substring(F.coalesce("text", F.lit("")), 1, 24)
+    value = (
+        F.when(draw == 0, F.to_json(F.struct(head.alias("query"), F.length("text").alias("limit"))))
+        .when(draw == 1, F.to_json(F.struct(F.lit("de").alias("to"), head.alias("query"))))
+        .when(draw == 3, F.to_json(F.struct(head.alias("query"), F.lit("many").alias("limit"))))
+        .when(draw == 4, F.to_json(F.struct(F.lit("xx").alias("to"), head.alias("query"))))
+        .when(draw == 6, F.to_json(F.struct(F.length("text").alias("limit"))))
+        .when(draw == 7, head)
+        .when(draw == 8, F.to_json(F.struct((F.length("text") / 7).alias("ratio"), head.alias("query"))))
+        .otherwise(F.to_json(F.struct(head.alias("query"), F.lit("en").alias("to"))))
+    )
+    is_call, is_result = F.col("role") == "assistant", (F.col("role") == "user") & (F.col("turn") > 1)
+    call = lambda turn: F.concat(F.lit("c"), turn.cast("long").cast("string"))
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(is_result, "tool").otherwise(F.col("role")).alias("role"),
+        "text",
+        F.when(is_call, call(F.col("turn"))).when(is_result, call(F.col("turn") - 1)).alias("call_id"),
+        F.when(is_call, name).alias("name"),
+        F.when(is_call, value).alias("arguments"),
+        F.when(is_call & (F.col("turn") > 1), F.array(call(F.floor(F.col("turn") / 2)))).alias("needs"),
+    )
+
+
+@query
+def op6_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    schemas = spark.createDataFrame(TOOLS, "tool string, param string, type string, required boolean, allowed array<string>")
+    return chat.format_chat(tool_messages(table(spark, folder, "conversations")), schemas)
+
+
 @query
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
