@@ -25,14 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from docflow.llm.common import written
+from docflow.llm.common import maybe_in, written
 from docflow.operators.graph import components
 
 #: Minwise tokens of a document, a multiple of 32 (two sketch bits each).
 TOKENS = 96
 BLOCK_BYTES = 4_000_000
-#: Bits of the filter that keeps texts without a candidate pair out of the shuffle; 2 MB whatever the data.
-FILTER_BITS = 1 << 24
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -239,30 +237,13 @@ def _matches():
     return F.lit(TOKENS) - lost
 
 
-def _filtered(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """Texts whose id may be among the members: a bitmap of hashed ids of fixed size, so broadcasting it is safe.
-    Wrong positives only cost their way to the exact join that follows."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    width = 32768
-    bitmaps = (
-        members.select(slot.alias("slot"))
-        .groupBy(F.floor(F.col("slot") / width).alias("page"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % width).alias("bits"))
-    )
-    at = F.col("slot") % width
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    paged = texts.withColumn("slot", slot).withColumn("page", F.floor(F.col("slot") / width))
-    hit = paged.join(F.broadcast(bitmaps), "page")
-    return hit.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(slot % 8 as int))")) != 0).select("id", "text")
-
-
 def confirm(texts: DataFrame, pairs: DataFrame, method: Method) -> DataFrame:
     """Those of the pairs (src, dst) whose full shingle sets are similar enough."""
     pairs = written(pairs, "pairs")
     members = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id")))
     kind = texts.schema["id"].dataType.simpleString()
     spec = f"id {kind}, words binary"
-    sets = _filtered(texts, members).mapInArrow(_set_rows(method.words, to_arrow_schema(StructType.fromDDL(spec))), spec)
+    sets = maybe_in(texts, members, ["id"]).mapInArrow(_set_rows(method.words, to_arrow_schema(StructType.fromDDL(spec))), spec)
     sets = written(sets.join(members.distinct(), "id", "left_semi"), "sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("dst"), F.col("words").alias("other")), "dst")

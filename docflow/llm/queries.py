@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import chat, html, language, lines, near_duplicates, neighbours, packing, postings, warc
+from docflow.llm import chat, html, language, lines, near_duplicates, neighbours, packing, postings, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,12 @@ def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op9_repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, folder, "documents"), keep_text=False)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
