@@ -254,8 +254,8 @@ def confirm(texts: DataFrame, pairs: DataFrame, method: Method) -> DataFrame:
     return written(both.mapInArrow(_confirmed(method.share, to_arrow_schema(StructType.fromDDL(spec))), spec).distinct(), "links")
 
 
-def _branched(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The next level of the nodes (path, id)."""
+def _branched(nodes: DataFrame, tokens: DataFrame, depth: int) -> DataFrame:
+    """The nodes (path, id) some levels down."""
     spec = f"path long, id {nodes.schema['id'].dataType.simpleString()}"
     schema = to_arrow_schema(StructType.fromDDL(spec))
 
@@ -263,12 +263,28 @@ def _branched(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 minwise = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
-                paths, own = _branch(np.asarray(batch.column(0)).view(np.uint64), np.arange(len(batch)), minwise)
+                paths, own = np.asarray(batch.column(0)).view(np.uint64), np.arange(len(batch))
+                for _ in range(depth):
+                    paths, own = _branch(paths, own, minwise)
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), batch.column(1).take(pa.array(own))], schema=schema)
 
     return nodes.select("path", "id").join(tokens, "id").select("path", "id", "tokens").mapInArrow(rows, spec).distinct()
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (id, part) after links between parts; what has no label is a part of its own."""
+    if links.isEmpty():
+        return labels
+    parts = links
+    for end in ("src", "dst"):
+        own = labels.select(F.col("id").alias(end), F.col("part").alias("_part"))
+        parts = parts.join(own, end, "left").withColumn(end, F.coalesce("_part", end)).drop("_part")
+    joined = written(components(parts.distinct()), "parts")
+    moved = labels.join(joined, labels["part"] == joined["node"], "left").select("id", F.coalesce("component", "part").alias("part"))
+    new = joined.join(labels, joined["node"] == labels["id"], "left_anti").select(F.col("node").alias("id"), F.col("component").alias("part"))
+    return written(moved.unionByName(new), "labels")
+
+
 _SKETCH = ("n_shingles", "s1", "s2", "s3")
 
 
@@ -276,7 +292,7 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
     """Per row of docs: id, n_shingles and component_id, the smallest id reachable over similar documents.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing.  Rows that repeat an
-    id count as one document with several sets.  Rows without an id come back with component_id null.
+    id with another text may be linked through either text.  Rows without an id come back with component_id null.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -305,8 +321,8 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
     links = confirm(texts, scored.select(F.col("pivot").alias("src"), F.col("id").alias("dst")), method)
 
     tokens = heads.select("id", "tokens")
+    labels = written(components(links).select(F.col("node").alias("id"), F.col("component").alias("part")), "labels")
     while True:
-        labels = written(components(links), "labels").select(F.col("node").alias("id"), F.col("component").alias("part"))
         labelled = nodes.join(labels, "id", "left").select("path", "id", F.coalesce("part", "id").alias("part"))
         shares = labelled.groupBy("path", "part").agg(F.count("*").alias("m"), F.min("id").alias("least"))
         shares = shares.groupBy("path").agg(
@@ -325,15 +341,14 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
         stars = large.where(F.col("id") == F.col("pivot")).alias("a").join(large.alias("b"), star & _similar(method))
         pairs = pairs.select("a.id", F.col("b.id").alias("other")).unionByName(stars.select("a.id", F.col("b.id").alias("other")))
         pairs = pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
-        links = links.unionByName(confirm(texts, pairs, method))
+        labels = _merged(labels, confirm(texts, pairs, method))
         if large.isEmpty():
             break
-        rows = _branched(large, tokens)
+        rows = _branched(large, tokens, method.depth)
         nodes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         nodes = written(rows.join(nodes, "path").select("path", "id"), "nodes")
-    labels = components(links).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    labels = labels.select(F.col("id").alias("rep"), F.col("part").alias("component_id"))
     placed = classes.join(labels, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("component_id"))
-    # Rows that repeat an id take the least component of their sets.
     out = signed.select("id", *same).join(placed, same, "left")
     return out.select(
         "id", "n_shingles",
