@@ -28,8 +28,9 @@ from pyspark.sql.types import StructType
 from docflow.llm.common import maybe_in, written
 from docflow.operators.graph import components
 
-#: Minwise tokens of a document, a multiple of 32 (two sketch bits each).
+#: Minwise tokens of a document: those that trees branch by, and all, of which the sketch holds two bits each.
 TOKENS = 96
+SKETCHED = 256
 BLOCK_BYTES = 4_000_000
 
 _MASK = (1 << 64) - 1
@@ -45,8 +46,8 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 _LETTERS = _mix(np.arange(1, 257, dtype=np.uint64), 0x51)
 _draw = np.random.default_rng(2018)
-_FACTORS = (_draw.integers(0, 1 << 32, TOKENS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_SHIFTS = _draw.integers(0, 1 << 32, TOKENS, dtype=np.uint64).astype(np.uint32)
+_FACTORS = (_draw.integers(0, 1 << 32, SKETCHED, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_SHIFTS = _draw.integers(0, 1 << 32, SKETCHED, dtype=np.uint64).astype(np.uint32)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -95,8 +96,8 @@ def _minwise(sets: list[np.ndarray]) -> np.ndarray:
     """Minwise tokens of non-empty sets, one row each."""
     joined = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), TOKENS), dtype=np.uint32)
-    for i in range(TOKENS):
+    out = np.empty((len(sets), SKETCHED), dtype=np.uint32)
+    for i in range(SKETCHED):
         out[:, i] = np.minimum.reduceat(joined * _FACTORS[i] + _SHIFTS[i], starts)
     return out
 
@@ -113,19 +114,21 @@ class Method:
 
     words: int = 5
     share: tuple[int, int] = (80, 100)
-    trees: int = 10
+    trees: int = 8
     depth: int = 3
     small: int = 64
 
     @property
     def least_matches(self) -> int:
-        """Agreeing sketch tokens of a pair that is worth confirming: 4.5 standard deviations below the mean."""
+        """Agreeing sketch tokens of a pair that is worth confirming: four standard deviations below the mean."""
         j = self.share[0] / self.share[1]
         p = (1 + 3 * j) / 4
-        return int(TOKENS * p - 4.5 * (TOKENS * p * (1 - p)) ** 0.5)
+        return int(SKETCHED * p - 4 * (SKETCHED * p * (1 - p)) ** 0.5)
 
 
-_SIGNED = "n_shingles long, h1 long, h2 long, s1 long, s2 long, s3 long, tokens binary, paths array<long>"
+_SKETCH_NAMES = tuple(f"s{i}" for i in range(SKETCHED // 32))
+_LONGS = ", ".join(f"{s} long" for s in _SKETCH_NAMES)
+_SIGNED = f"n_shingles long, h1 long, h2 long, {_LONGS}, tokens binary, paths array<long>"
 
 
 def _signed(method: Method, schema: pa.Schema):
@@ -150,12 +153,13 @@ def _block(ids: pa.Array, sets: list[np.ndarray], method: Method, schema: pa.Sch
     full = np.array([i for i in range(n) if len(sets[i])], dtype=np.int64)
     h1 = np.array([_mix(s, 0xC1).sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64)
     h2 = np.array([np.bitwise_xor.reduce(_mix(s, 0xC2)) if len(s) else 0 for s in sets], dtype=np.uint64)
-    sketches = np.zeros((n, 3), dtype=np.uint64)
+    sketches = np.zeros((n, SKETCHED // 32), dtype=np.uint64)
     tokens: list[bytes | None] = [None] * n
     paths: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * n
     if len(full):
         minwise = _minwise([sets[i] for i in full])
         sketches[full] = _sketch(minwise)
+        minwise = np.ascontiguousarray(minwise[:, :TOKENS])
         nodes = np.concatenate([np.full(len(full), t, dtype=np.uint64) for t in _mix(np.arange(method.trees, dtype=np.uint64), 0xD1)])
         own = np.tile(np.arange(len(full)), method.trees)
         for _ in range(method.depth):
@@ -169,7 +173,7 @@ def _block(ids: pa.Array, sets: list[np.ndarray], method: Method, schema: pa.Sch
     return pa.RecordBatch.from_arrays(
         [
             ids, pa.array([len(s) for s in sets], pa.int64()), as_long(h1), as_long(h2),
-            *[as_long(sketches[:, j]) for j in range(3)], pa.array(tokens, pa.binary()), pa.array(paths, pa.list_(pa.int64())),
+            *[as_long(sketches[:, j]) for j in range(SKETCHED // 32)], pa.array(tokens, pa.binary()), pa.array(paths, pa.list_(pa.int64())),
         ],
         schema=schema,
     )
@@ -231,10 +235,10 @@ def _similar(method: Method):
 def _matches():
     """Minwise tokens whose two sketch bits agree."""
     lost = F.lit(0)
-    for s in ("s1", "s2", "s3"):
+    for s in _SKETCH_NAMES:
         x = F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))
         lost = lost + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return F.lit(TOKENS) - lost
+    return F.lit(SKETCHED) - lost
 
 
 def confirm(texts: DataFrame, pairs: DataFrame, method: Method) -> DataFrame:
@@ -285,7 +289,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(new), "labels")
 
 
-_SKETCH = ("n_shingles", "s1", "s2", "s3")
+_SKETCH = ("n_shingles", *_SKETCH_NAMES)
 
 
 def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
@@ -301,9 +305,9 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
     known = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     # One representative per distinct set: copies need no comparison.
     same = ["n_shingles", "h1", "h2"]
-    classes = written(known.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
-    heads = known.join(classes.withColumnRenamed("rep", "id"), [*same, "id"], "left_semi").dropDuplicates(["id", *same])
-    heads = written(heads.select("id", *_SKETCH, "tokens", "paths"), "heads")
+    head = F.struct("id", *_SKETCH[1:], "tokens", "paths")
+    heads = written(known.groupBy(*same).agg(F.min_by(head, "id").alias("head")).select(*same, "head.*"), "heads")
+    classes = heads.select(*same, F.col("id").alias("rep"))
     sketches = heads.select("id", *_SKETCH)
     rows = heads.select(F.explode(F.array_distinct("paths")).alias("path"), "id")
 
