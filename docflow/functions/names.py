@@ -23,31 +23,37 @@ def normalize_activity(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit(" "), F.lit(""))
 
 
-def _parts(text: Column) -> Column:
-    trimmed = F.transform(F.split(text, ","), lambda p: F.regexp_replace(p, r"^[()' ]+|[()' ]+$", ""))
-    return F.array_sort(F.array_distinct(trimmed))
+# An activity name is `(('in', ...), ('out', ...))`, and this is the name of no type.
+_QUOTED = r"'([^']*)'"
+_BETWEEN = r"\)\s*,\s*\("
+_NO_TYPE = "None"
+
+
+def _quoted(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(1))
+
+
+def _side(name: Column, n: int) -> Column:
+    """Names of one of the two lists, without blanks; null for texts that are no activity name."""
+    lists = F.split(F.trim(name), _BETWEEN)
+    names = F.transform(_quoted(F.get(lists, F.lit(n))), lambda x: F.replace(x, F.lit(" "), F.lit("")))
+    return F.when((F.size(lists) == 2) & F.startswith(F.trim(name), F.lit("((")), F.array_sort(F.array_distinct(names)))
 
 
 def activity_inputs(name: Column) -> Column:
-    """Input set of `((in, ...), (out, ...))`; null for other texts."""
-    tight = F.regexp_replace(name, r"\s+", "")
-    shape = r"^\(\((.*?)\),\((.*?)\)\)$"
-    return F.when(tight.rlike(shape), _parts(F.regexp_extract(tight, shape, 1)))
+    return _side(name, 0)
 
 
 def activity_outputs(name: Column) -> Column:
-    tight = F.regexp_replace(name, r"\s+", "")
-    shape = r"^\(\((.*?)\),\((.*?)\)\)$"
-    return F.when(tight.rlike(shape), _parts(F.regexp_extract(tight, shape, 2)))
+    return _side(name, 1)
 
 
 def target_type(name: Column) -> Column:
-    """Last non-empty part of an activity name that is not `None`; empty text when there is none."""
-    bare = F.regexp_replace(name, r"^[()' ]+|[()' ]+$", "")
-    parts = F.transform(F.split(bare, ","), lambda p: F.regexp_replace(p, r"^[()' ]+|[()' ]+$", ""))
-    valid = F.filter(parts, lambda p: (p != "") & (p != "None"))
-    from_parts = F.when(F.size(valid) > 0, F.element_at(valid, -1)).otherwise(F.lit(""))
-    return F.when(bare.contains(","), from_parts).otherwise(bare)
+    """The last type an activity name quotes, empty if it quotes none but the empty one; a text without
+    quotes is a type itself."""
+    types = F.filter(_quoted(name), lambda x: ~x.isin("", _NO_TYPE))
+    last = F.coalesce(F.try_element_at(types, F.lit(-1)), F.lit(""))
+    return F.when(name.contains("'"), last).otherwise(F.trim(name))
 
 
 def activity_name(inputs: Column, outputs: Column) -> Column:

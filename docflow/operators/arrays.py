@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from docflow.config import DEFAULTS, Params
-from docflow.operators.leaves import MAX_DEPTH
+from docflow.operators.leaves import PLAN_LEVELS, nesting, parsed_content
+from docflow.session import cut_lineage
 
 
 def _entry_keys(v: Column) -> Column:
@@ -49,7 +50,7 @@ def array_profiles(
     documents: DataFrame,
     keep: list[str] | None = None,
     params: Params = DEFAULTS,
-    max_depth: int = MAX_DEPTH,
+    levels: int | None = None,
 ) -> DataFrame:
     """One row per array of objects: path, n_entries, base_keys, similarities, missing/extra keys,
     is_uniform.
@@ -57,15 +58,20 @@ def array_profiles(
     The walk is the one of the leaf table; the profile of an array rides on the row of its first entry.
     """
     keep = keep or ["doc_id"]
-    content = F.col("content")
-    if dict(documents.dtypes)["content"] == "string":
-        content = F.try_parse_json(content)
+    levels = nesting(documents) if levels is None else levels
+    content = parsed_content(documents)
     spark = documents.sparkSession
     cur = documents.select(
         *keep, F.lit("").alias("path"), content.alias("v"), F.lit(None).alias("_done")
     )
-    profile_type = None
-    for _ in range(max_depth):
+    profile_type, finished = None, None
+    for level in range(max(levels, 1)):
+        if level and level % PLAN_LEVELS == 0:
+            kind = F.coalesce(F.schema_of_variant("v"), F.lit(""))
+            is_open = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+            done = cur.where(~is_open & F.col("_done").isNotNull())
+            finished = done if finished is None else finished.unionByName(done)
+            cur = cut_lineage(cur.where(is_open))
         # The keys are a column of their own: the profile reads them many times.
         cur = cur.withColumn("_keys", _entry_keys(F.col("v")))
         objects = (F.size("_keys") > 0) & F.forall("_keys", lambda k: k.isNotNull())
@@ -92,6 +98,7 @@ def array_profiles(
             F.when(stop, F.col("v")).otherwise(F.col("value")).alias("v"),
             grown.alias("_done"),
         )
+    cur = cur if finished is None else finished.unionByName(cur)
     return cur.where(F.col("_done").isNotNull()).select(*keep, F.explode("_done").alias("_p")).select(
         *keep, "_p.*"
     )

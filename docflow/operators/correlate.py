@@ -47,7 +47,7 @@ def frequent_rules(rules: DataFrame, types: DataFrame, params: Params = DEFAULTS
     )
 
 
-def rule_overlap(rows: DataFrame, rules: DataFrame, several: bool = True) -> DataFrame:
+def rule_overlap(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Jaccard of the document pairs behind two rules of the same type pair.
 
     A pair obeys both rules when it shares a combined value (value of rule a, value of rule b), so the
@@ -95,7 +95,7 @@ def rule_overlap(rows: DataFrame, rules: DataFrame, several: bool = True) -> Dat
         .select("norm")
     )
     combined = lookup_join(combined, shared, ["norm"], "left_semi")
-    inter = cross_pair_counts(combined, several=several).select(F.col("key_1").alias("_pair"), F.col("n").alias("n_both"))
+    inter = cross_pair_counts(combined).select(F.col("key_1").alias("_pair"), F.col("n").alias("n_both"))
     joined = both.join(inter, "_pair", "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
     return joined.select(
         "cluster_1",
@@ -153,14 +153,13 @@ def correlators(
     reference_keys: DataFrame | None = None,
     require_corroboration: bool = True,
     params: Params = DEFAULTS,
-    several: bool = True,
 ) -> DataFrame:
     """Accepted correlators: SIDES, rule_type, n, kind."""
     found = frequent_rules(rules, types, params)
     if reference_keys is not None:
         found = drop_reference_keys(found, reference_keys)
     if require_corroboration:
-        good = corroborated(rule_overlap(rows, rules, several), params)
+        good = corroborated(rule_overlap(rows, rules), params)
         kept = found.where(F.col("kind") != "independent").join(good, [*SIDES, "rule_type"], "left_semi")
         found = kept.unionByName(found.where(F.col("kind") == "independent"))
     return found

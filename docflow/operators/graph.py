@@ -20,9 +20,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(
-    edges: DataFrame, vertices: DataFrame | None = None, min_rows: int | None = None, max_rounds: int = 100
-) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame | None = None, min_rows: int | None = None) -> DataFrame:
     """Label every node with the least node of its component: node, component.
 
     Alternates large-star and small-star steps (logarithmic number of rounds); every round is cut by a
@@ -31,7 +29,7 @@ def components(
     cur = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     cur = cut_lineage(cur.where(F.col("u") != F.col("v")).distinct())
     before = _fingerprint(cur)
-    for _ in range(max_rounds):
+    while True:
         # Large star: link every larger neighbour of a node to the node's least neighbour.
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
@@ -54,8 +52,6 @@ def components(
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     labels = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("node")).distinct()
     out = labels.unionByName(roots.withColumn("component", F.col("node")))

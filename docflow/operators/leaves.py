@@ -5,30 +5,55 @@ shuffle and no re-parse per level, and a row carries only the part of the docume
 open.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.dates import normalize_date, parse_date, parse_unified
 from docflow.functions.values import clean_key, long_norm, number_norm, string_norm
+from docflow.session import cut_lineage
 
-MAX_DEPTH = 8
+#: Levels opened in one plan; deeper content goes on from a written table.
+PLAN_LEVELS = 8
 
 
 def _is_container(schema):
     return schema.startswith("OBJECT") | schema.startswith("ARRAY")
 
 
-def walk(documents: DataFrame, keep: list[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def parsed_content(documents: DataFrame) -> Column:
+    """`content` as a variant; malformed text is null."""
+    content = F.col("content")
+    return F.try_parse_json(content) if dict(documents.dtypes)["content"] == "string" else content
+
+
+def nesting(documents: DataFrame) -> int:
+    """The deepest nesting of containers in `content`: one pass that sends one number to the driver."""
+    content = F.col("content") if dict(documents.dtypes)["content"] == "string" else F.to_json("content")
+    brackets = F.regexp_replace(content, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++', "")
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    depth = F.aggregate(F.split(brackets, ""), state, step, lambda acc: acc["most"])
+    return documents.select(depth.alias("d")).agg(F.max("d")).first()[0] or 0
+
+
+def walk(documents: DataFrame, keep: list[str] | None = None, levels: int | None = None) -> DataFrame:
     """Open `content` (JSON text or variant) level by level.
 
     Adds path, key, keys (all object keys above), entry_idx (position in the outermost array),
     list_path/list_idx (nearest array), in_list (scalar directly in a list) and the value `v`.
-    What lies deeper than `max_depth` stays whole as a container value.
+    As many levels are opened as the documents have, which is looked up first; a stream cannot be looked
+    through, so there `levels` must say how many, and what lies deeper stays whole as a container value.
     """
     keep = keep or ["doc_id"]
-    content = F.col("content")
-    if dict(documents.dtypes)["content"] == "string":
-        content = F.try_parse_json(content)
+    if levels is None:
+        if documents.isStreaming:
+            raise ValueError("give the levels of streamed documents")
+        levels = nesting(documents)
+    content = parsed_content(documents)
     spark = documents.sparkSession
     none_text, none_int = F.lit(None).cast("string"), F.lit(None).cast("int")
     cur = documents.select(
@@ -42,7 +67,12 @@ def walk(documents: DataFrame, keep: list[str] | None = None, max_depth: int = M
         F.lit(False).alias("in_list"),
         content.alias("v"),
     )
-    for _ in range(max_depth):
+    finished = None
+    for level in range(levels):
+        if level and level % PLAN_LEVELS == 0 and not documents.isStreaming:
+            is_open = _is_container(F.coalesce(F.schema_of_variant("v"), F.lit("")))
+            finished = _both(finished, cur.where(~is_open))
+            cur = cut_lineage(cur.where(is_open))
         exploded = cur.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
         stop = F.col("pos").isNull()
         field = F.col("key").isNotNull()
@@ -63,10 +93,14 @@ def walk(documents: DataFrame, keep: list[str] | None = None, max_depth: int = M
             F.when(stop, F.col("in_list")).otherwise(~field).alias("in_list"),
             F.when(stop, F.col("v")).otherwise(F.col("value")).alias("v"),
         )
-    return cur
+    return _both(finished, cur)
 
 
-def leaves(documents: DataFrame, keep: list[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _both(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+def leaves(documents: DataFrame, keep: list[str] | None = None, levels: int | None = None) -> DataFrame:
     """Leaf table: keep columns, path, key, value, vtype, num, norm, entry_idx, list_path, list_idx,
     in_list.
 
@@ -74,7 +108,7 @@ def leaves(documents: DataFrame, keep: list[str] | None = None, max_depth: int =
     null.  Empty containers give no row.
     """
     keep = keep or ["doc_id"]
-    opened = walk(documents, keep, max_depth).withColumn("_schema", F.schema_of_variant("v"))
+    opened = walk(documents, keep, levels).withColumn("_schema", F.schema_of_variant("v"))
     schema = F.col("_schema")
     vtype = (
         F.when(schema == "VOID", "NULL")
@@ -125,26 +159,12 @@ def leaves(documents: DataFrame, keep: list[str] | None = None, max_depth: int =
     )
 
 
-def key_signature(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Distinct nested keys of every document, sorted and joined by blanks.
-
-    The keys are read from the inferred schema of the variant, so the row stays where it is.
-    """
+def key_signature(documents: DataFrame, keep: list[str] | None = None, levels: int | None = None) -> DataFrame:
+    """Distinct nested keys of every document, sorted and joined by blanks, whatever the arrays mix."""
     keep = keep or ["doc_id"]
-    content = F.col("content")
-    if dict(documents.dtypes)["content"] == "string":
-        content = F.try_parse_json(content)
-    schema = F.schema_of_variant(content)
-    found = F.regexp_extract_all(schema, F.lit(r"(?:OBJECT<|, )(`(?:[^`]|``)+`|[^:`<>, ]+): "), F.lit(1))
-    bare = F.transform(
-        found,
-        lambda k: F.when(
-            k.startswith("`"), F.replace(F.regexp_replace(k, "^`|`$", ""), F.lit("``"), F.lit("`"))
-        ).otherwise(k),
-    )
-    return documents.select(*keep, F.array_sort(F.array_distinct(bare)).alias("key_set")).withColumn(
-        "key_text", F.array_join("key_set", " ")
-    )
+    per_doc = walk(documents, keep, levels).groupBy(*keep).agg(F.collect_set("keys").alias("_sets"))
+    keys = F.array_sort(F.array_distinct(F.flatten("_sets")))
+    return per_doc.select(*keep, keys.alias("key_set")).withColumn("key_text", F.array_join("key_set", " "))
 
 
 def normalize_dates(leaf: DataFrame, extended: bool = True) -> DataFrame:
@@ -184,14 +204,15 @@ def categorized_numbers(leaf: DataFrame) -> DataFrame:
 
 
 def numeric_wide(leaf: DataFrame, ids: list[str], keys: list[str]) -> DataFrame:
-    """One row per document entry, numeric leaves as columns."""
+    """One row per document entry, numeric leaves as columns; of several values of a key, that with the
+    least path."""
     entry = F.coalesce("entry_idx", F.lit(0)).alias("entry_idx")
     return (
         numeric_leaves(leaf)
-        .select(*ids, entry, "key", "num")
+        .select(*ids, entry, "key", "num", "path")
         .groupBy(*ids, "entry_idx")
         .pivot("key", keys)
-        .agg(F.first("num", ignorenulls=True))
+        .agg(F.min_by("num", "path"))
     )
 
 
@@ -213,14 +234,17 @@ def find_value(leaf: DataFrame, key: str, by: list[str] | None = None) -> DataFr
 def entry_leaves(leaf: DataFrame, key: str, norm) -> DataFrame:
     """All leaves of those array entries that hold `key` = `norm` (partial content).
 
-    `key` may be dotted; its last part names the leaf and the others its parents.
+    `key` may be dotted; its last part names the leaf and the others its parents.  What lies outside all
+    arrays counts as one entry.
     """
     parts = key.split(".")
     hit = F.col("key") == parts[-1]
     for parent in parts[:-1]:
-        hit = hit & F.col("path").rlike(rf"(^|\.){parent}(\[\d+\])?\.")
+        quoted = parent.replace("\\E", r"\E\\E\Q")
+        hit = hit & F.col("path").rlike(rf"(^|\.)\Q{quoted}\E(\[\d+\])*\.")
     hits = leaf.where(hit & (F.col("norm") == norm)).select("doc_id", "entry_idx").distinct()
-    return leaf.join(hits, ["doc_id", "entry_idx"], "left_semi")
+    same = (leaf["doc_id"] == hits["doc_id"]) & leaf["entry_idx"].eqNullSafe(hits["entry_idx"])
+    return leaf.join(hits, same, "left_semi")
 
 
 def entry_at(documents: DataFrame, path: str, index: int) -> DataFrame:
@@ -257,9 +281,7 @@ def word_counts(documents: DataFrame, text: str = "key_text") -> DataFrame:
 def mode_value(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Most frequent value per group, smallest value on a tie."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    # The smallest value wins a tie: compare counts first, then prefer the row met by min().
-    top = counts.groupBy(*by).agg(F.max("n").alias("n"))
-    return counts.join(top, [*by, "n"]).groupBy(*by).agg(F.min(value).alias(value), F.max("n").alias("n"))
+    return counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("n"), value)).alias(value), F.max("n").alias("n"))
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

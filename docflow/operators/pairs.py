@@ -204,18 +204,17 @@ def cross_pair_counts(
     rows: DataFrame,
     typed: bool = False,
     heavy: int = HEAVY_SETS,
-    several: bool = True,
     short: int = SHORT_SET,
 ) -> DataFrame:
     """Distinct document pairs of different clusters sharing a value: SIDES, rule_type, n.
 
     `rows`: distinct doc_id, cluster, key, norm.  With `typed`, the values are told apart by rule type,
-    else all count alike under `ANY`.  Rows known to hold one value per document and key may set
-    `several=False`, which spares the parts for value sets.
+    else all count alike under `ANY`.  Where no document has several values under a key, which is looked
+    up first, the parts for value sets are spared.
     """
     by = ["cluster", "key"]
     crossed = F.col("cluster_1") < F.col("cluster_2")
-    if not several:
+    if rows.groupBy("doc_id", *by).count().where("count > 1").isEmpty():
         cells = rows.groupBy(*by, "norm").agg(F.count("*").alias("n"))
         cols = [*by, "n"]
         kind = rule_of(F.col("key_1"), F.col("key_2"), F.col("norm")) if typed else F.lit("ANY")
@@ -316,13 +315,13 @@ def value_blocks(rows: DataFrame) -> DataFrame:
 
 
 def rule_counts(
-    rows: DataFrame, heavy: int = HEAVY_SETS, several: bool = True, short: int = SHORT_SET
+    rows: DataFrame, heavy: int = HEAVY_SETS, short: int = SHORT_SET
 ) -> DataFrame:
     """Rules (SIDES, rule_type) with their number of distinct document pairs `n`."""
-    return cross_pair_counts(rows, True, heavy, several, short)
+    return cross_pair_counts(rows, True, heavy, short)
 
 
-def same_key_counts(rows: DataFrame, several: bool = True) -> DataFrame:
+def same_key_counts(rows: DataFrame) -> DataFrame:
     """Pairs of different clusters that share a key, split by equal and different value.
 
     n_equal: pairs sharing a value of the key; n_pairs: pairs both holding the key.
@@ -338,7 +337,7 @@ def same_key_counts(rows: DataFrame, several: bool = True) -> DataFrame:
         )
     )
     equal = (
-        cross_pair_counts(rows, several=several)
+        cross_pair_counts(rows)
         .where(F.col("key_1") == F.col("key_2"))
         .select("cluster_1", "cluster_2", F.col("key_1").alias("key"), F.col("n").alias("n_equal"))
     )

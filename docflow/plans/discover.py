@@ -84,7 +84,8 @@ def build_cases(
 
 
 def case_leaves(found: Cases, by_variant: bool = True) -> DataFrame:
-    """Leaves of the case documents; a reference document gives the claimed entry only.
+    """Leaves of the case documents; a reference document gives the claimed entry and what
+    lies outside its arrays.
 
     `by_variant=False` compares types instead of numbered documents; use it where a case may repeat a
     type very often, since the number of object pairs grows with the square of the repeats.
@@ -94,9 +95,12 @@ def case_leaves(found: Cases, by_variant: bool = True) -> DataFrame:
     leaf = found.leaf.where(~F.col("in_list") & (F.col("vtype") != "NESTED"))
     columns = ["case_id", "doc_id", "cluster", "variant_id", "final_ts", "is_shared", "key", "norm"]
     first = own.join(leaf.select("doc_id", "key", "norm"), "doc_id").select(*columns)
-    # An entry may be claimed by very many cases; its own leaves are few.
-    entry = leaf.select("doc_id", "entry_idx", "key", "norm")
-    second = lookup_join(shared, entry, ["doc_id", "entry_idx"]).select(*columns)
+    # An entry may be claimed by very many cases; its own leaves are few.  What lies outside all arrays
+    # (entry -1 here) goes along with every claim, and is all that a claim without an entry brings.
+    part = F.coalesce("entry_idx", F.lit(-1)).alias("_part")
+    claims = [c for c in columns if c not in ("key", "norm")]
+    claimed = shared.select(*claims, part).unionByName(shared.select(*claims, F.lit(-1).alias("_part"))).distinct()
+    second = lookup_join(claimed, leaf.select("doc_id", part, "key", "norm"), ["doc_id", "_part"]).select(*columns)
     out = first.unionByName(second)
     return out if by_variant else out.withColumn("variant_id", F.lit(0).cast("long"))
 

@@ -42,9 +42,7 @@ def leaves_orders(spark, folder):
 )
 def json_leaves(spark, folder):
     found = leaves.leaves(event_documents(spark, folder))
-    # A whole-number amount is written without decimals in the text and read back as a whole number.
-    kind = F.when(F.col("key") == "Value", "DOUBLE").otherwise(F.col("vtype"))
-    return found.select("doc_id", "path", "key", kind.alias("vtype"), "num", "norm", "entry_idx")
+    return found.select("doc_id", "path", "key", "vtype", "num", "norm", "entry_idx")
 
 
 @query(
@@ -350,7 +348,7 @@ def top_files(spark, folder):
     "schema_attributes",
     """WITH n AS (SELECT count(*) AS n FROM events)
     SELECT 'event' AS doc_type, 'Event[].' || k AS attribute, t AS types, n AS n_docs, true AS required FROM n,
-      (VALUES ('Event_ID', 'integer'), ('User_ID', 'integer'), ('Type', 'string'), ('Props.k', 'integer')) v(k, t)
+      (VALUES ('Event_ID', 'integer'), ('User_ID', 'integer'), ('Type', 'string'), ('Value', 'number'), ('Props.k', 'integer')) v(k, t)
     UNION ALL SELECT 'lines', 'lang', 'string', count(*), true FROM documents
     UNION ALL SELECT 'lines', 'Lines[].No', 'integer', count(*), true FROM documents
     UNION ALL SELECT 'lines', 'Lines[].Line', 'string', count(*), true FROM documents
@@ -361,7 +359,7 @@ def schema_attributes(spark, folder):
     events = event_documents(spark, folder).withColumn("doc_type", F.lit("event"))
     lines = line_documents(spark, folder).withColumn("doc_type", F.lit("lines"))
     leaf = leaves.leaves(events, ["doc_type", "doc_id"]).unionByName(leaves.leaves(lines, ["doc_type", "doc_id"]))
-    return objects.attributes(leaf).where(F.col("attribute") != "Event[].Value")
+    return objects.attributes(leaf)
 
 
 @query(

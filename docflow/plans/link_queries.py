@@ -45,7 +45,7 @@ def value_blocks(spark, folder):
 
 @query("rule_counts", f"WITH {KEY_LEAVES}, {MATCH}, {RULES} SELECT * FROM rules")
 def rule_counts(spark, folder):
-    return pairs.rule_counts(pairs.members(key_leaves(spark, folder)), several=False)
+    return pairs.rule_counts(pairs.members(key_leaves(spark, folder)))
 
 
 BASKETS = """leafrows AS (SELECT DISTINCT 'o' || l_orderkey AS doc_id, 'basket' AS cluster, 'part' AS key, 'n:' || l_partkey AS norm FROM lineitem
@@ -88,7 +88,7 @@ def rule_counts_arrays(spark, folder):
     LEFT JOIN e ON e.cluster_1 = x.cluster AND e.cluster_2 = y.cluster AND e.key = x.key""",
 )
 def same_key_counts(spark, folder):
-    return pairs.same_key_counts(pairs.members(key_leaves(spark, folder)), several=False)
+    return pairs.same_key_counts(pairs.members(key_leaves(spark, folder)))
 
 
 @query(
@@ -114,7 +114,7 @@ def same_type_pairs(spark, folder):
 )
 def frequent_correlators(spark, folder):
     rows = pairs.members(key_leaves(spark, folder))
-    return correlate.frequent_rules(pairs.rule_counts(rows, several=False), _types(spark, folder))
+    return correlate.frequent_rules(pairs.rule_counts(rows), _types(spark, folder))
 
 
 @query(
@@ -127,7 +127,7 @@ def frequent_correlators(spark, folder):
 )
 def transitive_correlations(spark, folder):
     rows = pairs.members(key_leaves(spark, folder))
-    found = correlate.frequent_rules(pairs.rule_counts(rows, several=False), _types(spark, folder))
+    found = correlate.frequent_rules(pairs.rule_counts(rows), _types(spark, folder))
     return correlate.transitive(found)
 
 
@@ -144,7 +144,7 @@ TOUCH = """touch AS (SELECT DISTINCT key, cluster FROM (
 )
 def correlators_without_reference_keys(spark, folder):
     rows = pairs.members(key_leaves(spark, folder))
-    found = cut_lineage(correlate.frequent_rules(pairs.rule_counts(rows, several=False), _types(spark, folder)))
+    found = cut_lineage(correlate.frequent_rules(pairs.rule_counts(rows), _types(spark, folder)))
     keys = rows.where(F.col("cluster") == "nation").select("key").distinct()
     return correlate.drop_reference_keys(found, keys)
 

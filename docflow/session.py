@@ -25,12 +25,18 @@ def get_session(cores: int = 8, shuffle_partitions: int | None = None, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names in `spark.checkpoint.dir`; only a session that names
-    none (a local test) gets a folder of its own."""
+    """The shared folder the cluster names in `spark.checkpoint.dir`.
+
+    Only a local session without one gets a folder of its own: elsewhere it would be on one machine.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docflow-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="docflow-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -2,11 +2,13 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from docflow.functions.names import base_name
 
 # File kinds that are listed; text files are listed but not read as documents.
 LISTED = "*.{json,xml,txt}"
+_CORRUPT = "_malformed"
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -42,26 +44,23 @@ def xml_content(value: Column, schema: str, last_wins: bool = False) -> Column:
     """XML text as JSON text with the fields of `schema` (root tag and attributes left out).
 
     Repeated tags are kept as arrays when the schema says so; `last_wins=True` keeps only the last of
-    them.
+    them.  Text that is no well-formed XML, or does not fit the schema, gives null.
     """
-    parsed = F.from_xml(value, schema, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
-    if not last_wins:
-        return F.to_json(parsed)
-    from pyspark.sql.types import ArrayType, StructType
-
+    options = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": _CORRUPT}
+    parsed = F.from_xml(value, f"{schema}, `{_CORRUPT}` STRING", options)
     fields = StructType.fromDDL(schema).fields
-    return F.to_json(
-        F.struct(
-            *[
-                (
-                    F.element_at(parsed[f.name], -1)
-                    if isinstance(f.dataType, ArrayType)
-                    else parsed[f.name]
-                ).alias(f.name)
-                for f in fields
-            ]
-        )
-    )
+    shown = [(_last(parsed[f.name], f.dataType) if last_wins else parsed[f.name]).alias(f.name) for f in fields]
+    return F.when(parsed[_CORRUPT].isNull(), F.to_json(F.struct(*shown)))
+
+
+def _last(value: Column, kind: DataType) -> Column:
+    """The value with every array in it replaced by its last element, at all levels."""
+    if isinstance(kind, ArrayType):
+        return _last(F.try_element_at(value, F.lit(-1)), kind.elementType)
+    if isinstance(kind, StructType):
+        inner = F.struct(*[_last(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), inner)
+    return value
 
 
 def parse_raw(
@@ -99,8 +98,6 @@ def parse_raw(
 
 def infer_xml_schema(spark: SparkSession, path: str, row_tag: str) -> str:
     """Schema of the XML files below `path` as DDL; attributes are dropped."""
-    from pyspark.sql.types import ArrayType, StructType
-
     found = (
         spark.read.option("rowTag", row_tag)
         .option("recursiveFileLookup", True)

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from docflow.plans import check
+import check
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [

@@ -9,7 +9,7 @@ from docflow.functions.dates import normalize_date, parse_date
 from docflow.functions.values import number_similarity, string_similarity
 from docflow.operators import arrays, cases, curate, doctypes, leaves, objects
 from docflow.sources import files
-from docflow.streaming import stream_raw
+from docflow.streaming import stream_leaves, stream_raw
 
 DOC = {
     "Bestellung": [
@@ -35,10 +35,45 @@ def test_leaves_carry_path_type_and_comparison_form(spark):
     assert got["Bestellung[0].Sub.Nr"]["key"] == "Nr" and got["Bestellung[0].Sub.Nr"]["entry_idx"] == 0
 
 
-def test_deep_content_stays_whole(spark):
-    deep = {"a": {"b": {"c": {"d": 1}}}}
-    row = leaves.leaves(_docs(spark, deep), max_depth=2).first()
-    assert row["path"] == "a.b" and row["vtype"] == "NESTED" and json.loads(row["value"]) == {"c": {"d": 1}}
+def test_content_of_any_depth_is_opened(spark):
+    deep = {"v": 7, "list": [{"id": 1}, {"id": 2}]}
+    for i in range(20):
+        deep = {"k": [deep, {"m": i}]} if i % 2 else {"k": deep}
+    docs = _docs(spark, deep, {"a": 1}, {"text": "[[[{\"", "b": []})
+    assert leaves.nesting(docs) == 33
+    got = {r["key"]: r["value"] for r in leaves.leaves(docs).where("key != 'm'").collect()}
+    assert got == {"v": "7", "id": got["id"], "a": "1", "text": "[[[{\""}
+    assert leaves.leaves(docs).where("vtype = 'NESTED'").count() == 0
+    profiles = {r["path"].rsplit(".", 1)[-1]: r["n_entries"] for r in arrays.array_profiles(docs).collect()}
+    assert profiles["list"] == 2
+    row = leaves.leaves(docs, levels=2).where("doc_id = 0").first()
+    assert row["vtype"] == "NESTED"
+
+
+def test_key_signature_of_mixed_arrays(spark):
+    docs = _docs(spark, {"a": [{"b": 1}, 2]}, {"a": [{"b": {"c": 1}}, {"b": 2}]}, {"a": {}, "e": []})
+    got = {r["doc_id"]: r["key_text"] for r in leaves.key_signature(docs).collect()}
+    assert got == {0: "a b", 1: "a b c", 2: "a e"}
+
+
+def test_broken_xml_is_rejected(spark):
+    rows = [("/x/a1.xml", "<c><key>1</key><p><z>1</z><z>2</z></p></c>"), ("/x/a2.xml", "<c><key>1</key>"), ("/x/a3.xml", "not xml")]
+    raw = spark.createDataFrame(rows, "path string, value string")
+    documents, rejects = files.parse_raw(raw, "key STRING, p STRUCT<z: ARRAY<STRING>>", last_wins=True)
+    assert [(r["title"], json.loads(r["content"])) for r in documents.collect()] == [("a1", {"key": "1", "p": {"z": "2"}})]
+    assert sorted((r["path"], r["reason"]) for r in rejects.collect()) == [("/x/a2.xml", "malformed content"), ("/x/a3.xml", "malformed content")]
+
+
+def test_claimed_entries_bring_what_lies_outside_arrays(spark):
+    from docflow.plans.discover import Cases, case_leaves
+
+    leaf = leaves.leaves(_docs(spark, {"Name": "n", "P": [{"id": 1}, {"id": 2}]}), ["doc_id"])
+    claims = [("c1", 0, "P", True, True, 1, None, 0), ("c2", 0, "P", True, False, None, None, 0)]
+    docs = spark.createDataFrame(
+        claims, "case_id string, doc_id long, cluster string, is_shared boolean, is_partial boolean, entry_idx int, final_ts timestamp, variant_id long"
+    )
+    got = case_leaves(Cases(None, leaf, None, None, docs))
+    assert sorted((r["case_id"], r["key"], r["norm"]) for r in got.collect()) == [("c1", "Name", "s:n"), ("c1", "id", "n:2"), ("c2", "Name", "s:n")]
 
 
 def test_key_signature_and_structural_typing(spark):
@@ -177,14 +212,11 @@ def test_export_round_trip(spark, folder, tmp_path):
 
 def test_stream_of_files_gives_the_same_leaves(spark, folder, tmp_path):
     batch = leaves.leaves(files.parse_raw(files.read_raw(spark, folder))[0]).select("path", "norm")
-    streamed = leaves.leaves(files.parse_raw(stream_raw(spark, folder))[0]).select("path", "norm")
-    query = (
-        streamed.writeStream.format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "ck"))
-        .trigger(availableNow=True)
-        .start()
+    writer = stream_leaves(
+        files.parse_raw(stream_raw(spark, folder))[0],
+        lambda found, _: found.select("path", "norm").write.mode("append").parquet(str(tmp_path / "out")),
     )
+    query = writer.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
