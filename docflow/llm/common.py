@@ -40,23 +40,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Bits of the filter below: 2 MB to broadcast, whatever the data.
+#: Bits of the filter below, in words of 64: some 4 MB to broadcast, whatever the data.
 FILTER_BITS = 1 << 24
-_PAGE = 32768
 
 
 def maybe_in(df: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of `df` whose key may be among the members': a bitmap of hashed keys keeps most others out of the shuffle
     of the exact join that has to follow.  Its size is fixed; with more members it only lets more rows through."""
-    slot, page, bits = fresh(df, "slot"), fresh(df, "page"), fresh(df, "bits")
+    slot, word, mask = fresh(df, "slot"), fresh(df, "word"), fresh(df, "mask")
     place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
-    bitmaps = (
+    words = (
         members.select(place.alias(slot))
-        .groupBy(F.floor(F.col(slot) / _PAGE).alias(page))
-        .agg(F.bitmap_construct_agg(F.col(slot) % _PAGE).alias(bits))
+        .groupBy(F.shiftright(slot, 6).alias(word))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{slot}` % 64 as int))")).alias(mask))
     )
-    paged = df.withColumn(slot, place).withColumn(page, F.floor(F.col(slot) / _PAGE))
-    byte = F.substring(F.col(bits), (F.floor(F.col(slot) % _PAGE / 8) + 1).cast("int"), F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    held = value.bitwiseAND(F.expr(f"shiftleft(1, cast(`{slot}` % 8 as int))")) != 0
-    return paged.join(F.broadcast(bitmaps), page).where(held).drop(slot, page, bits)
+    placed = df.withColumn(slot, place).withColumn(word, F.shiftright(slot, 6))
+    held = F.getbit(F.col(mask), (F.col(slot) % 64).cast("int")) == 1
+    return placed.join(F.broadcast(words), word).where(held).drop(slot, word, mask)

@@ -10,9 +10,9 @@ starts of strings can repeat at all.  Those are confirmed by hashes of their who
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
-import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +26,11 @@ GRAM = 200
 SHALLOW = 32
 _WORD = 8
 #: Texts are worked on in stretches of about this many bytes; places in a stretch fit into 24 bits.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 500_000
 
 _MASK = (1 << 64) - 1
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_TABLES: dict[tuple[int, str], np.ndarray] = {}
+_BASE = 0x9E3779B97F4A7C15
+_TABLES: dict[str, np.ndarray] = {}
 
 
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -40,27 +40,28 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LETTERS = [_mix(np.arange(1, 257, dtype=np.uint64), salt) for salt in (0x61, 0x62)]
+_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64), 0x61)
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_TABLES.get((which, "up"), ())) < n:
-        for name, base in (("up", _BASES[which]), ("down", pow(_BASES[which], -1, 1 << 64))):
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and their inverses."""
+    if len(_TABLES.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(max(n, 1024), base, dtype=np.uint64)
             p[0] = 1
-            _TABLES[which, name] = np.cumprod(p)
-    return _TABLES[which, "up"][:n], _TABLES[which, "down"][:n]
+            _TABLES[name] = np.cumprod(p)
+    return _TABLES["up"][:n], _TABLES["down"][:n]
 
 
-def _sums(data: np.ndarray, which: int = 0) -> np.ndarray:
-    up, _ = _powers(which, len(data))
-    return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_LETTERS[which][data] * up)))
+def _sums(data: np.ndarray) -> np.ndarray:
+    up, _ = _powers(len(data))
+    return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_LETTERS[data] * up)))
 
 
-def _hashes(sums: np.ndarray, first: np.ndarray, after: np.ndarray, which: int = 0) -> np.ndarray:
+def _hashes(sums: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Hashes of the byte ranges [first, after)."""
-    _, down = _powers(which, len(sums))
-    return _mix((sums[after] - sums[first]) * down[first], which)
+    _, down = _powers(len(sums))
+    return _mix((sums[after] - sums[first]) * down[first])
 
 
 def _window_least(keys: np.ndarray, w: int) -> np.ndarray:
@@ -278,7 +279,7 @@ def _group_starts(held: list[tuple], length: int, gram: int, first: bool, last:
         behind = shared if i or not first else len(rights[k])
         ahead = ranked[i + 1][1] if i + 1 < len(ranked) else len(rights[k]) if last else gram
         reach[k] = max(behind, ahead)
-    grams, contexts, places, k1, k2 = [], [], [], [], []
+    grams, contexts, places, keys = [], [], [], []
     for (g, context, before, left, right), far in zip(held, reach, strict=True):
         more = len(right) + before - length
         # A string that starts `place` bytes into the context ends length - (before - place) bytes behind the anchor.
@@ -287,8 +288,7 @@ def _group_starts(held: list[tuple], length: int, gram: int, first: bool, last:
             continue
         data = np.frombuffer(left + right, dtype=np.uint8)
         own = np.arange(most + 1)
-        for which, keys in enumerate((k1, k2)):
-            keys.append(_hashes(_sums(data, which), own, own + length, which))
+        keys.append(_hashes(_sums(data), own, own + length))
         places.append(own)
         grams.append(np.full(len(own), g))
         contexts.append(np.full(len(own), context))
@@ -296,9 +296,9 @@ def _group_starts(held: list[tuple], length: int, gram: int, first: bool, last:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate(grams), pa.int64()), pa.array(np.concatenate(contexts), pa.int64()), pa.array(np.concatenate(places).astype(np.int32)),
-                pa.array(np.concatenate(k1).view(np.int64)), pa.array(np.concatenate(k2).view(np.int64)),
+                pa.array(np.concatenate(keys).view(np.int64)),
             ],
-            ["gram", "context", "place", "k1", "k2"],
+            ["gram", "context", "place", "content"],
         )
 
 
@@ -325,10 +325,11 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     contexts = written(found.mapInArrow(_cut_contexts(length), spec), "contexts")
     size = contexts.agg(F.sum(F.octet_length("right") + F.octet_length("left") + 64)).first()[0] or 0
     dealt = contexts.repartitionByRange(max(1, -(-size // (32 << 20))), "gram", "right").sortWithinPartitions("gram")
-    starts = dealt.mapInArrow(_bounded_starts(length, gram), "gram long, context long, place int, k1 long, k2 long")
+    starts = dealt.mapInArrow(_bounded_starts(length, gram), "gram long, context long, place int, content long")
     starts = written(starts, "starts")
-    twice = starts.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
-    some = starts.join(twice, ["k1", "k2"], "left_semi").groupBy("gram", "context").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    # Equal strings have equal grams, so gram and content are two hashes of a string.
+    twice = starts.groupBy("gram", "content").agg(F.count("*").alias("n")).where("n > 1").select("gram", "content")
+    some = starts.join(twice, ["gram", "content"], "left_semi").groupBy("gram", "context").agg(F.array_sort(F.collect_set("place")).alias("places"))
     # Per class: every string, or the places of the confirmed ones.
     decided = classes.join(some, ["gram", "context"], "left").where((F.col("n") > 1) | F.col("places").isNotNull())
     decided = written(decided.select("gram", "context", F.when(F.col("n") == 1, F.col("places")).alias("places")), "decided")
@@ -349,12 +350,12 @@ def _cut(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, ranges in zip(batch.column(2), batch.column(3), strict=True):
+            ranges, ends = batch.column(3).flatten(), np.asarray(batch.column(3).offsets)
+            first, last = np.asarray(ranges.field("first")), np.asarray(ranges.field("last"))
+            for text, a, b in zip(batch.column(2), ends[:-1] - ends[0], ends[1:] - ends[0], strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                found = np.array([(r["first"], r["last"]) for r in ranges.as_py()], dtype=np.int64).reshape(-1, 2)
-                change = np.zeros(len(data) + 1, dtype=np.int32)
-                np.add.at(change, found[:, 0], 1)
-                np.add.at(change, found[:, 1] + length, -1)
+                size = len(data) + 1
+                change = np.bincount(first[a:b], minlength=size) - np.bincount(last[a:b] + length, minlength=size)
                 gone = np.cumsum(change[:-1]) > 0
                 kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
