@@ -538,67 +538,51 @@ def compatible_rules(rules: DataFrame) -> DataFrame:
 def time_activities(pairs: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Time-based activities after AND-aggregation: (activities, activity_map).
 
-    `pairs`: a, b, n_cases of consecutive types; `relations`: a, b, rel (footprint).  For parallel types
-    A, B: A->Y and B->Y with Y parallel to neither form the join {A, B} -> Y, X->A and X->B the split
-    X -> {A, B}; steps between A and B are consumed.  A neighbour that is itself parallel to something
-    keeps the orientation with more cases.
-    activities: name, kind, inputs, outputs; activity_map: a, b, activity (for the merged event log).
+    `pairs`: a, b, n_cases of consecutive types; `relations`: a, b, rel (footprint).  Every pair of parallel
+    types A, B is looked at by itself: all Y with A->Y and B->Y make the join {A, B} -> {Y, ...}, all X with
+    X->A and X->B the split {X, ...} -> {A, B}.  A neighbour that is parallel to something keeps the
+    orientation with more cases.  Steps between parallel types are consumed, and so are those of joins and
+    splits; each other step is an activity of its own.
+    activities: activity, kind, inputs, outputs; activity_map: a, b, activity (for the merged event log).
     """
     pairs = cut_lineage(pairs.select("a", "b", "n_cases"))
-    par = cut_lineage(
-        relations.where((F.col("rel") == "parallel") & (F.col("a") != F.col("b"))).select("a", "b")
-    )
-    partners = par.select("a").distinct()
-    blocks = components(par.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(
-        F.col("node").alias("member"), F.col("component").alias("block")
-    )
-    blocks = cut_lineage(blocks)
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    outer = pairs.join(par, ["a", "b"], "left_anti")
-    leaving = (
-        outer.join(blocks, F.col("a") == F.col("member"))
-        .groupBy("block", F.col("b").alias("other"))
-        .agg(F.count_distinct("a").alias("n_members"), F.sum("n_cases").alias("n_out"))
-        .join(sizes, "block")
-        .where(F.col("n_members") == F.col("size"))
-    )
-    entering = (
-        outer.join(blocks, F.col("b") == F.col("member"))
-        .groupBy("block", F.col("a").alias("other"))
-        .agg(F.count_distinct("b").alias("n_members"), F.sum("n_cases").alias("n_in"))
-        .join(sizes, "block")
-        .where(F.col("n_members") == F.col("size"))
-    )
-    both = leaving.select("block", "other", "n_out").join(
-        entering.select("block", "other", "n_in"), ["block", "other"], "full"
-    )
-    both = both.join(partners.select(F.col("a").alias("other"), F.lit(True).alias("_par")), "other", "left")
+    par = relations.where((F.col("rel") == "parallel") & (F.col("a") != F.col("b"))).select("a", "b")
+    par = cut_lineage(par.unionByName(par.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    outer = pairs.join(par, ["a", "b"], "left_anti").where(F.col("a") != F.col("b"))
+    couples = par.where(F.col("a") < F.col("b")).select(F.col("a").alias("p"), F.col("b").alias("q"))
+
+    def met(inner: str, far: str, name: str) -> DataFrame:
+        """Neighbours that both types of a couple share on one side, with their cases."""
+        one = outer.select(F.col(inner).alias("p"), F.col(far).alias("other"), F.col("n_cases").alias("_p"))
+        two = outer.select(F.col(inner).alias("q"), F.col(far).alias("other"), F.col("n_cases").alias("_q"))
+        both = couples.join(one, "p").join(two, ["q", "other"])
+        return both.groupBy("p", "q", "other").agg(F.sum(F.col("_p") + F.col("_q")).alias(name))
+
+    sides = met("a", "b", "n_out").join(met("b", "a", "n_in"), ["p", "q", "other"], "full")
+    partners = par.select(F.col("a").alias("other"), F.lit(True).alias("_par")).distinct()
+    sides = cut_lineage(sides.join(partners, "other", "left"))
     n_out, n_in = F.coalesce("n_out", F.lit(0)), F.coalesce("n_in", F.lit(0))
-    joins = both.where((n_out > 0) & (F.col("_par").isNull() | (n_out >= n_in)))
-    splits = both.where((n_in > 0) & (F.col("_par").isNull() | (n_in > n_out)))
-    members = blocks.groupBy("block").agg(F.array_sort(F.collect_list("member")).alias("members"))
-    joined = joins.join(members, "block").select(
-        F.col("members").alias("inputs"), F.array("other").alias("outputs"), F.lit("join").alias("kind"), "block"
-    )
-    split = splits.join(members, "block").select(
-        F.array("other").alias("inputs"), F.col("members").alias("outputs"), F.lit("split").alias("kind"), "block"
-    )
-    merged = joined.unionByName(split).withColumn("activity", activity_name(F.col("inputs"), F.col("outputs")))
-    merged = cut_lineage(merged)
+    alone = F.col("_par").isNull()
+    others = F.array_sort(F.collect_set("other"))
+    joins = sides.where((n_out > 0) & (alone | (n_out >= n_in))).groupBy("p", "q").agg(others.alias("outputs"))
+    splits = sides.where((n_in > 0) & (alone | (n_in > n_out))).groupBy("p", "q").agg(others.alias("inputs"))
+    couple = F.array("p", "q")
+    merged = joins.select(couple.alias("inputs"), "outputs", F.lit("join").alias("kind")).unionByName(
+        splits.select("inputs", couple.alias("outputs"), F.lit("split").alias("kind"))
+    )
+    merged = cut_lineage(merged.withColumn("activity", activity_name(F.col("inputs"), F.col("outputs"))))
     covered = merged.select(F.explode("inputs").alias("a"), "outputs", "activity").select(
         "a", F.explode("outputs").alias("b"), "activity"
     )
-    used_blocks = blocks.join(merged.select("block").distinct(), "block", "left_semi")
-    inside = par.join(used_blocks.select(F.col("member").alias("a")), "a", "left_semi")
-    single = (
-        pairs.join(covered.select("a", "b"), ["a", "b"], "left_anti")
-        .join(inside, ["a", "b"], "left_anti")
-        .select(
-            F.array("a").alias("inputs"),
-            F.array("b").alias("outputs"),
-            F.lit("single").alias("kind"),
-            activity_name(F.array("a"), F.array("b")).alias("activity"),
-        )
+    # Where an orientation was chosen, the steps against it are consumed as well.
+    turned = sides.where(~alone & (n_out > 0) & (n_in > 0)).select(F.explode(couple).alias("a"), F.col("other").alias("b"))
+    back = turned.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    used = covered.select("a", "b").unionByName(par).unionByName(turned).unionByName(back).distinct()
+    single = pairs.join(used, ["a", "b"], "left_anti").select(
+        F.array("a").alias("inputs"),
+        F.array("b").alias("outputs"),
+        F.lit("single").alias("kind"),
+        activity_name(F.array("a"), F.array("b")).alias("activity"),
     )
     activities = merged.select("activity", "kind", "inputs", "outputs").unionByName(
         single.select("activity", "kind", "inputs", "outputs")

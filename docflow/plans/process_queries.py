@@ -424,12 +424,18 @@ def compatible_rules(spark, folder):
 
 @query(
     "time_activities",
-    """WITH s AS (SELECT DISTINCT l_orderkey, 'ship_' || l_returnflag AS a FROM lineitem),
-    m AS (SELECT string_agg(DISTINCT a, ''', ''' ORDER BY a) AS q, string_agg(DISTINCT a, ',' ORDER BY a) AS c FROM s),
-    r AS (SELECT 'ship_' || l_returnflag AS a, lead('ship_' || l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_returnflag) AS b FROM lineitem)
-    SELECT '((''placed''), (''' || q || '''))' AS activity, 'split' AS kind, 'placed' AS inputs, c AS outputs FROM m
-    UNION ALL SELECT '((''' || q || '''), (''closed''))', 'join', c, 'closed' FROM m
-    UNION ALL SELECT DISTINCT '((''' || a || '''), (''' || b || '''))', 'single', a, b FROM r WHERE a = b""",
+    """WITH l AS (SELECT l_orderkey, 'ship_' || l_returnflag AS a, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n,
+      lead('ship_' || l_returnflag) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_returnflag)),
+    r AS (SELECT DISTINCT a, b FROM l WHERE b IS NOT NULL),
+    par AS (SELECT x.a AS p, x.b AS q FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b),
+    heads AS (SELECT DISTINCT a FROM l WHERE k = 1), tails AS (SELECT DISTINCT a FROM l WHERE k = n),
+    splits AS (SELECT p, q FROM par WHERE p IN (FROM heads) AND q IN (FROM heads)),
+    joins AS (SELECT p, q FROM par WHERE p IN (FROM tails) AND q IN (FROM tails))
+    SELECT '((''placed''), (''' || p || ''', ''' || q || '''))' AS activity, 'split' AS kind, 'placed' AS inputs, p || ',' || q AS outputs FROM splits
+    UNION ALL SELECT '((''' || p || ''', ''' || q || '''), (''closed''))', 'join', p || ',' || q, 'closed' FROM joins
+    UNION ALL SELECT '((''' || a || '''), (''' || b || '''))', 'single', a, b FROM r WHERE NOT EXISTS (FROM par WHERE (p = a AND q = b) OR (p = b AND q = a))
+    UNION ALL SELECT '((''placed''), (''' || a || '''))', 'single', 'placed', a FROM heads WHERE NOT EXISTS (FROM splits WHERE p = a OR q = a)
+    UNION ALL SELECT '((''' || a || '''), (''closed''))', 'single', a, 'closed' FROM tails WHERE NOT EXISTS (FROM joins WHERE p = a OR q = a)""",
 )
 def time_activities(spark, folder):
     """Shipments of an order between its placing and its closing: the shipments run in parallel."""

@@ -143,3 +143,26 @@ def test_rules_do_not_depend_on_partitioning(parallel):
     one = {tuple(r) for r in pairs.rule_counts(rows.repartition(7)).collect()}
     two = {tuple(r) for r in pairs.rule_counts(rows.coalesce(1)).collect()}
     assert one == two
+
+
+def test_parallel_pairs_are_joined_one_by_one(spark):
+    """A || B and B || C, but A and C are not parallel: only A and B share the follower Y."""
+    steps = [("A", "B"), ("B", "A"), ("B", "C"), ("C", "B"), ("A", "Y"), ("B", "Y"), ("X", "C"), ("C", "C")]
+    pairs = spark.createDataFrame([(a, b, 3) for a, b in steps], "a string, b string, n_cases long")
+    relations = spark.createDataFrame([(a, b, "parallel") for a, b in steps[:4]], "a string, b string, rel string")
+    found, mapping = act.time_activities(pairs, relations)
+    assert sorted((r["kind"], r["inputs"], r["outputs"]) for r in found.collect()) == [
+        ("join", ["A", "B"], ["Y"]),
+        ("single", ["C"], ["C"]),
+        ("single", ["X"], ["C"]),
+    ]
+    assert sorted((r["a"], r["b"]) for r in mapping.collect()) == [("A", "Y"), ("B", "Y")]
+
+
+def test_parallel_neighbours_keep_the_busier_orientation(spark):
+    """A || B and Y || Z; A and B lead to Y in five cases and follow it in two."""
+    steps = [("A", "B", 1), ("B", "A", 1), ("Y", "Z", 1), ("Z", "Y", 1), ("A", "Y", 3), ("B", "Y", 2), ("Y", "A", 1), ("Y", "B", 1)]
+    pairs = spark.createDataFrame(steps, "a string, b string, n_cases long")
+    relations = spark.createDataFrame([(a, b, "parallel") for a, b, _ in steps[:4]], "a string, b string, rel string")
+    found, _ = act.time_activities(pairs, relations)
+    assert [(r["kind"], r["inputs"], r["outputs"]) for r in found.collect()] == [("join", ["A", "B"], ["Y"])]
