@@ -9,9 +9,12 @@ from docflow.session import cut_lineage
 
 def _with_least(neighbours: DataFrame, min_rows: int | None) -> DataFrame:
     """(u, v) rows with m = the least of u and all v.  A hub may hold most rows, so the least comes from
-    an aggregate with map-side combine and returns by a hot-key-aware join."""
+    an aggregate with map-side combine.  It returns by a join whose long partitions adaptive execution
+    splits; with `min_rows` given, by one that sends hot keys another way (see skew)."""
     least = neighbours.groupBy("u").agg(F.min("v").alias("_least"))
     least = least.select("u", F.least("u", "_least").alias("m"))
+    if min_rows is None:
+        return neighbours.join(least, "u")
     return lookup_join(neighbours, least, ["u"], min_rows=min_rows)
 
 
