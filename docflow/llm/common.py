@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,43 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write `df` as a compressed table to the shared folder and read it again.
+#: Tables written inside a `recorded` block, oldest first; None outside.
+_record: list[str] | None = None
+
+
+def write_to(df: DataFrame, path: str) -> DataFrame:
+    """Write `df` as a compressed table and read it again."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to a new table in the shared folder and read it again.
 
     The result has no lineage: a lost executor costs the tasks that ran on it, not the work before.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _record is not None:
+        _record.append(path)
+    return write_to(df, path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of `write_to` that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Note in `paths` the tables that `written` makes inside the block."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

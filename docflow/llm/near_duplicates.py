@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from docflow.llm.common import maybe_in, written
+from docflow.llm.common import maybe_in, remove, shared_path, write_to, written
 from docflow.operators.graph import components
 
 #: Minwise tokens of a document: those that trees branch by, and all, of which the sketch holds two bits each.
@@ -243,19 +243,23 @@ def _matches():
 
 def confirm(texts: DataFrame, pairs: DataFrame, method: Method) -> DataFrame:
     """Those of the pairs (src, dst) whose full shingle sets are similar enough."""
-    pairs = written(pairs, "pairs")
+    spark = texts.sparkSession
+    at = [shared_path(spark, name) for name in ("pairs", "sets")]
+    pairs = write_to(pairs, at[0])
     members = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id")))
     kind = texts.schema["id"].dataType.simpleString()
     spec = f"id {kind}, words binary"
     sets = maybe_in(texts, members, ["id"]).mapInArrow(_set_rows(method.words, to_arrow_schema(StructType.fromDDL(spec))), spec)
-    sets = written(sets.join(members.distinct(), "id", "left_semi"), "sets")
+    sets = write_to(sets.join(members.distinct(), "id", "left_semi"), at[1])
     both = (
         pairs.join(sets.select(F.col("id").alias("dst"), F.col("words").alias("other")), "dst")
         .join(sets.select(F.col("id").alias("src"), F.col("words").alias("own")), "src")
         .select("src", "dst", "own", "other")
     )
     spec = f"src {kind}, dst {kind}"
-    return written(both.mapInArrow(_confirmed(method.share, to_arrow_schema(StructType.fromDDL(spec))), spec).distinct(), "links")
+    links = written(both.mapInArrow(_confirmed(method.share, to_arrow_schema(StructType.fromDDL(spec))), spec).distinct(), "links")
+    remove(spark, *at)
+    return links
 
 
 def _branched(nodes: DataFrame, tokens: DataFrame, depth: int) -> DataFrame:
@@ -313,7 +317,9 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
 
     # 1. One pivot per document: the one whose sketch agrees best.
     nodes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    nodes = written(rows.join(nodes, "path").select("path", "id", "n", "pivot"), "nodes")
+    spark = docs.sparkSession
+    at_nodes = shared_path(spark, "nodes")
+    nodes = write_to(rows.join(nodes, "path").select("path", "id", "n", "pivot"), at_nodes)
     met = nodes.where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
     scored = (
         met.join(sketches.select(F.col("id"), F.struct(*_SKETCH).alias("b")), "id")
@@ -333,7 +339,9 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
             F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("part", F.struct("m", "part")).alias("main"), F.min("least").alias("pivot")
         )
         mixed = labelled.join(shares.where(F.col("most") < F.col("n")), "path").join(sketches, "id")
-        mixed = written(mixed.withColumn("outside", F.col("part") != F.col("main")), "mixed")
+        at_mixed = shared_path(spark, "mixed")
+        mixed = write_to(mixed.withColumn("outside", F.col("part") != F.col("main")), at_mixed)
+        remove(spark, at_nodes)
         # 3. Nodes with few members outside their largest component: these against all of other components.
         few = mixed.where(F.col("n") - F.col("most") <= method.small)
         once = ~F.col("b.outside") | (F.col("a.id") < F.col("b.id"))
@@ -347,10 +355,13 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
         pairs = pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
         labels = _merged(labels, confirm(texts, pairs, method))
         if large.isEmpty():
+            remove(spark, at_mixed)
             break
         rows = _branched(large, tokens, method.depth)
         nodes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        nodes = written(rows.join(nodes, "path").select("path", "id"), "nodes")
+        at_nodes = shared_path(spark, "nodes")
+        nodes = write_to(rows.join(nodes, "path").select("path", "id"), at_nodes)
+        remove(spark, at_mixed)
     labels = labels.select(F.col("id").alias("rep"), F.col("part").alias("component_id"))
     placed = classes.join(labels, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("id", *same).join(placed, same, "left")
