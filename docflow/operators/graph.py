@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from docflow.operators.skew import lookup_join
 from docflow.session import cut_lineage
 
+#: So many edges fit one task, where the rounds need no shuffle.
+ONE_TASK_EDGES = 100_000
+
 
 def _with_least(neighbours: DataFrame, min_rows: int | None) -> DataFrame:
     """(u, v) rows with m = the least of u and all v.  A hub may hold most rows, so the least comes from
@@ -32,6 +35,8 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, min_rows: in
     cur = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     cur = cut_lineage(cur.where(F.col("u") != F.col("v")).distinct())
     before = _fingerprint(cur)
+    if before[0] <= ONE_TASK_EDGES and min_rows is None:
+        cur = cur.coalesce(1)
     while True:
         # Large star: link every larger neighbour of a node to the node's least neighbour.
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -43,6 +48,8 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, min_rows: in
         )
         large = cut_lineage(large)
         # Small star: link a node and its smaller neighbours to the least of them.
+        if before[0] <= ONE_TASK_EDGES and min_rows is None:
+            large = large.coalesce(1)
         near = _with_least(large, min_rows)
         small = (
             near.where(F.col("v") != F.col("m"))
@@ -51,6 +58,8 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, min_rows: in
             .distinct()
         )
         cur = cut_lineage(small)
+        if before[0] <= ONE_TASK_EDGES and min_rows is None:
+            cur = cur.coalesce(1)
         after = _fingerprint(cur)
         if after == before:
             break

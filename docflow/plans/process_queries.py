@@ -60,13 +60,13 @@ INSTANCES = """cl AS (
     UNION ALL SELECT l_orderkey, 'ship_' || l_returnflag, l_shipdate, false, 'suppkey', l_suppkey FROM lineitem
     UNION ALL SELECT o_orderkey, 'customer', NULL, true, 'custkey', c_custkey FROM orders JOIN customer ON c_custkey = o_custkey
     UNION ALL SELECT o_orderkey, 'customer', NULL, true, 'nationkey', c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey),
-  cells AS (SELECT case_id, cluster, key, v, min(ts) AS ts, bool_or(shared) AS shared FROM cl GROUP BY 1, 2, 3, 4),
+  cells AS MATERIALIZED (SELECT case_id, cluster, key, v, min(ts) AS ts, bool_or(shared) AS shared FROM cl GROUP BY 1, 2, 3, 4),
   inst AS (SELECT x.case_id, x.cluster AS cluster_1, y.cluster AS cluster_2,
       CASE WHEN x.key = y.key THEN 'SAME_KEY_VALUE_PAIR' WHEN x.v IN (0, 1) THEN 'SAME_COMMON_VALUE' ELSE 'SAME_VALUE' END AS rule_type,
       least(x.key, y.key) AS key_lo, greatest(x.key, y.key) AS key_hi, 'n:' || x.v AS norm,
       CASE WHEN NOT x.shared AND NOT y.shared THEN CASE WHEN x.ts < y.ts THEN -1 ELSE 1 END
         WHEN x.shared AND NOT y.shared THEN -1 WHEN y.shared AND NOT x.shared THEN 1 ELSE 0 END AS w_1, x.ts AS ts_1, y.ts AS ts_2
-    FROM cells x JOIN cells y ON x.case_id = y.case_id AND x.v = y.v AND x.cluster < y.cluster)"""
+    FROM cells x JOIN cells y ON [x.case_id, x.v] = [y.case_id, y.v] WHERE x.cluster < y.cluster)"""
 
 
 @query(
