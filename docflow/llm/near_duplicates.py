@@ -9,13 +9,16 @@ Nodes are compared without ever listing the pairs of a large group:
   2. nodes inside one component have nothing left to find and are dropped;
   3. nodes with few members outside their largest component are compared exhaustively across components, which takes
      a number of comparisons in proportion to the node's size, however large it is;
-  4. nodes of many components are compared with one pivot and branch further, until none is left.
+  4. nodes of many components are compared with one pivot and branch further, until none is left.  The deeper a tree
+     goes, the less often a pair stays together in it, so the documents of these nodes get more trees, with minwise
+     tokens of their own, until a pair of the least similarity is missed no more often than `recall` allows.
 Sketches of two bits per minwise token reject hopeless pairs; every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,9 +48,16 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 _LETTERS = _mix(np.arange(1, 257, dtype=np.uint64), 0x51)
-_draw = np.random.default_rng(2018)
-_FACTORS = (_draw.integers(0, 1 << 32, SKETCHED, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_SHIFTS = _draw.integers(0, 1 << 32, SKETCHED, dtype=np.uint64).astype(np.uint32)
+
+
+def _hashed(*seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of minwise hashing."""
+    draw = np.random.default_rng(seed)
+    factors = (draw.integers(0, 1 << 32, SKETCHED, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+    return factors, draw.integers(0, 1 << 32, SKETCHED, dtype=np.uint64).astype(np.uint32)
+
+
+_FACTORS, _SHIFTS = _hashed(2018)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -92,16 +102,26 @@ def _branch(paths: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np
     return _mix(parent * np.uint64(3) + _mix(chosen, 0xA4)), own
 
 
-def _minwise(sets: list[np.ndarray]) -> np.ndarray:
+def _minwise(sets: list[np.ndarray], factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """Minwise tokens of non-empty sets, one row each."""
     joined = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), SKETCHED), dtype=np.uint32)
-    for i in range(SKETCHED):
-        out[:, i] = np.minimum.reduceat(joined * _FACTORS[i] + _SHIFTS[i], starts)
+    out = np.empty((len(sets), len(factors)), dtype=np.uint32)
+    for i in range(len(factors)):
+        out[:, i] = np.minimum.reduceat(joined * factors[i] + shifts[i], starts)
     return out
 
 
+def _rooted(tokens: np.ndarray, trees: range, depth: int) -> list[np.ndarray]:
+    """Per row of tokens, its nodes in the given trees at a depth."""
+    roots = _mix(np.arange(trees.start, trees.stop, dtype=np.uint64), 0xD1)
+    nodes, own = np.repeat(roots, len(tokens)), np.tile(np.arange(len(tokens)), len(trees))
+    for _ in range(depth):
+        nodes, own = _branch(nodes, own, tokens)
+    order = np.argsort(own, kind="stable")
+    return np.split(nodes[order].view(np.int64), np.searchsorted(own[order], np.arange(1, len(tokens))))
+
+
 def _sketch(tokens: np.ndarray) -> np.ndarray:
     two = (_mix(tokens.astype(np.uint64), 0xB1) & np.uint64(3)).reshape(len(tokens), -1, 32)
     return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64)
@@ -110,13 +130,34 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Method:
     """words: shingle length; share: least similarity; trees and depth: of the first branching; small: most members
-    outside a node's largest component for it to be compared exhaustively."""
+    outside a node's largest component for it to be compared exhaustively; recall: least share of the pairs of least
+    similarity that are to meet in a node that is compared, at whatever depth."""
 
     words: int = 5
     share: tuple[int, int] = (80, 100)
-    trees: int = 8
+    trees: int = 10
     depth: int = 3
     small: int = 64
+    recall: float = 0.9998
+
+    def missed(self, trees: Sequence[int], depth: int) -> float:
+        """Share of the pairs of least similarity that meet in no tree at a depth.  trees: the number of trees for each
+        draw of tokens; the trees of a draw all depend on how many of its tokens a pair has in common."""
+        j = self.share[0] / self.share[1]
+        agree = np.arange(TOKENS + 1)
+        weights = np.array([math.comb(TOKENS, k) * j**k * (1 - j) ** (TOKENS - k) for k in range(TOKENS + 1)])
+        apart = np.zeros(TOKENS + 1)
+        for _ in range(depth):
+            lost = 1 - agree / TOKENS * (1 - apart)
+            apart = (3 * lost + lost**2) / 4
+        return float(np.prod([(weights * apart**n).sum() for n in trees]))
+
+    def more_trees(self, trees: Sequence[int], depth: int) -> int:
+        """Trees of a new draw that, besides the given ones, lead to the recall at a depth."""
+        n = 0
+        while self.missed([*trees, n], depth) > 1 - self.recall:
+            n += 1
+        return n
 
     @property
     def least_matches(self) -> int:
@@ -157,15 +198,10 @@ def _block(ids: pa.Array, sets: list[np.ndarray], method: Method, schema: pa.Sch
     tokens: list[bytes | None] = [None] * n
     paths: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * n
     if len(full):
-        minwise = _minwise([sets[i] for i in full])
+        minwise = _minwise([sets[i] for i in full], _FACTORS, _SHIFTS)
         sketches[full] = _sketch(minwise)
         minwise = np.ascontiguousarray(minwise[:, :TOKENS])
-        nodes = np.concatenate([np.full(len(full), t, dtype=np.uint64) for t in _mix(np.arange(method.trees, dtype=np.uint64), 0xD1)])
-        own = np.tile(np.arange(len(full)), method.trees)
-        for _ in range(method.depth):
-            nodes, own = _branch(nodes, own, minwise)
-        order = np.argsort(own, kind="stable")
-        parts = np.split(nodes[order].view(np.int64), np.searchsorted(own[order], np.arange(1, len(full))))
+        parts = _rooted(minwise, range(max(method.trees, method.more_trees([], method.depth))), method.depth)
         for k, i in enumerate(full):
             tokens[i] = minwise[k].tobytes()
             paths[i] = parts[k]
@@ -263,20 +299,53 @@ def confirm(texts: DataFrame, pairs: DataFrame, method: Method) -> DataFrame:
 
 
 def _branched(nodes: DataFrame, tokens: DataFrame, depth: int) -> DataFrame:
-    """The nodes (path, id) some levels down."""
-    spec = f"path long, id {nodes.schema['id'].dataType.simpleString()}"
+    """The nodes (path, draw, id) some levels down."""
+    spec = f"path long, draw int, id {nodes.schema['id'].dataType.simpleString()}"
     schema = to_arrow_schema(StructType.fromDDL(spec))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                minwise = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
+                minwise = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).reshape(-1, TOKENS)
                 paths, own = np.asarray(batch.column(0)).view(np.uint64), np.arange(len(batch))
                 for _ in range(depth):
                     paths, own = _branch(paths, own, minwise)
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), batch.column(1).take(pa.array(own))], schema=schema)
+                taken = [batch.column(i).take(pa.array(own)) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), *taken], schema=schema)
+
+    return nodes.select("path", "draw", "id").join(tokens, ["id", "draw"]).select("path", "draw", "id", "tokens").mapInArrow(rows, spec).distinct()
 
-    return nodes.select("path", "id").join(tokens, "id").select("path", "id", "tokens").mapInArrow(rows, spec).distinct()
+
+def _replanted(texts: DataFrame, ids: DataFrame, method: Method, draw: int, trees: range, depth: int) -> DataFrame:
+    """id, draw, tokens and paths of the documents with the given ids in new trees, by tokens of a new draw."""
+    spec = f"id {texts.schema['id'].dataType.simpleString()}, draw int, tokens binary, paths array<long>"
+    schema = to_arrow_schema(StructType.fromDDL(spec))
+    factors, shifts = (x[:TOKENS] for x in _hashed(2018, draw))
+    most = max(1, int(BLOCK_BYTES / (8 * len(trees) * 1.25**depth)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, sets, size = [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
+                found = shingle_hashes(data, method.words)
+                if len(found):
+                    own, sets, size = [*own, i], [*sets, found], size + len(data)
+                if size > BLOCK_BYTES or len(own) == most:
+                    yield block(batch.column(0), own, sets)
+                    own, sets, size = [], [], 0
+            if own:
+                yield block(batch.column(0), own, sets)
+
+    def block(ids: pa.Array, own: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        minwise = _minwise(sets, factors, shifts)
+        columns = [
+            ids.take(pa.array(own)), pa.array([draw] * len(own), pa.int32()), pa.array([x.tobytes() for x in minwise], pa.binary()),
+            pa.array(_rooted(minwise, trees, depth), pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return maybe_in(texts, ids, ["id"]).mapInArrow(rows, spec).join(ids, "id", "left_semi")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -319,7 +388,7 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
     nodes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
     spark = docs.sparkSession
     at_nodes = shared_path(spark, "nodes")
-    nodes = write_to(rows.join(nodes, "path").select("path", "id", "n", "pivot"), at_nodes)
+    nodes = write_to(rows.join(nodes, "path").select("path", F.lit(0).alias("draw"), "id", "n", "pivot"), at_nodes)
     met = nodes.where(F.col("id") != F.col("pivot")).select("pivot", "id").distinct()
     scored = (
         met.join(sketches.select(F.col("id"), F.struct(*_SKETCH).alias("b")), "id")
@@ -330,10 +399,11 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
     )
     links = confirm(texts, scored.select(F.col("pivot").alias("src"), F.col("id").alias("dst")), method)
 
-    tokens = heads.select("id", "tokens")
+    tokens = heads.select("id", F.lit(0).alias("draw"), "tokens")
+    depth, trees = method.depth, [max(method.trees, method.more_trees([], method.depth))]
     labels = written(components(links).select(F.col("node").alias("id"), F.col("component").alias("part")), "labels")
     while True:
-        labelled = nodes.join(labels, "id", "left").select("path", "id", F.coalesce("part", "id").alias("part"))
+        labelled = nodes.join(labels, "id", "left").select("path", "draw", "id", F.coalesce("part", "id").alias("part"))
         shares = labelled.groupBy("path", "part").agg(F.count("*").alias("m"), F.min("id").alias("least"))
         shares = shares.groupBy("path").agg(
             F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("part", F.struct("m", "part")).alias("main"), F.min("least").alias("pivot")
@@ -358,9 +428,17 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
             remove(spark, at_mixed)
             break
         rows = _branched(large, tokens, method.depth)
+        depth += method.depth
+        n = method.more_trees(trees, depth)
+        if n:
+            ids = large.select("id").distinct()
+            new = written(_replanted(texts, ids, method, len(trees), range(sum(trees), sum(trees) + n), depth), "trees")
+            tokens = tokens.unionByName(new.select("id", "draw", "tokens"))
+            rows = rows.unionByName(new.select(F.explode("paths").alias("path"), "draw", "id").distinct())
+        trees.append(n)
         nodes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         at_nodes = shared_path(spark, "nodes")
-        nodes = write_to(rows.join(nodes, "path").select("path", "id"), at_nodes)
+        nodes = write_to(rows.join(nodes, "path").select("path", "draw", "id"), at_nodes)
         remove(spark, at_mixed)
     labels = labels.select(F.col("id").alias("rep"), F.col("part").alias("component_id"))
     placed = classes.join(labels, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("component_id"))

@@ -146,6 +146,33 @@ def test_near_duplicates_of_missing_and_repeated_ids(spark):
     assert near_duplicates.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("depth", [3, 9, 15])
+def test_near_duplicates_trees_keep_pairs_of_a_family_of_thousands(depth):
+    rng = np.random.default_rng(8)
+    shared, method, trees, met = rng.integers(0, 1 << 63, 70, dtype=np.uint64), near_duplicates.Method(), [], set()
+    sets = []
+    for _ in range(1000):
+        both = np.concatenate((shared, rng.integers(0, 1 << 63, 19, dtype=np.uint64)))
+        sets += [np.unique(np.concatenate((both, rng.integers(0, 1 << 63, 11, dtype=np.uint64)))) for _ in "ab"]
+    for at in range(method.depth, depth + 1, method.depth):
+        trees.append(max(method.more_trees(trees, at), 0 if trees else method.trees))
+    for draw, n in enumerate(trees):
+        hashed = near_duplicates._hashed(2018, draw) if draw else (near_duplicates._FACTORS, near_duplicates._SHIFTS)
+        tokens = near_duplicates._minwise(sets, *hashed)[:, : near_duplicates.TOKENS]
+        paths = near_duplicates._rooted(tokens, range(sum(trees[:draw]), sum(trees[:draw]) + n), depth)
+        met |= {i for i in range(1000) if len(np.intersect1d(paths[2 * i], paths[2 * i + 1]))}
+    assert len(met) >= 998
+
+
+def test_near_duplicates_trees_meet_the_recall_at_every_depth():
+    method = near_duplicates.Method()
+    trees = []
+    for depth in range(3, 31, 3):
+        trees.append(max(method.more_trees(trees, depth), 0 if trees else method.trees))
+        assert method.missed(trees, depth) <= 1 - method.recall
+    assert trees[0] >= 10
+
+
 # Decontamination ------------------------------------------------------------------------------------------------------
 
 
