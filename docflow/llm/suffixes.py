@@ -2,7 +2,7 @@
 
 A byte is removed if a string of `length` bytes that covers it starts anywhere else as well.  Every such string is
 represented by one suffix: that at its anchor, the place within it where a hash of the next `gram` bytes is least, so
-equal strings have equal anchors.  Anchors whose gram occurs once are done with.  Suffixes at the others are dealt out
+equal strings have equal anchors.  Anchors whose gram occurs once are done with.  Distinct suffixes at the others are dealt out
 in order by Spark and sorted in the tasks, multikey quicksort down to a shallow depth and blind tries for what is still
 equal there; the longest common prefix with a neighbour bounds how far any repeat reaches to the right, and so which
 starts of strings can repeat at all.  Those are confirmed by hashes of their whole content.
@@ -27,6 +27,9 @@ SHALLOW = 32
 _WORD = 8
 #: Texts are worked on in stretches of about this many bytes; places in a stretch fit into 24 bits.
 BLOCK_BYTES = 500_000
+#: Starts are handed on when there are so many; contexts meet the reach of their right side in so many shares.
+STARTS = 100_000
+SALTS = 16
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -252,8 +255,13 @@ def deep_shallow(items: list[bytes], depth: int, shallow: int = SHALLOW) -> list
     return out
 
 
-def _bounded_starts(length: int, gram: int):
-    """Starts of strings that may repeat, with hashes of their content."""
+def right_sides(contexts: DataFrame) -> DataFrame:
+    """gram, side, n and right: the distinct right sides of contexts, with a hash and the number of their contexts."""
+    return contexts.groupBy("gram", F.xxhash64("right").alias("side")).agg(F.count("*").alias("n"), F.first("right").alias("right"))
+
+
+def _reaches(gram: int):
+    """How far right sides, dealt out in order, agree with any other; in full if several contexts share one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -262,44 +270,56 @@ def _bounded_starts(length: int, gram: int):
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns, strict=True):
                 if held and row[0] != held[-1][0]:
-                    yield from _group_starts(held, length, gram, first, False)
+                    yield _group_reaches(held, gram, first, False)
                     held, first = [], False
                 held.append(row)
         if held:
-            yield from _group_starts(held, length, gram, first, True)
+            yield _group_reaches(held, gram, first, True)
 
     return rows
 
 
-def _group_starts(held: list[tuple], length: int, gram: int, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
-    rights = [r[4] for r in held]
+def _group_reaches(held: list[tuple], gram: int, first: bool, last: bool) -> pa.RecordBatch:
+    rights = [r[3] for r in held]
     ranked = deep_shallow(rights, gram)
     reach = [0] * len(held)
     for i, (k, shared) in enumerate(ranked):
         behind = shared if i or not first else len(rights[k])
         ahead = ranked[i + 1][1] if i + 1 < len(ranked) else len(rights[k]) if last else gram
-        reach[k] = max(behind, ahead)
-    grams, contexts, places, keys = [], [], [], []
-    for (g, context, before, left, right), far in zip(held, reach, strict=True):
-        more = len(right) + before - length
-        # A string that starts `place` bytes into the context ends length - (before - place) bytes behind the anchor.
-        most = min(more, far + before - length)
-        if most < 0:
-            continue
-        data = np.frombuffer(left + right, dtype=np.uint8)
-        own = np.arange(most + 1)
-        keys.append(_hashes(_sums(data), own, own + length))
-        places.append(own)
-        grams.append(np.full(len(own), g))
-        contexts.append(np.full(len(own), context))
-    if places:
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(grams), pa.int64()), pa.array(np.concatenate(contexts), pa.int64()), pa.array(np.concatenate(places).astype(np.int32)),
-                pa.array(np.concatenate(keys).view(np.int64)),
-            ],
-            ["gram", "context", "place", "content"],
-        )
+        reach[k] = len(rights[k]) if held[k][2] > 1 else max(behind, ahead)
+    columns = [pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.int64()), pa.array(reach, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["gram", "side", "reach"])
+
+
+def _bounded_starts(length: int):
+    """Starts of strings that may repeat, with hashes of their content, from contexts one by one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            for g, context, before, left, right, far in zip(*batch.columns, strict=True):
+                before, data = before.as_py(), left.as_py() + right.as_py()
+                # A string that starts `place` bytes into the context ends length - (before - place) bytes behind the anchor.
+                most = min(len(data) - length, far.as_py() + before - length)
+                if most < 0:
+                    continue
+                own = np.arange(most + 1)
+                keys = _hashes(_sums(np.frombuffer(data, dtype=np.uint8)), own, own + length)
+                out.append((np.full(len(own), g.as_py()), np.full(len(own), context.as_py()), own, keys))
+                size += len(own)
+                if size >= STARTS:
+                    yield _starts_batch(out)
+                    out, size = [], 0
+            if out:
+                yield _starts_batch(out)
+
+    return rows
+
+
+def _starts_batch(out: list[tuple]) -> pa.RecordBatch:
+    grams, contexts, places, keys = (np.concatenate(c) for c in zip(*out, strict=True))
+    columns = [pa.array(grams, pa.int64()), pa.array(contexts, pa.int64()), pa.array(places.astype(np.int32)), pa.array(keys.view(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["gram", "context", "place", "content"])
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -323,9 +343,15 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     found = asked.join(texts, _same(asked, texts)).select(texts["text"], "asked")
     spec = "gram long, context long, before int, left binary, right binary"
     contexts = written(found.mapInArrow(_cut_contexts(length), spec), "contexts")
-    size = contexts.agg(F.sum(F.octet_length("right") + F.octet_length("left") + 64)).first()[0] or 0
-    dealt = contexts.repartitionByRange(max(1, -(-size // (32 << 20))), "gram", "right").sortWithinPartitions("gram")
-    starts = dealt.mapInArrow(_bounded_starts(length, gram), "gram long, context long, place int, content long")
+    # A passage in many texts has one right side: right sides are sorted once, and their reach meets the contexts by salt.
+    sides = written(right_sides(contexts), "sides")
+    size = sides.agg(F.sum(F.octet_length("right") + 64)).first()[0] or 0
+    dealt = sides.repartitionByRange(max(1, -(-size // (32 << 20))), "gram", "right").sortWithinPartitions("gram")
+    reaches = dealt.mapInArrow(_reaches(gram), "gram long, side long, reach long")
+    reaches = reaches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = contexts.withColumn("side", F.xxhash64("right")).withColumn("salt", F.pmod("context", F.lit(SALTS)).cast("int"))
+    bounded = salted.join(reaches, ["gram", "side", "salt"]).select("gram", "context", "before", "left", "right", "reach")
+    starts = bounded.mapInArrow(_bounded_starts(length), "gram long, context long, place int, content long")
     starts = written(starts, "starts")
     # Equal strings have equal grams, so gram and content are two hashes of a string.
     twice = starts.groupBy("gram", "content").agg(F.count("*").alias("n")).where("n > 1").select("gram", "content")

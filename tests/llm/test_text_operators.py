@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docflow.llm import language, lines, near_duplicates, postings, suffixes
@@ -256,6 +257,26 @@ def test_substrings_against_brute_force(spark, monkeypatch):
     assert suffixes.dedup(frame.limit(0)).count() == 0
 
 
+def test_substrings_of_a_passage_in_many_texts(spark):
+    # As contexts: one gram and right side, every left side its own.
+    rows = [(7, i, 100, b"%0100d" % i, b"r" * 500) for i in range(3000)] + [(8, 1, 100, b"l" * 100, b"s" * 500)]
+    contexts = spark.createDataFrame(rows, "gram long, context long, before int, left binary, right binary")
+    assert sorted((r.gram, r.n, bytes(r.right)) for r in suffixes.right_sides(contexts).collect()) == [(7, 3000, b"r" * 500), (8, 1, b"s" * 500)]
+    assert suffixes._group_reaches([(7, 1, 3000, b"r" * 500)], 200, False, False).column(2).to_pylist() == [500]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+    asked = []
+
+    def batches():
+        for i in range(0, 3000, 100):
+            asked.append(i)
+            columns = zip(*[(*r, 500) for r in rows[i : i + 100]], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list("abcdef"))
+
+    starts = suffixes._bounded_starts(400)(batches())
+    assert next(starts).num_rows == 100 * 201 and asked == [0]
+    assert sum(b.num_rows for b in starts) == 2900 * 201
+
+
 def test_suffix_sorting():
     rng = random.Random(6)
     for _ in range(300):
