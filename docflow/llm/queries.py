@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import chat, html, language, lines, near_duplicates, neighbours, packing, postings, suffixes, warc
+from docflow.llm import (
+    alignment,
+    chat,
+    html,
+    language,
+    lines,
+    near_duplicates,
+    neighbours,
+    packing,
+    postings,
+    suffixes,
+    token_counts,
+    warc,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,10 +164,10 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id =
 FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = doc_id"""
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -186,3 +200,23 @@ its AS (SELECT r, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (r) LEFT JOIN its USING (r)"""
+
+
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.align(table(spark, folder, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return aligned.select(F.col("id").cast("long").alias("doc_id"), *names)
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"), components=8)
+    exact = F.col("deviation").cast("long").alias("deviation")
+    return found.select(F.col("id").alias("vec_id"), "component", "n", exact, "whitened", "explained", "identity_error")
+
+
+@query
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.count(table(spark, folder, "documents"), tokenizer_path(), limit=1024)
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
