@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,8 +34,13 @@ from docflow.llm.packing import _byte_letters
 CHUNK = 1 << 16
 FAN = 256
 LIMIT = 1024
-#: A worker starts to compile anew beyond so many states or words.
-MOST_STATES, MOST_WORDS, LONGEST_WORD = 200_000, 300_000, 64
+#: A worker starts to compile anew beyond so many states, and keeps so many words of so many bytes.
+MOST_STATES, MOST_WORDS, LONGEST_WORD = 250_000, 300_000, 64
+#: Transitions are kept in an array for so many different bytes; those of other bytes are worked out each time.
+COLUMNS = 64
+_NONE = [0] * COLUMNS
+#: The difference zero between two counts, as stored.
+ZERO = 1 << 15
 
 #: The contractions that this kind of tokenizer cuts off, by what follows the apostrophe.
 SHORT_CONTRACTIONS = "stmd"
@@ -62,41 +68,42 @@ class Vocabulary:
             raise ValueError("one special string whose first byte does not come again can be compiled")
         letters = _byte_letters()
         added = {t["content"] for t in stored["added_tokens"]}
-        self.tokens = {bytes(letters[c] for c in t) for t in model["vocab"] if t not in added}
+        own = (bytes(letters[c] for c in t) for t in model["vocab"] if t not in added)
+        self.tokens = {t: i for i, t in enumerate(own, 1)}
         self.starts = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {tuple(bytes(letters[c] for c in side) for side in pair): i for i, pair in enumerate(pairs)}
-        # The merge that makes a token: tokens are listed with their parts before them, so the first one counts.
-        self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
-        for (left, right), rank in self.ranks.items():
-            self.made.setdefault(left + right, (rank, left, right))
-        self._edges: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
-        self._together: dict[tuple[bytes, bytes], bool] = {}
-
-    def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        self.ranks: dict[int, int] = {}
+        # The merge that makes a token; its parts are listed before it.
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = (bytes(letters[c] for c in side) for side in (pair.split(" ") if isinstance(pair, str) else pair))
+            ids = self.tokens[left], self.tokens[right]
+            self.ranks[ids[0] << 20 | ids[1]] = rank
+            self.made.setdefault(self.tokens[left + right], (rank, *ids))
+        self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self._together: dict[int, bool] = {}
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces at the left (1) or right (2) edge of a token while it is merged, each with the rank that ends it."""
         found = self._edges.get((token, side))
         if found is None:
-            piece, until, found = token, len(self.ranks), []
-            while True:
-                found.append((piece, until))
-                if len(piece) == 1:
-                    break
-                until = self.made[piece][0]
-                piece = self.made[piece][side]
+            found = [(token, len(self.ranks))]
+            while found[-1][0] in self.made:
+                merge = self.made[found[-1][0]]
+                found.append((merge[side], merge[0]))
             self._edges[token, side] = found
         return found
 
-    def together(self, before: bytes | None, token: bytes) -> bool:
-        """Whether `token` can follow `before` in an encoding: no merge across their border comes first.
+    def together(self, before: int, token: int) -> bool:
+        """Whether `token` can follow `before` (0: the start of a word) in an encoding: no merge across their border
+        comes first.
 
         Merges run in order of their ranks, equal ones from the left, and up to the first merge across the border both
         sides go on as if alone.  So one of their edge pieces would have to merge with one of the other side while both
         are there.
         """
-        if before is None:
+        if not before:
             return True
-        key = (before, token)
+        key = before << 20 | token
         found = self._together.get(key)
         if found is None:
             if len(self._together) > MOST_WORDS:
@@ -105,7 +112,7 @@ class Vocabulary:
             found = True
             for left, left_until in self._edge(before, 2):
                 for piece, until in right:
-                    rank = ranks.get((left, piece))
+                    rank = ranks.get(left << 20 | piece)
                     if rank is not None and rank < left_until and rank <= until:
                         found = False
             self._together[key] = found
@@ -121,7 +128,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> tuple[_Words, int]:
         state, count = self.machine.run(self.state, word + b" ")
         found = self.machine.words(state), count
-        if len(word) <= LONGEST_WORD:
+        if len(word) <= LONGEST_WORD and self.machine.stored < MOST_WORDS:
             self[word] = found
             self.machine.stored += 1
         return found
@@ -138,14 +145,18 @@ class Transducer:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.special = self.vocabulary.special[0] if self.vocabulary.special else b""
-        self.empty = (b"", ((None, 0),))
+        self.empty = (b"", (ZERO,))
         self.clear()
 
     def clear(self) -> None:
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
-        self._steps: list[dict[int, tuple[int, int]]] = []
+        # Transitions over the bytes met first, COLUMNS a state: (next state * COLUMNS) << 8 | change + 128, 0 if not compiled.
+        self._steps = array("I")
+        self._columns = bytearray(256)
+        self._bytes = b"\0"
         self._tables: dict[int, _Words] = {}
+        self._endings: dict[bytes, tuple] = {}
         self.stored = 0
         self.start = self._intern((b"", b"", ("start",)))
 
@@ -153,15 +164,13 @@ class Transducer:
         """Forget what was compiled once it is too much; call between texts only."""
         if len(self._states) > MOST_STATES:
             self.clear()
-        elif self.stored > MOST_WORDS:
-            self._tables, self.stored = {}, 0
 
     def _intern(self, state: tuple) -> int:
-        if state not in self._ids:
-            self._ids[state] = len(self._states)
+        found = self._ids.setdefault(state, len(self._states))
+        if found == len(self._states):
             self._states.append(state)
-            self._steps.append({})
-        return self._ids[state]
+            self._steps.extend(_NONE)
+        return found
 
     def words(self, state: int) -> _Words:
         if state not in self._tables:
@@ -170,26 +179,34 @@ class Transducer:
 
     # One word: states of byte pair encoding.
 
+    def _ending(self, suffix: bytes) -> tuple:
+        """What can follow from a suffix: its longest end that begins a token; sizes and ids of the tokens that may end
+        here; for every position of that end, its size if it still matters and else 0."""
+        found = self._endings.get(suffix)
+        if found is None:
+            starts, tokens = self.vocabulary.starts, self.vocabulary.tokens
+            sizes = [size if suffix[-size:] in starts else 0 for size in range(len(suffix), 0, -1)]
+            while not sizes[0]:
+                del sizes[0]
+            ends = [(size, tokens[suffix[-size:]]) for size in sizes if suffix[-size:] in tokens and size]
+            found = self._endings[suffix] = suffix[-sizes[0] :], ends, sizes
+        return found
+
     def _push(self, prefix: tuple, byte: bytes) -> tuple[tuple, int]:
-        """The state after one more byte and the change of the count."""
+        """The state after one more byte of a word and the change of the count.
+
+        A state is (suffix, past): for the places before every byte of the suffix and at the end, the last token's id
+        << 16 | the count there less the count here + ZERO; 0 for places that no longer matter.
+        """
         suffix, past = prefix
-        suffix += byte
-        starts, tokens, together = self.vocabulary.starts, self.vocabulary.tokens, self.vocabulary.together
-        change = None
-        kept = [(byte, 0)]
-        # From the shortest suffix on: the one token that may end here, and the positions that still matter.
-        for size in range(1, len(suffix) + 1):
-            own = suffix[-size:]
-            if own in starts:
-                before = past[-size]
-                longest = size
-                if change is None and own in tokens and together(before[0], own):
-                    change, token = before[1] + 1, own
-                kept.append(before)
-            else:
-                kept.append(None)
-        past = [p and (p[0], p[1] - change) for p in kept[longest:0:-1]]
-        return (suffix[-longest:], (*past, (token, 0))), change
+        suffix, ends, sizes = self._ending(suffix + byte)
+        together = self.vocabulary.together
+        for size, token in ends:
+            before = past[-size]
+            if together(before >> 16, token):
+                break
+        change = (before & 0xFFFF) - ZERO + 1
+        return (suffix, (*[past[-size] - change if size else 0 for size in sizes], token << 16 | ZERO)), change
 
     def _extend(self, prefix: tuple, char: str) -> tuple[tuple, int]:
         total = 0
@@ -272,16 +289,30 @@ class Transducer:
         """By how much the count changes at the end of a text."""
         return self._extend(word[1], word[2])[1] if word[0] == "space" else 0
 
+    def _slow_step(self, state: int, code: int) -> tuple[int, int]:
+        """Compile a transition, and store it if its byte has a column."""
+        if not self._columns[code] and len(self._bytes) < COLUMNS:
+            self._columns[code] = len(self._bytes)
+            self._bytes += bytes([code])
+        after, change = self._compile(state, code)
+        if self._columns[code] and -128 < change < 128:
+            self._steps[state * COLUMNS + self._columns[code]] = after * COLUMNS << 8 | change + 128
+        return after, change
+
     def run(self, state: int, data: bytes) -> tuple[int, int]:
-        total = 0
-        steps = self._steps
-        for code in data:
-            step = steps[state].get(code)
-            if step is None:
-                step = steps[state][code] = self._compile(state, code)
-            state, count = step
-            total += count
-        return state, total
+        total, steps = 0, self._steps
+        at = state * COLUMNS
+        for i, column in enumerate(data.translate(self._columns)):
+            # Column 0 stands for all bytes without one and holds nothing.
+            step = steps[at + column]
+            if step:
+                at = step >> 8
+                total += (step & 255) - 128
+            else:
+                state, change = self._slow_step(at // COLUMNS, data[i])
+                at = state * COLUMNS
+                total += change
+        return at // COLUMNS, total
 
     def read(self, data: bytes) -> tuple[int, int]:
         """State and count after `data`, from the start of a text."""
