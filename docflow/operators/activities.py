@@ -77,14 +77,14 @@ def content_activities(
     """(io, rules, evidence) of the content-based activities, one per accepted type pair.
 
     io: activity_id, direction, cluster, variant; rules: activity_id, RULE;
-    evidence: activity_id, case_id, RULE, and cluster, ts, doc of both sides.
+    evidence: activity_id, case_id, norm, RULE, and cluster, variant, key, ts, doc of both sides.
     """
     io = directed.select(activity_id().alias("activity_id"), "direction", *OBJECT).distinct()
     ids = io.select("activity_id").distinct()
     rules = accepted.select(activity_id().alias("activity_id"), *RULE).distinct().join(ids, "activity_id", "left_semi")
     evidence = (
         small_join(instances.withColumn("activity_id", activity_id()), rules, ["activity_id", *RULE], "left_semi")
-        .select("activity_id", "case_id", *RULE, "cluster_1", "ts_1", "doc_1", "cluster_2", "ts_2", "doc_2")
+        .select("activity_id", "case_id", "norm", *RULE, *[f"{c}_{n}" for n in (1, 2) for c in ("cluster", "variant", "key", "ts", "doc")])
     )
     return io, rules, evidence
 
@@ -253,13 +253,16 @@ def select_cover(
     scores: DataFrame,
     layer: DataFrame | None = None,
     params: Params = DEFAULTS,
+    each_attribute_by_object: bool = False,
 ) -> DataFrame:
     """Activities worth keeping, best first: activity_id, score, reason.
 
     Greedy choice "take the next best if it brings something new" is the same as "keep what is first in
     score order for at least one of its items", because a skipped activity adds nothing new.  First pass:
     new (direction, object) items, reference inputs counting on their own; second pass: activities left
-    over that bring a key pair no kept activity of the same objects has.
+    over that bring a key pair no kept activity has.  With `each_attribute_by_object` a pair counts once for every
+    output object: an activity stays that is the best to bring a pair to an output which no kept activity brings it to,
+    though other objects have it.  Activities with equal input and output types bring no attributes there.
     """
     ranked = scores.where(F.col("score") >= params.min_score)
     order = [F.desc("score"), F.asc("activity_id")]
@@ -280,12 +283,19 @@ def select_cover(
         "activity_id", "score", F.lit("new objects").alias("reason")
     )
     left = per_activity.join(kept.select("activity_id"), "activity_id", "left_anti")
-    pair_items = rules.select("activity_id", "key_lo", "key_hi").distinct()
-    covered = pair_items.join(kept.select("activity_id"), "activity_id", "left_semi").select("key_lo", "key_hi").distinct()
-    fresh = pair_items.join(left.select("activity_id", "score"), "activity_id").join(
-        covered, ["key_lo", "key_hi"], "left_anti"
-    )
-    by_key = Window.partitionBy("key_lo", "key_hi").orderBy(*order)
+    item = ["key_lo", "key_hi"]
+    pair_items = rules.select("activity_id", *item).distinct()
+    if each_attribute_by_object:
+        types = lambda side: F.array_sort(F.collect_set(F.when(F.col("direction") == side, F.col("cluster"))))
+        moving = io.groupBy("activity_id").agg(types("input").alias("_in"), types("output").alias("_out"))
+        moving = moving.where(F.col("_in") != F.col("_out")).select("activity_id")
+        outputs = io.where(F.col("direction") == "output").select("activity_id", *OBJECT).distinct()
+        carrying = rules.where(F.col("rule_type").isin("SAME_KEY_VALUE_PAIR", "SAME_VALUE"))
+        pair_items = carrying.select("activity_id", *item).distinct().join(outputs, "activity_id").join(moving, "activity_id")
+        item = [*OBJECT, *item]
+    covered = pair_items.join(kept.select("activity_id"), "activity_id", "left_semi").select(*item).distinct()
+    fresh = pair_items.join(left.select("activity_id", "score"), "activity_id").join(covered, item, "left_anti")
+    by_key = Window.partitionBy(*item).orderBy(*order)
     second = (
         fresh.withColumn("_rk", F.row_number().over(by_key))
         .where(F.col("_rk") == 1)
@@ -325,14 +335,30 @@ def prune_rules(io: DataFrame, rules: DataFrame, scores: DataFrame) -> DataFrame
     )
 
 
-def merge_identical(io: DataFrame) -> DataFrame:
-    """Activities with equal input types and equal output types form one group: activity_id, merged_id."""
+def merge_identical(io: DataFrame, uses: DataFrame | None = None, params: Params = DEFAULTS) -> DataFrame:
+    """Activities with equal input types and equal output types that become one: activity_id, merged_id.
+
+    Without `uses` every group of equal sides is one.  With it (see document_uses) two activities of a group belong
+    together where their documents overlap by more than `identical_overlap` on both sides, and groups are closed
+    transitively: one whose activities use different documents falls apart.
+    """
     sides = io.groupBy("activity_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("direction") == "input", F.col("cluster")))).alias("_in"),
         F.array_sort(F.collect_set(F.when(F.col("direction") == "output", F.col("cluster")))).alias("_out"),
     )
-    groups = sides.groupBy("_in", "_out").agg(F.min("activity_id").alias("merged_id"))
-    return sides.join(groups, ["_in", "_out"]).select("activity_id", "merged_id")
+    if uses is None:
+        groups = sides.groupBy("_in", "_out").agg(F.min("activity_id").alias("merged_id"))
+        return sides.join(groups, ["_in", "_out"]).select("activity_id", "merged_id")
+    sides = cut_lineage(sides)
+    one, two = (sides.select("_in", "_out", F.col("activity_id").alias(n)) for n in ("id_1", "id_2"))
+    equal = one.join(two, ["_in", "_out"]).where(F.col("id_1") < F.col("id_2")).select("id_1", "id_2")
+    close = (
+        side_overlap(uses)
+        .groupBy("id_1", "id_2")
+        .agg(F.min("overlap").alias("_least"), F.count("*").alias("_sides"))
+        .where((F.col("_sides") == 2) & (F.col("_least") > params.identical_overlap))
+    )
+    return merge_groups(io, equal.join(close, ["id_1", "id_2"], "left_semi"))
 
 
 def merge_candidates(io: DataFrame, relations: DataFrame, layer: DataFrame | None = None) -> DataFrame:
@@ -386,11 +412,57 @@ def merge_candidates(io: DataFrame, relations: DataFrame, layer: DataFrame | Non
     return out.distinct()
 
 
+def object_links(evidence: DataFrame) -> DataFrame:
+    """Which objects an activity relates to each other, both ways: activity_id, node, partner."""
+    one, two = (F.concat_ws("_", f"cluster_{n}", f"variant_{n}") for n in (1, 2))
+    pairs = evidence.select("activity_id", one.alias("node"), two.alias("partner")).distinct()
+    return pairs.unionByName(pairs.select("activity_id", F.col("partner").alias("node"), F.col("node").alias("partner"))).distinct()
+
+
+def related_candidates(io: DataFrame, links: DataFrame, relations: DataFrame) -> DataFrame:
+    """Pairs of activities that may be one because their objects follow each other or are parallel: id_1 < id_2, why,
+    votes.
+
+    Two activities that share an input are judged by their outputs, two that share an output by their inputs.  Every
+    object of the one with every object of the other votes if both are related to a common third object (`links`, see
+    object_links): +1 where the footprint has them in sequence, either way, or parallel, and -1 otherwise, also for an
+    object with itself.  Outputs need a positive sum; for inputs a tie is enough, so no vote at all passes too.
+    `relations`: a, b, rel over object names.
+    """
+    named = io.select("activity_id", "direction", F.concat_ws("_", *OBJECT).alias("node")).distinct()
+    near = relations.where(F.col("rel").isin("sequence", "parallel")).select("a", "b")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("_near", F.lit(1))
+
+    def side(rows: DataFrame, n: int, node: str) -> DataFrame:
+        return rows.select(F.col("activity_id").alias(f"id_{n}"), F.col("node").alias(node))
+
+    def candidates(same: str, other: str, least: int, why: str) -> DataFrame:
+        shared, judged = (named.where(F.col("direction") == d) for d in (same, other))
+        pairs = side(shared, 1, "_same").join(side(shared, 2, "_same"), "_same")
+        pairs = pairs.where(F.col("id_1") < F.col("id_2")).select("id_1", "id_2").distinct()
+        related = judged.join(links, ["activity_id", "node"])
+        one = related.select(F.col("activity_id").alias("id_1"), F.col("node").alias("a"), "partner")
+        two = related.select(F.col("activity_id").alias("id_2"), F.col("node").alias("b"), "partner")
+        met = pairs.join(one, "id_1").join(two, ["id_2", "partner"]).select("id_1", "id_2", "a", "b").distinct()
+        vote = F.when(F.col("_near") == 1, 1).otherwise(-1)
+        votes = met.join(near, ["a", "b"], "left").groupBy("id_1", "id_2").agg(F.sum(vote).alias("votes"))
+        counted = pairs.join(votes, ["id_1", "id_2"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+        return counted.where(F.col("votes") >= least).select("id_1", "id_2", F.lit(why).alias("why"), "votes")
+
+    return candidates("input", "output", 1, "related outputs").unionByName(candidates("output", "input", 0, "related inputs"))
+
+
 def document_uses(evidence: DataFrame, io: DataFrame) -> DataFrame:
     """Documents an activity uses on each side: activity_id, direction, cluster, doc.
 
-    `evidence` carries cluster_1, doc_1, cluster_2, doc_2.
+    `evidence` lists activity_id, cluster, variant, doc (see relations.evidence_documents with activity_id carried): a
+    document is used on the side that its type and variant have in `io`.  Evidence of one document a side (cluster_1,
+    doc_1, cluster_2, doc_2) goes by the type alone.
     """
+    if "doc" in evidence.columns:
+        sides = io.select("activity_id", "direction", *OBJECT).distinct()
+        used = small_join(evidence.select("activity_id", *OBJECT, "doc"), sides, ["activity_id", *OBJECT])
+        return used.select("activity_id", "cluster", "doc", "direction").distinct()
     used = evidence.select(
         "activity_id", F.col("cluster_1").alias("cluster"), F.col("doc_1").alias("doc")
     ).unionByName(
@@ -487,21 +559,85 @@ def merge_groups(io: DataFrame, valid: DataFrame) -> DataFrame:
     )
 
 
+#: What the rest of an activity that merges in part is called.
+REST = "#rest"
+
+
+def merge_parts(valid: DataFrame, evidence: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """What stays outside a merge: activity_id, case_id of the cases that an activity keeps for itself.
+
+    `valid`: validate_merges.  Where the cases of two activities overlap by less than `partial_overlap`, only the cases
+    that they share merge; an activity's others are its rest.  In a group of several a case is shared as soon as one of
+    the activity's own partners has it.
+    """
+    both = valid.select("id_1", "id_2", "overlap").unionByName(
+        valid.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "overlap")
+    )
+    both = both.distinct().select(F.col("id_1").alias("activity_id"), F.col("id_2").alias("_other"), "overlap")
+    cases = evidence.select("activity_id", "case_id").distinct()
+    partial = both.where(F.col("overlap") < params.partial_overlap).select("activity_id").distinct()
+    own = cut_lineage(small_join(cases, partial, ["activity_id"]))
+    other = cases.withColumnRenamed("activity_id", "_other")
+    shared = small_join(own, both.drop("overlap"), ["activity_id"]).join(other, ["_other", "case_id"], "left_semi")
+    return own.join(shared.select("activity_id", "case_id").distinct(), ["activity_id", "case_id"], "left_anti")
+
+
+def part_documents(rest: DataFrame, groups: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents of merged and rest activities: activity_id, doc.
+
+    `documents`: activity_id, case_id, doc.  A rest keeps the documents of its own cases that no merged case of its group
+    uses; one that both use (a shared reference) belongs to the merged part.
+    """
+    rows = small_join(documents.select("activity_id", "case_id", "doc").distinct(), groups, ["activity_id"])
+    rows = rows.join(rest.withColumn("_rest", F.lit(True)), ["activity_id", "case_id"], "left")
+    is_rest = F.coalesce("_rest", F.lit(False))
+    marked = rows.select("merged_id", "activity_id", "doc", is_rest.alias("_rest"))
+    per_doc = marked.groupBy("merged_id", "doc").agg(
+        F.bool_and("_rest").alias("_only"), F.collect_set(F.when(F.col("_rest"), F.col("activity_id"))).alias("_ids")
+    )
+    merged = per_doc.where(~F.col("_only")).select(F.col("merged_id").alias("activity_id"), "doc")
+    kept = per_doc.where("_only").select(F.explode("_ids").alias("activity_id"), "doc")
+    return merged.unionByName(kept.select(F.concat("activity_id", F.lit(REST)).alias("activity_id"), "doc"))
+
+
 def apply_merge(
-    groups: DataFrame, io: DataFrame, rules: DataFrame, evidence: DataFrame
+    groups: DataFrame, io: DataFrame, rules: DataFrame, evidence: DataFrame, rest: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """io, rules and evidence of the merged activities, as set unions."""
+    """io, rules and evidence of the merged activities, as set unions.
+
+    With `rest` (see merge_parts) the evidence of those cases goes to an activity of its own with the sides and rules of
+    the whole, named by its id and REST.
+    """
     def moved(df: DataFrame) -> DataFrame:
         moved_rows = small_join(df, groups, ["activity_id"]).drop("activity_id")
         return moved_rows.withColumnRenamed("merged_id", "activity_id")
 
-    return moved(io).distinct(), moved(rules).distinct(), moved(evidence).distinct()
+    if rest is None:
+        return moved(io).distinct(), moved(rules).distinct(), moved(evidence).distinct()
+    rest = cut_lineage(rest.select("activity_id", "case_id").distinct())
+    ids = cut_lineage(rest.select("activity_id").distinct())
+    named = F.concat("activity_id", F.lit(REST)).alias("activity_id")
+
+    def with_rest(df: DataFrame) -> DataFrame:
+        own = small_join(df, ids, ["activity_id"])
+        return moved(df).unionByName(own.select(named, *[c for c in own.columns if c != "activity_id"])).distinct()
+
+    keys = ["activity_id", "case_id"]
+    left = evidence.join(rest, keys, "left_semi")
+    merged = moved(evidence.join(rest, keys, "left_anti"))
+    return with_rest(io), with_rest(rules), merged.unionByName(left.withColumn("activity_id", named), allowMissingColumns=True).distinct()
+
+
+def _documents(evidence: DataFrame) -> DataFrame:
+    """activity_id, doc from evidence with all its documents (doc) or with one a side (doc_1, doc_2)."""
+    doc = F.col("doc") if "doc" in evidence.columns else F.explode(F.array("doc_1", "doc_2"))
+    return evidence.select("activity_id", doc.alias("doc")).distinct()
 
 
 def clean_up(io: DataFrame, evidence: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """After merging: where two activities with a common object on the same side use mostly the same
     documents, the one with fewer documents gives the object up.  Result: io without those rows."""
-    docs = evidence.select("activity_id", F.explode(F.array("doc_1", "doc_2")).alias("doc")).distinct()
+    docs = _documents(evidence)
     close = set_overlap(docs, ["activity_id"], "doc").where(F.col("jaccard") > params.document_overlap)
     loser = close.select(
         F.when(F.col("n_1") < F.col("n_2"), F.col("activity_id_1")).otherwise(F.col("activity_id_2")).alias("activity_id"),
@@ -522,7 +658,7 @@ def clean_up(io: DataFrame, evidence: DataFrame, params: Params = DEFAULTS) -> D
 
 def used_same_documents(evidence: DataFrame) -> DataFrame:
     """Jaccard of the documents behind two activities."""
-    docs = evidence.select("activity_id", F.explode(F.array("doc_1", "doc_2")).alias("doc")).distinct()
+    docs = _documents(evidence)
     return set_overlap(docs, ["activity_id"], "doc")
 
 

@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Params
 from docflow.operators.pairs import rule_of
-from docflow.operators.skew import small_join
+from docflow.operators.skew import lookup_join, running_sum, small_join
 
 PAIR = ["cluster_1", "variant_1", "cluster_2", "variant_2"]
 RULE = ["rule_type", "key_lo", "key_hi"]
 
 
 def relation_instances(case_leaf: DataFrame) -> DataFrame:
-    """Rule occurrences: case_id, PAIR, RULE, w_1 (-1 when object 1 is the input, else 1), ts_1, ts_2.
+    """Rule occurrences: case_id, PAIR, RULE, w_1 (-1 when object 1 is the input, else 1), and of either side the
+    key, the first time and the least document; evidence_documents gives all documents behind them.
 
     `case_leaf`: case_id, cluster, variant_id, doc_id, key, norm, final_ts, is_shared.  An object is a
     (cluster, variant); pass variant_id 0 throughout to compare types instead of numbered documents.
@@ -50,6 +51,8 @@ def relation_instances(case_leaf: DataFrame) -> DataFrame:
         F.least("key_1", "key_2").alias("key_lo"),
         F.greatest("key_1", "key_2").alias("key_hi"),
         weight.alias("w_1"),
+        "key_1",
+        "key_2",
         "ts_1",
         "ts_2",
         "doc_1",
@@ -58,6 +61,62 @@ def relation_instances(case_leaf: DataFrame) -> DataFrame:
     )
 
 
+def evidence_documents(instances: DataFrame, case_leaf: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """All documents behind rule occurrences: `carry`, PAIR, RULE, case_id, norm, side, cluster, variant, key, doc, ts.
+
+    An occurrence stands for every document of its first cell with every one of its second: (case, value, type,
+    variant, key) on either side.  Instead of these pairs each side lists its own documents, so the result grows with the
+    documents and not with their square; pairs of one occurrence are the combinations of its two sides.
+
+    `case_leaf` as in relation_instances; `instances` may be any part of its result (accepted rules, activities), with
+    further columns named in `carry`.  A document that holds a value twice is listed once.  A cell meets as many rows as
+    there are rules on it, which the types bound; a cell of very many documents is dealt out.
+    """
+    kept = [*(carry or []), *PAIR, *RULE, "case_id", "norm"]
+    cell = ["case_id", "norm", "cluster", "variant", "key"]
+    sides = [
+        instances.select(
+            *kept,
+            F.lit(n).alias("side"),
+            F.col(f"cluster_{n}").alias("cluster"),
+            F.col(f"variant_{n}").alias("variant"),
+            F.col(f"key_{n}").alias("key"),
+        )
+        for n in (1, 2)
+    ]
+    occurrences = sides[0].unionByName(sides[1]).distinct()
+    members = case_leaf.groupBy("case_id", "norm", "cluster", F.col("variant_id").alias("variant"), "key", F.col("doc_id").alias("doc")).agg(
+        F.min("final_ts").alias("ts")
+    )
+    out = lookup_join(members, occurrences, cell)
+    return out.select(*kept, "side", "cluster", "variant", "key", "doc", "ts")
+
+
+def document_directions(evidence: DataFrame) -> DataFrame:
+    """Over all document pairs of two sides: PAIR, n_pairs, n_before (first side earlier), n_after, weight.
+
+    `evidence`: evidence_documents.  Weight is the mean over the pairs of -1 where the first document is earlier and 1
+    otherwise, as for single documents; within a type the lower variant counts as earlier.  Pairs are counted, not
+    listed: in order of time every document of the second side adds the number of first-side documents before it.
+    Documents without a time take no part.
+    """
+    occurrence = [*PAIR, *RULE, "case_id", "norm"]
+    timed = evidence.where(F.col("ts").isNotNull())
+    per_time = timed.groupBy(*occurrence, "ts").agg(
+        F.count(F.when(F.col("side") == 1, 1)).alias("_one"), F.count(F.when(F.col("side") == 2, 1)).alias("_two")
+    )
+    before = running_sum(per_time, occurrence, ["ts"], "_one", "_earlier")
+    per_case = before.groupBy(*occurrence).agg(
+        F.sum(F.col("_earlier") * F.col("_two")).alias("_b"), (F.sum("_one") * F.sum("_two")).alias("_n")
+    )
+    first = F.when(F.col("cluster_1") == F.col("cluster_2"), F.col("_n")).otherwise(F.col("_b"))
+    totals = per_case.groupBy(*PAIR).agg(F.sum("_n").alias("n_pairs"), F.sum(first).alias("n_before"))
+    after = F.col("n_pairs") - F.col("n_before")
+    return totals.where(F.col("n_pairs") > 0).select(
+        *PAIR, "n_pairs", "n_before", after.alias("n_after"), ((after - F.col("n_before")) / F.col("n_pairs")).alias("weight")
+    )
+
+
 def relation_counts(instances: DataFrame, variants: DataFrame) -> DataFrame:
     """Cases per pair and rule, and the expected number: the cases of all variants in which it occurs.
 

@@ -194,3 +194,41 @@ def number_rows(
         .drop("_piece", "_before")
     )
     return cold.unionByName(warm)
+
+
+def running_sum(
+    df: DataFrame,
+    part: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    hot: Sequence[int] | None = None,
+    min_rows: int | None = None,
+) -> DataFrame:
+    """Add `name` = sum of `value` over the rows before this one in its key's order (0 for the first).
+
+    `order` must be a total order within the key.
+    """
+    part, order = list(part), list(order)
+    if hot is None:
+        hot = hot_keys(df, part, min_rows)
+    before = Window.unboundedPreceding, -1
+
+    def total(window):
+        return F.coalesce(F.sum(value).over(window.rowsBetween(*before)), F.lit(0))
+
+    plain = total(Window.partitionBy(*part).orderBy(*order))
+    if not hot:
+        return df.withColumn(name, plain)
+    cold = df.where(~_is_hot(part, hot)).withColumn(name, plain)
+    pieces = _range_pieces(df.where(_is_hot(part, hot)), part, order)
+    per_piece = pieces.groupBy(*part, "_piece").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*part).orderBy("_piece").rowsBetween(*before)
+    offsets = per_piece.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    warm = (
+        pieces.withColumn(name, total(Window.partitionBy(*part, "_piece").orderBy(*order)))
+        .join(F.broadcast(offsets), [*part, "_piece"])
+        .withColumn(name, F.col(name) + F.col("_before"))
+        .drop("_piece", "_before")
+    )
+    return cold.unionByName(warm)

@@ -123,9 +123,10 @@ def case_log(found: Cases, by_variant: bool = False) -> DataFrame:
 
 
 def content_activities(found: Cases, params: Params = DEFAULTS) -> dict[str, DataFrame]:
-    """Scored, selected and merged content-based activities: io, rules, evidence, scores, selected,
-    merged_io."""
+    """Scored, selected and merged content-based activities: io, rules, evidence, documents (all behind the selected
+    ones), scores, selected, merged_io, merged_rules, merged_evidence."""
     instances, judged = content_relations(found, params)
+    case_leaf = case_leaves(found)
     accepted = judged.where("accepted")
     directed = cut_lineage(act.directed_objects(relations.relation_objects(instances, accepted), params))
     io, rules, evidence = (cut_lineage(t) for t in act.content_activities(directed, accepted, instances))
@@ -142,18 +143,28 @@ def content_activities(found: Cases, params: Params = DEFAULTS) -> dict[str, Dat
     selected = cut_lineage(act.select_cover(io, rules, scores, layer, params))
     chosen_io = cut_lineage(io.join(selected.select("activity_id"), "activity_id", "left_semi"))
     chosen_evidence = evidence.join(selected.select("activity_id"), "activity_id", "left_semi")
-    candidates = act.merge_candidates(chosen_io, steps, layer)
-    uses = act.document_uses(chosen_evidence, chosen_io)
-    valid = cut_lineage(act.validate_merges(candidates, chosen_io, chosen_evidence, log, uses, params))
+    documents = cut_lineage(relations.evidence_documents(chosen_evidence, case_leaf, carry=["activity_id"]))
+    uses = cut_lineage(act.document_uses(documents, chosen_io))
+    identical = act.merge_identical(chosen_io, uses, params).where(F.col("activity_id") != F.col("merged_id"))
+    # The activity that gives a group of identical ones its name, with each of the others.
+    same = identical.select(F.col("merged_id").alias("id_1"), F.col("activity_id").alias("id_2"), F.lit("identical").alias("why"))
+    related = act.related_candidates(chosen_io, cut_lineage(act.object_links(chosen_evidence)), steps).drop("votes")
+    candidates = cut_lineage(act.merge_candidates(chosen_io, steps, layer).unionByName(related))
+    valid = act.validate_merges(candidates, chosen_io, chosen_evidence, log, uses, params)
+    valid = cut_lineage(valid.unionByName(same.withColumn("overlap", F.lit(1.0))))
     groups = cut_lineage(act.merge_groups(chosen_io, valid))
-    merged_io, merged_rules, merged_evidence = act.apply_merge(groups, chosen_io, rules, chosen_evidence)
+    rest = cut_lineage(act.merge_parts(valid, chosen_evidence, params))
+    merged_io, merged_rules, merged_evidence = act.apply_merge(groups, chosen_io, rules, chosen_evidence, rest)
+    merged_documents = act.part_documents(rest, groups, documents)
     return {
         "io": io,
         "rules": rules,
         "evidence": evidence,
         "scores": scores,
         "selected": selected,
-        "merged_io": act.clean_up(merged_io, merged_evidence, params),
+        "merged_io": act.clean_up(merged_io, merged_documents, params),
         "merged_rules": merged_rules,
+        "merged_evidence": merged_evidence,
+        "documents": documents,
         "judged": judged,
     }

@@ -61,12 +61,16 @@ INSTANCES = """cl AS (
     UNION ALL SELECT o_orderkey, 'customer', NULL, true, 'custkey', c_custkey FROM orders JOIN customer ON c_custkey = o_custkey
     UNION ALL SELECT o_orderkey, 'customer', NULL, true, 'nationkey', c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey),
   cells AS MATERIALIZED (SELECT case_id, cluster, key, v, min(ts) AS ts, bool_or(shared) AS shared FROM cl GROUP BY 1, 2, 3, 4),
-  inst AS (SELECT x.case_id, x.cluster AS cluster_1, y.cluster AS cluster_2,
+  met AS MATERIALIZED (SELECT case_id, v, list({'cluster': cluster, 'key': key, 'v': v, 'ts': ts, 'shared': shared}) AS l
+    FROM cells GROUP BY case_id, v HAVING count(*) > 1),
+  met_x AS (SELECT case_id, l, unnest(l) AS x FROM met), met_xy AS (SELECT case_id, x, unnest(l) AS y FROM met_x),
+  inst AS (SELECT case_id, x.cluster AS cluster_1, y.cluster AS cluster_2,
       CASE WHEN x.key = y.key THEN 'SAME_KEY_VALUE_PAIR' WHEN x.v IN (0, 1) THEN 'SAME_COMMON_VALUE' ELSE 'SAME_VALUE' END AS rule_type,
       least(x.key, y.key) AS key_lo, greatest(x.key, y.key) AS key_hi, 'n:' || x.v AS norm,
       CASE WHEN NOT x.shared AND NOT y.shared THEN CASE WHEN x.ts < y.ts THEN -1 ELSE 1 END
-        WHEN x.shared AND NOT y.shared THEN -1 WHEN y.shared AND NOT x.shared THEN 1 ELSE 0 END AS w_1, x.ts AS ts_1, y.ts AS ts_2
-    FROM cells x JOIN cells y ON [x.case_id, x.v] = [y.case_id, y.v] WHERE x.cluster < y.cluster)"""
+        WHEN x.shared AND NOT y.shared THEN -1 WHEN y.shared AND NOT x.shared THEN 1 ELSE 0 END AS w_1, x.ts AS ts_1, y.ts AS ts_2,
+      x.key AS key_1, y.key AS key_2
+    FROM met_xy WHERE x.cluster < y.cluster)"""
 
 
 @query(
@@ -161,6 +165,80 @@ def directed_objects(spark, folder):
     return out.select("cluster_1", "cluster_2", "cluster", F.round("weight", 9).alias("weight"), "direction")
 
 
+def line_leaf(spark, folder):
+    """case_leaf with every order line as a document of its own, so that a case holds several of a type."""
+    lines = table(spark, folder, "lineitem")
+    head = lines.select(
+        F.col("l_orderkey").alias("case_id"),
+        F.concat(F.lit("line_"), "l_linenumber").alias("doc_id"),
+        F.concat(F.lit("ship_"), "l_returnflag").alias("cluster"),
+        F.col("l_shipdate").cast("timestamp").alias("final_ts"),
+        *[F.col(f"l_{k}").cast("long").alias(k) for k in ("orderkey", "partkey", "suppkey")],
+    )
+    leaf = row_leaves(head, {c: c for c in ("case_id", "doc_id", "cluster", "final_ts")}, ["orderkey", "partkey", "suppkey"])
+    shipped = leaf.select("case_id", "doc_id", "cluster", "final_ts", "key", "norm", F.lit(False).alias("is_shared"), F.lit(0).alias("variant_id"))
+    return case_leaf(spark, folder).where(~F.col("cluster").startswith("ship_")).unionByName(shipped)
+
+
+DOCUMENTS = f"""{INSTANCES}, {COUNTS}, {JUDGED}, hit AS MATERIALIZED (SELECT DISTINCT i.case_id, i.cluster_1, i.cluster_2, i.rule_type, i.key_lo, i.key_hi, norm,
+      i.key_1, i.key_2 FROM inst i JOIN judged j ON j.reason IS NULL AND j.cluster_1 = i.cluster_1 AND j.cluster_2 = i.cluster_2
+      AND j.rule_type = i.rule_type AND j.key_lo = i.key_lo AND j.key_hi = i.key_hi),
+  own AS MATERIALIZED (SELECT o_orderkey AS case_id, 'order' AS cluster, 'orderkey' AS key, 'n:' || o_orderkey AS norm, 'order' AS doc, o_orderdate AS ts FROM orders
+    UNION ALL SELECT o_orderkey, 'order', 'custkey', 'n:' || o_custkey, 'order', o_orderdate FROM orders
+    UNION ALL SELECT o_orderkey, 'customer', 'custkey', 'n:' || c_custkey, 'customer', NULL FROM orders JOIN customer ON c_custkey = o_custkey
+    UNION ALL SELECT o_orderkey, 'customer', 'nationkey', 'n:' || c_nationkey, 'customer', NULL FROM orders JOIN customer ON c_custkey = o_custkey
+    UNION ALL SELECT l_orderkey, 'ship_' || l_returnflag, k.key, 'n:' || k.v, 'line_' || l_linenumber, l_shipdate FROM lineitem,
+      LATERAL (SELECT unnest([{{'key': 'orderkey', 'v': l_orderkey}}, {{'key': 'partkey', 'v': l_partkey}}, {{'key': 'suppkey', 'v': l_suppkey}}]) AS k)),
+  side AS (SELECT case_id, cluster_1, cluster_2, rule_type, key_lo, key_hi, norm, 1 AS side, cluster_1 AS cluster, key_1 AS key FROM hit
+    UNION SELECT case_id, cluster_1, cluster_2, rule_type, key_lo, key_hi, norm, 2, cluster_2, key_2 FROM hit),
+  docs AS MATERIALIZED (SELECT case_id, cluster_1, cluster_2, rule_type, key_lo, key_hi, norm, side, cluster, key, doc, min(ts) AS ts
+    FROM side JOIN own USING (case_id, cluster, key, norm) GROUP BY ALL)"""
+
+
+def _documents(spark, folder):
+    """(accepted relations, all documents behind their occurrences) with order lines as documents."""
+    leaf = line_leaf(spark, folder)
+    found = cut_lineage(relations.relation_instances(leaf))
+    accepted = _judged(spark, folder, found).where("accepted")
+    hits = relations.small_join(found, accepted.select(*relations.PAIR, *relations.RULE), [*relations.PAIR, *relations.RULE], "left_semi")
+    return accepted, found, relations.evidence_documents(hits, leaf)
+
+
+@query(
+    "relation_documents",
+    f"WITH {DOCUMENTS} SELECT case_id, cluster_1, cluster_2, rule_type, key_lo, key_hi, norm, side, doc, ts FROM docs",
+)
+def relation_documents(spark, folder):
+    found = _documents(spark, folder)[2]
+    return found.select("case_id", "cluster_1", "cluster_2", *relations.RULE, "norm", "side", "doc", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(
+    "relation_document_directions",
+    f"""WITH {DOCUMENTS}, one AS MATERIALIZED (SELECT * FROM docs WHERE side = 1 AND ts IS NOT NULL), two AS MATERIALIZED (SELECT * FROM docs WHERE side = 2 AND ts IS NOT NULL),
+    dp AS (SELECT cluster_1, cluster_2, count(*) AS n_pairs, count(*) FILTER (WHERE x.ts < y.ts) AS n_before
+      FROM one x JOIN two y USING (case_id, cluster_1, cluster_2, rule_type, key_lo, key_hi, norm) GROUP BY 1, 2)
+    SELECT cluster_1, cluster_2, n_pairs, n_before, n_pairs - n_before AS n_after, round((n_pairs - 2 * n_before) / n_pairs::DOUBLE, 9) AS weight FROM dp""",
+)
+def relation_document_directions(spark, folder):
+    found = relations.document_directions(_documents(spark, folder)[2])
+    return found.select("cluster_1", "cluster_2", "n_pairs", "n_before", "n_after", F.round("weight", 9).alias("weight"))
+
+
+@query(
+    "activity_document_uses",
+    f"""WITH {DOCUMENTS}, {DIRECTED} SELECT d.cluster_1 || '|0|' || d.cluster_2 || '|0' AS activity_id, g.direction, d.cluster, count(DISTINCT d.case_id || ':' || d.doc) AS n_docs
+    FROM docs d JOIN (SELECT DISTINCT cluster_1, cluster_2, cluster, direction FROM directed) g USING (cluster_1, cluster_2, cluster) GROUP BY 1, 2, 3""",
+)
+def activity_document_uses(spark, folder):
+    """Documents of several a type and case that activities use on either side."""
+    accepted, found, documents = _documents(spark, folder)
+    directed = cut_lineage(act.directed_objects(relations.relation_objects(found, accepted)))
+    io = cut_lineage(directed.select(act.activity_id().alias("activity_id"), "direction", *act.OBJECT).distinct())
+    named = documents.withColumn("activity_id", act.activity_id()).withColumn("doc", F.concat_ws(":", "case_id", "doc"))
+    return act.document_uses(named, io).groupBy("activity_id", "direction", "cluster").agg(F.count("*").alias("n_docs"))
+
+
 def _activities(spark, folder):
     """io, rules and evidence of the content activities of the order cases."""
     found = cut_lineage(relations.relation_instances(case_leaf(spark, folder)))
@@ -280,6 +358,42 @@ def activity_selection(spark, folder):
     return out.withColumn("score", F.round("score", 6))
 
 
+def _line_activities(spark, folder):
+    """Ranked activities over real keys: every part is an activity that brings its suppliers, as attributes, to the return
+    flags of its lines."""
+    part = F.concat(F.lit("part_"), F.col("l_partkey").cast("string"))
+    seen = table(spark, folder, "lineitem").groupBy(part.alias("activity_id"), F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("key")).agg(F.sum("l_quantity").alias("n"))
+    seen = cut_lineage(seen)
+    scores = seen.groupBy("activity_id").agg((F.sum("n").cast("double") + 10).alias("score"))
+    io = seen.select("activity_id", F.lit("output").alias("direction"), F.concat(F.lit("flag_"), "flag").alias("cluster"), F.lit(0).alias("variant")).distinct()
+    source = seen.select("activity_id", F.lit("input").alias("direction"), F.lit("part").alias("cluster"), F.lit(0).alias("variant")).distinct()
+    name = F.concat(F.lit("k"), F.col("key").cast("string"))
+    rules = seen.where(F.col("key") % 7 != F.length("activity_id") % 7).select("activity_id", F.lit("SAME_VALUE").alias("rule_type"), name.alias("key_lo"), F.lit("z").alias("key_hi")).distinct()
+    return io.unionByName(source), rules, scores
+
+
+LINE_COVER = """la AS MATERIALIZED (SELECT 'part_' || l_partkey AS activity_id, l_returnflag AS flag, l_suppkey AS key, sum(l_quantity) AS n FROM lineitem GROUP BY 1, 2, 3),
+  ls AS MATERIALIZED (SELECT activity_id, sum(n)::DOUBLE + 10 AS score FROM la GROUP BY 1),
+  li AS (SELECT DISTINCT activity_id, 'output' AS direction, 'flag_' || flag AS cluster FROM la UNION SELECT DISTINCT activity_id, 'input', 'part' FROM la),
+  lr AS (SELECT DISTINCT activity_id, 'k' || key AS k FROM la WHERE key % 7 <> length(activity_id) % 7),
+  lk AS MATERIALIZED (SELECT DISTINCT activity_id FROM (SELECT activity_id, row_number() OVER (PARTITION BY direction, cluster ORDER BY score DESC, activity_id) AS r FROM li JOIN ls USING (activity_id)) WHERE r = 1),
+  lo AS MATERIALIZED (SELECT activity_id, k, cluster FROM lr JOIN li USING (activity_id) WHERE direction = 'output')"""
+
+
+@query(
+    "activity_cover_by_object",
+    f"""WITH {LINE_COVER}, cv AS (SELECT DISTINCT k, cluster FROM lo WHERE activity_id IN (SELECT activity_id FROM lk)),
+    nw AS (SELECT activity_id, row_number() OVER (PARTITION BY cluster, k ORDER BY score DESC, activity_id) AS r FROM lo JOIN ls USING (activity_id)
+      WHERE activity_id NOT IN (SELECT activity_id FROM lk) AND (k, cluster) NOT IN (SELECT (k, cluster) FROM cv))
+    SELECT activity_id, score, 'new objects' AS reason FROM ls WHERE activity_id IN (SELECT activity_id FROM lk)
+    UNION ALL SELECT DISTINCT activity_id, score, 'new attributes' FROM ls JOIN nw USING (activity_id) WHERE r = 1""",
+)
+def activity_cover_by_object(spark, folder):
+    """Activities by what they bring to every output object instead of to all together."""
+    io, rules, scores = _line_activities(spark, folder)
+    return act.select_cover(io, rules, scores, each_attribute_by_object=True)
+
+
 @query(
     "activity_rule_pruning",
     f"""WITH {IO}, {SCORE}, kk AS (SELECT DISTINCT ru.activity_id, rule_type, key_lo, key_hi, k, cluster, score FROM ru,
@@ -324,6 +438,127 @@ def merge_identical(spark, folder):
     return act.merge_identical(_steps_io(spark, folder)[0])
 
 
+def _groups_io(spark, folder):
+    """Every step of users as four activities with equal sides, by groups of users: the last digits 0-7, 0-8, 8-9, and
+    8-9 without those ending in 08."""
+    _, evidence = _steps_io(spark, folder)
+    digit, ending = F.col("case_id") % 10, F.col("case_id") % 100
+    copies = F.filter(
+        F.array(
+            F.when(digit <= 7, F.lit("a")), F.when(digit <= 8, F.lit("b")),
+            F.when(digit >= 8, F.lit("c")), F.when((digit >= 8) & (ending != 8), F.lit("d")),
+        ),
+        lambda c: c.isNotNull(),
+    )
+    step = F.split("activity_id", ">")
+    rows = evidence.withColumn("copy", F.explode(copies)).select(
+        F.concat_ws("#", "activity_id", "copy").alias("activity_id"), "case_id",
+        step[0].alias("cluster_1"), step[1].alias("cluster_2"), "doc_1", "doc_2",
+    )
+    rows = cut_lineage(rows)
+    kinds = rows.select("activity_id", "cluster_1", "cluster_2").distinct()
+    sides = [kinds.select("activity_id", F.lit(d).alias("direction"), F.col(c).alias("cluster"), F.lit(0).alias("variant")) for d, c in (("input", "cluster_1"), ("output", "cluster_2"))]
+    docs = [rows.select("activity_id", "case_id", F.col(f"cluster_{n}").alias("cluster"), F.lit(0).alias("variant"), F.col(f"doc_{n}").alias("doc")) for n in (1, 2)]
+    return cut_lineage(sides[0].unionByName(sides[1])), rows, docs[0].unionByName(docs[1])
+
+
+GROUPS_IO = f"""{STEPS_IO}, gr AS MATERIALIZED (SELECT a || '>' || b || '#' || g AS activity_id, a, b, d1, d2, case_id FROM st,
+    LATERAL (SELECT unnest(list_filter([CASE WHEN case_id % 10 <= 7 THEN 'a' END, CASE WHEN case_id % 10 <= 8 THEN 'b' END,
+      CASE WHEN case_id % 10 >= 8 THEN 'c' END, CASE WHEN case_id % 10 >= 8 AND case_id % 100 <> 8 THEN 'd' END], lambda x: x IS NOT NULL)) AS g) WHERE b IS NOT NULL),
+  gk AS (SELECT DISTINCT activity_id, a, b FROM gr)"""
+
+
+@query(
+    "merge_identical_documents",
+    f"""WITH RECURSIVE {GROUPS_IO}, ud AS MATERIALIZED (SELECT DISTINCT activity_id, a, b, 'input' AS side, d1 AS doc FROM gr UNION SELECT activity_id, a, b, 'output', d2 FROM gr
+      UNION SELECT activity_id, a, b, 'input', d2 FROM gr WHERE a = b UNION SELECT activity_id, a, b, 'output', d1 FROM gr WHERE a = b),
+    us AS (SELECT activity_id, side, count(*) AS n FROM ud GROUP BY 1, 2),
+    bo AS (SELECT x.activity_id AS i1, y.activity_id AS i2, side, count(*) AS k FROM ud x JOIN ud y USING (a, b, side, doc) WHERE x.activity_id <> y.activity_id GROUP BY 1, 2, 3),
+    jc AS (SELECT i1, i2, min(k / (p.n + q.n - k)::DOUBLE) AS lo, count(*) AS sides FROM bo JOIN us p ON p.activity_id = i1 AND p.side = bo.side
+      JOIN us q ON q.activity_id = i2 AND q.side = bo.side GROUP BY 1, 2),
+    e AS (SELECT i1, i2 FROM jc WHERE sides = 2 AND lo > 0.7),
+    walk(node, root) AS (SELECT activity_id, activity_id FROM gk UNION SELECT e.i2, walk.root FROM walk JOIN e ON e.i1 = walk.node)
+    SELECT node AS activity_id, min(root) AS merged_id FROM walk GROUP BY node""",
+)
+def merge_identical_documents(spark, folder):
+    """Equal sides, different documents: the group of every step falls in two."""
+    io, _, documents = _groups_io(spark, folder)
+    return act.merge_identical(io, cut_lineage(act.document_uses(documents, io)))
+
+
+@query(
+    "merge_related",
+    f"""WITH {STEPS_IO}, {STEPS}, {DFG}, near AS (SELECT a, b FROM dfg UNION SELECT b, a FROM dfg),
+    pr AS (SELECT x.activity_id AS id_1, y.activity_id AS id_2, x.a AS a1, y.a AS a2, x.b AS b1, y.b AS b2 FROM acts x JOIN acts y ON x.activity_id < y.activity_id),
+    ln AS (SELECT activity_id, a AS n, b AS p FROM acts UNION SELECT activity_id, b, a FROM acts),
+    vo AS (SELECT id_1, id_2, 'related outputs' AS why, b1 AS u, b2 AS v, 1 AS least FROM pr WHERE a1 = a2 UNION ALL SELECT id_1, id_2, 'related inputs', a1, a2, 0 FROM pr WHERE b1 = b2),
+    vt AS (SELECT vo.*, EXISTS (SELECT 1 FROM ln k JOIN ln m ON k.p = m.p WHERE k.activity_id = id_1 AND m.activity_id = id_2 AND k.n = u AND m.n = v) AS met,
+      EXISTS (SELECT 1 FROM near WHERE near.a = u AND near.b = v) AS ok FROM vo),
+    sm AS (SELECT id_1, id_2, why, least, sum(CASE WHEN NOT met THEN 0 WHEN ok THEN 1 ELSE -1 END)::BIGINT AS votes FROM vt GROUP BY 1, 2, 3, 4)
+    SELECT id_1, id_2, why, votes FROM sm WHERE votes >= least""",
+)
+def merge_related(spark, folder):
+    """Steps of users that may be one because what they lead to, or come from, follows each other."""
+    io, evidence = _steps_io(spark, folder)
+    step = F.split("activity_id", ">")
+    sides = evidence.select("activity_id", *[x for n in (1, 2) for x in (step[n - 1].alias(f"cluster_{n}"), F.lit(0).alias(f"variant_{n}"))])
+    return act.related_candidates(io, cut_lineage(act.object_links(sides)), cut_lineage(_named_footprint(spark, folder)))
+
+
+def _partial(spark, folder):
+    """Three activities over users: clicks of those ending in 00-89, views of 05-99, purchases of 00-87."""
+    events = table(spark, folder, "events")
+    ending = F.col("user_id") % 100
+    kind = (
+        F.when((F.col("event_type") == "click") & (ending < 90), "click")
+        .when((F.col("event_type") == "view") & (ending >= 5), "view")
+        .when((F.col("event_type") == "purchase") & (ending < 88), "purchase")
+    )
+    rows = events.select(kind.alias("activity_id"), F.col("user_id").alias("case_id"), F.col("event_id").alias("doc"))
+    # All events of a user also use the user's group as a document.
+    shared = rows.select("activity_id", "case_id", (-1 - F.col("case_id") % 10).alias("doc"))
+    evidence = cut_lineage(rows.unionByName(shared).where(F.col("activity_id").isNotNull()).distinct())
+    ids = ["click", "purchase", "view"]
+    pairs = spark.createDataFrame([(x, y, "planted") for x in ids for y in ids if x < y], "id_1 string, id_2 string, why string")
+    # Each of them turns a document of its own kind into a receipt.
+    io = spark.createDataFrame([(x, d, c, 0) for x in ids for d, c in (("input", x), ("output", "receipt"))], "activity_id string, direction string, cluster string, variant int")
+    valid = cut_lineage(act.validate_merges(pairs, io, evidence))
+    return evidence, valid, cut_lineage(act.merge_groups(io, valid))
+
+
+PARTIAL = """pe AS MATERIALIZED (SELECT DISTINCT k AS activity_id, user_id AS case_id, doc FROM (SELECT user_id, unnest([event_id, -1 - user_id % 10]) AS doc,
+      CASE WHEN event_type = 'click' AND user_id % 100 < 90 THEN 'click' WHEN event_type = 'view' AND user_id % 100 >= 5 THEN 'view'
+        WHEN event_type = 'purchase' AND user_id % 100 < 88 THEN 'purchase' END AS k FROM events) WHERE k IS NOT NULL),
+  pc AS MATERIALIZED (SELECT DISTINCT activity_id, case_id FROM pe), pn AS (SELECT activity_id, count(*) AS n FROM pc GROUP BY 1),
+  po AS (SELECT x.activity_id AS i1, y.activity_id AS i2, count(*) AS k FROM pc x JOIN pc y USING (case_id) WHERE x.activity_id <> y.activity_id GROUP BY 1, 2),
+  pv AS MATERIALIZED (SELECT i1, i2, k / (p.n + q.n - k)::DOUBLE AS o FROM po JOIN pn p ON p.activity_id = i1 JOIN pn q ON q.activity_id = i2 WHERE k / (p.n + q.n - k)::DOUBLE >= 0.8),
+  pr AS MATERIALIZED (SELECT activity_id, case_id FROM pc WHERE activity_id IN (SELECT i1 FROM pv WHERE o < 0.9)
+    AND NOT EXISTS (SELECT 1 FROM pv JOIN pc q ON q.activity_id = i2 WHERE i1 = pc.activity_id AND q.case_id = pc.case_id))"""
+
+
+@query("merge_partial", f"WITH {PARTIAL} SELECT activity_id, case_id FROM pr")
+def merge_partial(spark, folder):
+    """Cases that activities keep for themselves where they merge in part."""
+    evidence, valid, _ = _partial(spark, folder)
+    return act.merge_parts(valid, evidence)
+
+
+@query(
+    "merge_partial_documents",
+    f"""WITH RECURSIVE {PARTIAL}, walk(node, root) AS (SELECT activity_id, activity_id FROM pn UNION SELECT i2, walk.root FROM walk JOIN pv ON pv.i1 = walk.node),
+    g AS (SELECT node AS activity_id, min(root) AS merged_id FROM walk GROUP BY node),
+    m AS MATERIALIZED (SELECT merged_id, activity_id, case_id, doc, (activity_id, case_id) IN (SELECT (activity_id, case_id) FROM pr) AS rest FROM pe JOIN g USING (activity_id)),
+    l AS (SELECT DISTINCT merged_id AS activity_id, doc FROM m WHERE NOT rest),
+    r AS (SELECT DISTINCT activity_id || '#rest' AS activity_id, doc FROM m WHERE rest AND NOT EXISTS (SELECT 1 FROM l WHERE l.activity_id = m.merged_id AND l.doc = m.doc))
+    SELECT activity_id, count(*) AS n_docs, min(doc) AS least_doc FROM (SELECT * FROM l UNION ALL SELECT * FROM r) GROUP BY 1""",
+)
+def merge_partial_documents(spark, folder):
+    """Documents of the merged part and of the rests."""
+    evidence, valid, groups = _partial(spark, folder)
+    docs = act.part_documents(cut_lineage(act.merge_parts(valid, evidence)), groups, evidence)
+    return docs.groupBy("activity_id").agg(F.count("*").alias("n_docs"), F.min("doc").alias("least_doc"))
+
+
 CANDIDATES = f"""{STEPS}, {DFG}, {BOTH}, par AS (SELECT a || '_0' AS a, b || '_0' AS b FROM bothways WHERE n_back > 0),
   cand AS (SELECT x.activity_id AS id_1, y.activity_id AS id_2, 'parallel outputs' AS why FROM acts x JOIN acts y ON x.a = y.a AND x.b <> y.b
       AND x.activity_id < y.activity_id WHERE EXISTS (SELECT 1 FROM par WHERE par.a = x.b || '_0' AND par.b = y.b || '_0')
