@@ -257,14 +257,8 @@ def links(rows: DataFrame, accepted: DataFrame, extra: list[str] | None = None,
     return joined.select(F.col("doc_id").alias("src"), "dst").where(F.col("src") != F.col("dst")).distinct()
 
 
-def reference_links(
-    case_rows: DataFrame, reference_rows: DataFrame, accepted: DataFrame, min_rows: int | None = None
-) -> DataFrame:
-    """Reference entries claimed by cases: case_id, doc_id and entry_idx of the reference entry, cluster.
-
-    `case_rows`: case_id, cluster, key, norm of the case's own documents; `reference_rows`: doc_id,
-    cluster, key, norm, entry_idx.  Case values are reduced to distinct ones before they move.
-    """
+def _claim_sides(case_rows: DataFrame, reference_rows: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(case_id, rule_id, norm) of the cases and (rule_id, norm, doc_id, cluster, entry_idx) of the reference entries."""
     both = accepted.where(F.col("kind") == "independent").select(*SIDES).distinct()
     turned = both.union(both.select("cluster_2", "key_2", "cluster_1", "key_1")).distinct()
     rule_id = F.xxhash64(*SIDES)
@@ -275,6 +269,18 @@ def reference_links(
     left = left.select("case_id", "rule_id", "norm").distinct()
     right = reference_rows.select("doc_id", "cluster", "key", "norm", "entry_idx").distinct()
     right = small_join(right, other, ["cluster", "key"]).select("rule_id", "norm", "doc_id", "cluster", "entry_idx")
+    return left, right
+
+
+def reference_links(
+    case_rows: DataFrame, reference_rows: DataFrame, accepted: DataFrame, min_rows: int | None = None
+) -> DataFrame:
+    """Reference entries claimed by cases: case_id, doc_id and entry_idx of the reference entry, cluster.
+
+    `case_rows`: case_id, cluster, key, norm of the case's own documents; `reference_rows`: doc_id,
+    cluster, key, norm, entry_idx.  Case values are reduced to distinct ones before they move.
+    """
+    left, right = _claim_sides(case_rows, reference_rows, accepted)
     return (
         salted_join(left, right, ["rule_id", "norm"], hot_keys(left, ["rule_id", "norm"], min_rows))
         .select("case_id", "doc_id", "cluster", "entry_idx")
@@ -282,6 +288,42 @@ def reference_links(
     )
 
 
+def claim_groups(case_rows: DataFrame, reference_rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Claims by what they rest on: rule_id, norm, n_cases, n_entries.  Every case that holds the value claims every entry
+    that holds it; the pairs, n_cases * n_entries, are not listed."""
+    left, right = _claim_sides(case_rows, reference_rows, accepted)
+    on = ["rule_id", "norm"]
+    cases = left.groupBy(*on).agg(F.count("*").alias("n_cases"))
+    return cases.join(right.groupBy(*on).agg(F.count("*").alias("n_entries")), on)
+
+
+def claim_counts(
+    case_rows: DataFrame, reference_rows: DataFrame, accepted: DataFrame, min_rows: int | None = None
+) -> DataFrame:
+    """Cases per reference entry without listing claims: doc_id, entry_idx, n_cases, is_ambiguous; as entry_claims of
+    reference_links.
+
+    An entry that one rule and value claims has as many cases as these hold, a number of one row.  Where several do, a
+    case may come by more than one of them: entries with the same rules and values have the same cases, so the cases are
+    told apart once for such a set of claims, however many entries share it.
+    """
+    left, right = _claim_sides(case_rows, reference_rows, accepted)
+    on = ["rule_id", "norm"]
+    sizes = cut_lineage(left.groupBy(*on).agg(F.count("*").alias("_n")))
+    entry = ["doc_id", "entry_idx"]
+    held = lookup_join(right.select(*entry, *on).distinct(), sizes, on, min_rows=min_rows)
+    marks = [F.bit_xor(F.xxhash64(*on)).alias("_s1"), F.bit_xor(F.xxhash64(*on, F.lit(29))).alias("_s2")]
+    sets = cut_lineage(held.groupBy(*entry).agg(*marks, F.count("*").alias("_k"), F.max("_n").alias("_n")))
+    several = sets.where(F.col("_k") > 1)
+    shared = several.groupBy("_s1", "_s2").agg(F.min(F.struct(*entry)).alias("_e")).select("_s1", "_s2", "_e.*")
+    claims = held.select(*entry, *on).join(shared, entry).select("_s1", "_s2", *on)
+    met = salted_join(left, claims, on, hot_keys(left, on, min_rows))
+    told = met.select("_s1", "_s2", "case_id").distinct().groupBy("_s1", "_s2").agg(F.count("*").alias("_told"))
+    counted = sets.join(told, ["_s1", "_s2"], "left")
+    n = F.when(F.col("_k") == 1, F.col("_n")).otherwise(F.col("_told"))
+    return counted.select(*entry, n.alias("n_cases"), (n > 1).alias("is_ambiguous"))
+
+
 def entry_claims(reference: DataFrame) -> DataFrame:
     """Cases per reference entry; more than one makes the entry ambiguous (shared)."""
     return (

@@ -3,13 +3,13 @@
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StopWordsRemover
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Params
 from docflow.functions.names import clean_file_name, prepared_tokens, type_name
 from docflow.operators.graph import components
-from docflow.operators.skew import small_join
+from docflow.operators.skew import hot_keys, lookup_join, salted_join, small_join
 from docflow.session import cut_lineage
 
 
@@ -85,25 +85,28 @@ def name_types(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def group_by_names(documents: DataFrame) -> DataFrame:
     """Group files whose cleaned names contain each other: doc_id, name, name_group.
 
-    Only distinct names are compared.  A name contained in another is one of that name's substrings, so
-    names meet by equality of a substring and never all with all; groups are closed transitively.
+    Only distinct names are compared, by an inverted index of their stretches of up to three characters: a contained name
+    looks itself up by the rarest of its own, and what it meets is checked.  The index is as large as the names are long;
+    groups are closed transitively.
     """
     named = documents.select("doc_id", clean_file_name(F.col("path")).alias("name"))
     names = cut_lineage(named.select("name").distinct().where(F.length("name") > 0))
-    length = F.length("name")
-    starts = F.sequence(F.lit(1), length)
-    pieces = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(F.sequence(F.lit(1), length - i + 1), lambda n: F.substring(F.col("name"), i, n)),
-        )
-    )
-    parts = names.select("name", F.explode(F.array_distinct(pieces)).alias("part"))
-    inner = names.select(F.col("name").alias("part"))
-    edges = (
-        parts.join(inner, "part")
-        .where(F.col("part") != F.col("name"))
-        .select(F.col("name").alias("src"), F.col("part").alias("dst"))
+
+    def stretches(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("name") - size + 1)
+        return F.when(F.length("name") >= size, F.transform(starts, lambda i: F.substring(F.col("name"), i, size)))
+
+    # Names of three characters and more are found by three, shorter ones as a whole.
+    short = F.flatten(F.filter(F.array(stretches(1), stretches(2)), lambda s: s.isNotNull()))
+    index = names.select("name", F.explode(F.array_distinct(F.concat(short, F.coalesce(stretches(3), F.array())))).alias("gram"))
+    common = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.coalesce(F.array_distinct(stretches(3)), F.array("name"))
+    inner = names.select(F.col("name").alias("part"), F.explode(own).alias("gram"))
+    rarest = lookup_join(inner, common, ["gram"]).groupBy("part").agg(F.min(F.struct("n", "gram")).alias("_r"))
+    rarest = rarest.select("part", F.col("_r.gram").alias("gram"))
+    met = salted_join(index, rarest, ["gram"], hot_keys(index, ["gram"]))
+    edges = met.where((F.col("part") != F.col("name")) & F.col("name").contains(F.col("part"))).select(
+        F.col("name").alias("src"), F.col("part").alias("dst")
     )
     groups = components(edges, names.select(F.col("name").alias("node")))
     grouped = groups.select(F.col("node").alias("name"), F.col("component").alias("name_group"))

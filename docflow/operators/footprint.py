@@ -55,27 +55,30 @@ def dependency(graph: DataFrame) -> DataFrame:
 def hops(graph: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Least number of steps from any start node (no incoming edge); 0 where no start reaches a node.
 
-    `graph` is a table over object types, so it is small and fixed by the schema, not by the data; the
-    rounds end as soon as no distance changes.
+    By doubling: round k has the pairs of nodes that 2^k steps join, takes every known distance that much farther, and
+    joins the pairs with themselves.  Any distance is a sum of different powers of two, and every stretch of a shortest way
+    is a shortest way itself, so pairs that a smaller power joins are left out.  A way of n steps takes log2(n) + 1 rounds,
+    each a checkpoint.  `max_rounds` ends the search early; farther nodes then count as not reached.
     """
     from docflow.session import cut_lineage
 
     edges = cut_lineage(graph.select("a", "b").distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    nodes = cut_lineage(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     starts = nodes.join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
-    known = cut_lineage(starts.withColumn("hops", F.lit(0)))
-    frontier, step = known, 0
-    while max_rounds is None or step < max_rounds:
-        step += 1
-        reached = (
-            frontier.join(edges, frontier["node"] == edges["a"])
-            .select(F.col("b").alias("node"))
-            .distinct()
-            .join(known, "node", "left_anti")
-            .withColumn("hops", F.lit(step))
-        )
-        frontier = cut_lineage(reached)
-        if frontier.isEmpty():
+    known = cut_lineage(starts.withColumn("hops", F.lit(0).cast("long")))
+    longest = nodes.count() - 1
+    power, step, rounds = edges.where(F.col("a") != F.col("b")), 1, 0
+    seen = power
+    while step <= longest and (max_rounds is None or rounds < max_rounds):
+        rounds += 1
+        farther = known.join(power, known["node"] == power["a"]).select(F.col("b").alias("node"), (F.col("hops") + step).alias("hops"))
+        known = cut_lineage(known.unionByName(farther).groupBy("node").agg(F.min("hops").alias("hops")))
+        first = power.select("a", F.col("b").alias("_over"))
+        second = power.select(F.col("a").alias("_over"), "b")
+        twice = first.join(second, "_over").select("a", "b").where(F.col("a") != F.col("b")).distinct()
+        power = cut_lineage(twice.join(seen, ["a", "b"], "left_anti"))
+        if power.isEmpty():
             break
-        known = known.unionByName(frontier)
-    return nodes.join(known, "node", "left").select("node", F.coalesce("hops", F.lit(0)).alias("hops"))
+        seen, step = seen.unionByName(power), 2 * step
+    found = nodes.join(known, "node", "left")
+    return found.select("node", F.coalesce("hops", F.lit(0)).cast("int").alias("hops"))

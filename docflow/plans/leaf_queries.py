@@ -413,6 +413,41 @@ def process_layers(spark, folder):
     return objects.layers(docs, flow.agg(F.count_distinct("case_id").alias("n")).scalar())
 
 
+@query(
+    "parse_xml_shapes",
+    """SELECT 'customer' AS shape, c_custkey AS number, c_nationkey AS nation, c_mktsegment AS label, 1 AS n_positions FROM customer WHERE c_custkey % 5 <> 0
+    UNION ALL SELECT 'order', o_orderkey, NULL, o_orderstatus, greatest(n, 1) FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+    UNION ALL SELECT 'broken', NULL, NULL, NULL, count(*) FROM customer WHERE c_custkey % 5 = 0""",
+)
+def parse_xml_shapes(spark, folder):
+    """Two kinds of XML files, one of them with a list, and broken ones, read without naming any tag beforehand."""
+    text = lambda c: F.col(c).cast("string")
+    customer = table(spark, folder, "customer")
+    shaped = F.concat(
+        F.lit("<?xml version='1.0'?><kunde art='x'><nr>"), text("c_custkey"), F.lit("</nr><anschrift><land>"), text("c_nationkey"),
+        F.lit("</land></anschrift><segment>"), text("c_mktsegment"), F.when(F.col("c_custkey") % 5 == 0, "</kunde>").otherwise("</segment></kunde>"),
+    )
+    customers = customer.select(F.concat(F.lit("/in/customer/"), text("c_custkey"), F.lit(".xml")).alias("path"), shaped.alias("value"))
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.concat_ws("", F.collect_list(F.concat(F.lit("<pos><teil>"), text("l_partkey"), F.lit("</teil></pos>")))).alias("pos")
+    )
+    orders = table(spark, folder, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = orders.select(
+        F.concat(F.lit("/in/order/"), text("o_orderkey"), F.lit(".xml")).alias("path"),
+        F.concat(F.lit("<auftrag><id>"), text("o_orderkey"), F.lit("</id><status>"), text("o_orderstatus"), F.lit("</status>"), F.col("pos"), F.lit("</auftrag>")).alias("value"),
+    )
+    documents, rejects = parse_raw(customers.unionByName(orders))
+    got = lambda *paths: F.coalesce(*[F.get_json_object("content", p) for p in paths])
+    listed = F.coalesce(F.json_array_length(got("$.pos")), F.lit(1)).cast("long")
+    good = documents.select(
+        F.regexp_extract("path", "/in/([^/]+)/", 1).alias("shape"), got("$.nr", "$.id").cast("long").alias("number"),
+        got("$.anschrift.land").cast("int").alias("nation"), got("$.segment", "$.status").alias("label"), listed.alias("n_positions"),
+    )
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("number", "long"), ("nation", "int"), ("label", "string"))]
+    bad = rejects.groupBy(F.lit("broken").alias("shape")).agg(F.count("*").alias("n_positions")).select("shape", *none, "n_positions")
+    return good.unionByName(bad)
+
+
 @query(
     "parse_files",
     """SELECT 'orders' AS folder, 'json' AS kind, count(*) AS n_documents, 0 AS n_rejects, sum(o_custkey)::BIGINT AS checksum FROM orders

@@ -314,6 +314,29 @@ def reference_claims(spark, folder):
     return correlate.entry_claims(correlate.reference_links(*_reference(spark, folder)))
 
 
+@query(
+    "reference_claim_counts",
+    """WITH c AS (SELECT 'supplier:' || s_suppkey AS doc_id, l_orderkey AS case_id FROM supplier JOIN lineitem ON l_suppkey = s_suppkey
+      UNION SELECT 'supplier:' || s_suppkey, o_orderkey FROM supplier JOIN customer ON c_nationkey = s_nationkey JOIN orders ON o_custkey = c_custkey)
+    SELECT doc_id, 0 AS entry_idx, count(*) AS n_cases, count(*) > 1 AS is_ambiguous FROM c GROUP BY 1""",
+)
+def reference_claim_counts(spark, folder):
+    """Suppliers claimed by the orders that they deliver and by those of customers of their nation, counted by groups."""
+    number = lambda c: F.concat(F.lit("n:"), F.col(c).cast("string")).alias("norm")
+    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    bought = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    own = bought.select(F.col("o_orderkey").alias("case_id"), F.lit("order").alias("cluster"), F.lit("nationkey").alias("key"), number("c_nationkey"))
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.lit("line").alias("cluster"), F.lit("suppkey").alias("key"), number("l_suppkey"))
+    supplier = table(spark, folder, "supplier")
+    doc = F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("doc_id")
+    reference = [supplier.select(doc, F.lit("supplier").alias("cluster"), F.lit(k).alias("key"), number(f"s_{k}"), F.lit(0).alias("entry_idx")) for k in ("suppkey", "nationkey")]
+    accepted = spark.createDataFrame(
+        [("line", "suppkey", "supplier", "suppkey", "independent"), ("order", "nationkey", "supplier", "nationkey", "independent")],
+        "cluster_1 string, key_1 string, cluster_2 string, key_2 string, kind string",
+    )
+    return correlate.claim_counts(own.unionByName(lines), reference[0].unionByName(reference[1]), accepted)
+
+
 @query("unused_docs", "SELECT c_custkey AS doc_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def unused_docs(spark, folder):
     docs = table(spark, folder, "customer").select(F.col("c_custkey").alias("doc_id"))

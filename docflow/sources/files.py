@@ -53,6 +53,21 @@ def xml_content(value: Column, schema: str, last_wins: bool = False) -> Column:
     return F.when(parsed[_CORRUPT].isNull(), F.to_json(F.struct(*shown)))
 
 
+def xml_variant(value: Column) -> Column:
+    """XML text of any shape as JSON text: the fields are the tags, whatever they are (root tag and attributes left out).
+
+    Repeated tags become arrays.  Numbers and true / false are read as such, so a number loses leading zeros; text beside
+    child elements stands under `_VALUE`.  Text that is no well-formed XML gives null: it is looked at first, as parsing
+    it into a variant would stop the job.
+    """
+    corrupt = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": _CORRUPT}
+    formed = F.from_xml(value, f"`{_CORRUPT}` STRING", corrupt)[_CORRUPT].isNull()
+    options = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "excludeAttribute": "true"}
+    # Inside a higher-order function the parser is called as it is; as part of generated code it does not compile.
+    read = F.transform(F.array(F.when(formed, value)), lambda text: F.from_xml(text, "variant", options))
+    return F.to_json(read[0])
+
+
 def _last(value: Column, kind: DataType) -> Column:
     """The value with every array in it replaced by its last element, at all levels."""
     if isinstance(kind, ArrayType):
@@ -70,12 +85,15 @@ def parse_raw(
 
     documents: doc_id, path, title, kind, content (JSON text) and the metadata columns.
     rejects: path and reason; a malformed file never stops the others.
+    Without `xml_schema` XML files of any shape are read (see xml_variant); `last_wins` needs a schema.
     """
+    if last_wins and xml_schema is None:
+        raise ValueError("last_wins needs an xml_schema")
     kind = route(F.col("path"))
     json_ok = F.try_parse_json("value")
     content = F.when(F.col("kind") == "json", F.when(json_ok.isNotNull(), F.col("value")))
-    if xml_schema is not None:
-        content = content.when(F.col("kind") == "xml", xml_content(F.col("value"), xml_schema, last_wins))
+    xml = xml_variant(F.col("value")) if xml_schema is None else xml_content(F.col("value"), xml_schema, last_wins)
+    content = content.when(F.col("kind") == "xml", xml)
     routed = raw.withColumn("kind", kind).withColumn("content", content)
     meta = [c for c in ("file_size", "modified_at", "created_at", "accessed_at") if c in raw.columns]
     documents = routed.where(F.col("content").isNotNull()).select(
@@ -89,7 +107,6 @@ def parse_raw(
     rejects = routed.where(F.col("content").isNull()).select(
         "path",
         F.when(F.col("kind") == "unsupported", "unsupported extension")
-        .when((F.col("kind") == "xml") & F.lit(xml_schema is None), "no xml schema given")
         .otherwise("malformed content")
         .alias("reason"),
     )

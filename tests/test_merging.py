@@ -154,3 +154,92 @@ def test_cover_by_object_keeps_what_the_global_cover_drops(spark):
     # Another kept activity has both pairs, but brings none to x as its types are the same on both sides.
     found = lambda **how: {r.activity_id for r in act.select_cover(io, only, scores, **how).collect()}
     assert "second" not in found() and "second" in found(each_attribute_by_object=True)
+
+
+# Graph distances, name groups, claims, files ----------------------------------------------------------------------------
+
+
+def test_hops_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from docflow import session
+    from docflow.operators import footprint
+
+    n, rounds = 10_000, []
+    plain = session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: rounds.append(1) or plain(df))
+    graph = spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")
+    found = footprint.hops(graph)
+    assert found.where("hops != node").count() == 0 and found.count() == n
+    # Two tables a round, edges and nodes and the starts before.
+    assert len(rounds) <= 3 + 2 * 15
+
+
+def test_hops_against_breadth_first_search(spark):
+    import random
+
+    from docflow.operators import footprint
+
+    rng = random.Random(7)
+    for case in range(4):
+        n = 24
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range((12, 26, 40, 90)[case])} | {(100, rng.randrange(n)), (101, 3), (7, 7)}
+        nodes = {x for e in edges for x in e}
+        level = {x: 0 for x in nodes if all(b != x for _, b in edges)}
+        front = set(level)
+        while front:
+            front = {b for a, b in edges if a in front and b not in level}
+            level |= {b: max(level.values()) + 1 for b in front}
+        found = {r.node: r.hops for r in footprint.hops(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+        assert found == {x: level.get(x, 0) for x in nodes}
+
+
+def test_names_meet_by_their_rarest_stretch(spark):
+    from docflow.operators import doctypes
+
+    names = ["order", "orders", "preorder", "bill", "billing", "a", "xay", "ab", "zz", "unlike", "order", "aaaa", "aaaaaa"]
+    docs = spark.createDataFrame([(i, f"/in/{n}{i}.json") for i, n in enumerate(names)], "doc_id long, path string")
+    found = {r.name: r.name_group for r in doctypes.group_by_names(docs).collect()}
+    distinct = set(names)
+    parent = {n: n for n in distinct}
+    for _ in distinct:
+        for x in distinct:
+            for y in distinct:
+                if x in y:
+                    low = min(parent[x], parent[y])
+                    parent[x] = parent[y] = low
+    assert found == parent
+
+
+def test_claims_are_counted_without_listing_them(spark):
+    from docflow.operators import correlate
+
+    accepted = spark.createDataFrame([("c", "k", "r", "k", "independent"), ("c", "m", "r", "m", "independent")], "cluster_1 string, key_1 string, cluster_2 string, key_2 string, kind string")
+    cases = [(i, "c", "k", f"n:{i % 3}") for i in range(20)] + [(i, "c", "m", f"n:{i % 4}") for i in range(15)] + [(1, "c", "k", "n:1")]
+    reference = [(f"r{i}", "r", "k", f"n:{i % 5}", 0) for i in range(10)] + [(f"r{i}", "r", "m", f"n:{i % 4}", 0) for i in range(0, 10, 2)]
+    cases = spark.createDataFrame(cases, "case_id long, cluster string, key string, norm string")
+    reference = spark.createDataFrame(reference, "doc_id string, cluster string, key string, norm string, entry_idx int")
+    listed = correlate.entry_claims(correlate.reference_links(cases, reference, accepted))
+    for min_rows in (None, 1):
+        counted = correlate.claim_counts(cases, reference, accepted, min_rows)
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.select(*counted.columns).collect()))
+    groups = correlate.claim_groups(cases, reference, accepted).collect()
+    assert sum(r.n_cases * r.n_entries for r in groups) >= listed.agg({"n_cases": "sum"}).first()[0]
+    assert correlate.claim_counts(cases.limit(0), reference, accepted).count() == 0
+
+
+def test_xml_of_any_shape(spark):
+    import json
+
+    from docflow.sources import files
+
+    texts = {
+        "a": "<c id='1'><key>5</key><n>x y</n></c>",
+        "b": "<o><no>7</no><pos><p>1</p></pos><pos><p>2</p></pos><empty/></o>",
+        "bad": "<a><b></a>", "none": "no xml", "blank": "",
+    }
+    raw = spark.createDataFrame([(f"/in/{k}.xml", v) for k, v in texts.items()], "path string, value string")
+    documents, rejects = files.parse_raw(raw)
+    found = {r.title: json.loads(r.content) for r in documents.collect()}
+    assert found == {"a": {"key": 5, "n": "x y"}, "b": {"no": 7, "pos": [{"p": 1}, {"p": 2}], "empty": None}}
+    assert {(r.path, r.reason) for r in rejects.collect()} == {(f"/in/{k}.xml", "malformed content") for k in ("bad", "none", "blank")}
+    with pytest.raises(ValueError):
+        files.parse_raw(raw, last_wins=True)
