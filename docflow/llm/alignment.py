@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import suppress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -68,64 +70,65 @@ class Aligner:
         if spaced:
             raise ValueError("pieces that go on after a space cannot be aligned by stretches")
         self.space = self.right.piece_to_id("▁")
-        self._right_bytes: dict[int, bytes] = {}
+        self.left_sizes = np.zeros(self.left.n_vocab, dtype=np.int64)
+        for token in range(self.left.n_vocab):
+            # Numbers without a token stand for special strings, which plain encoding never gives.
+            with suppress(KeyError):
+                self.left_sizes[token] = len(self.left.decode_single_token_bytes(token))
+        self.right_bytes = [self._bytes(piece) for piece in range(self.right.get_piece_size())]
+        self.right_sizes = np.array([len(b) for b in self.right_bytes], dtype=np.int64)
+        self.digits = [str(i) for i in range(max(len(self.left_sizes), len(self.right_sizes)))]
         self.known: dict[str, tuple | None] = {}
 
-    def right_bytes(self, piece: int) -> bytes:
-        found = self._right_bytes.get(piece)
-        if found is None:
-            text = self.right.id_to_piece(piece)
-            found = bytes([int(text[3:5], 16)]) if self.right.is_byte(piece) else text.replace("▁", " ").encode()
-            self._right_bytes[piece] = found
-        return found
+    def _bytes(self, piece: int) -> bytes:
+        text = self.right.id_to_piece(piece)
+        return bytes([int(text[3:5], 16)]) if self.right.is_byte(piece) else text.replace("▁", " ").encode()
 
     def learn(self, stretches: Sequence[str]) -> None:
-        """Align stretches, written without the space before them."""
-        left_ids: list[list[int]] = []
-        right_ids: list[list[int]] = []
-        sizes: list[list[int]] = [[], []]
-        fit = []
+        """Align stretches, written without the space before them, all at once."""
+        fit, left_ids, right_ids = [], [], []
+        left_count, right_count = [], []
+        spell = self.right_bytes.__getitem__
         for stretch, right in zip(stretches, self.right.encode(list(stretches), num_threads=1), strict=True):
-            text = " " + stretch
             right = right or [self.space]
-            left = self.left.encode_ordinary(text)
-            own = [self.left.decode_single_token_bytes(t) for t in left], [self.right_bytes(t) for t in right]
-            data = text.encode()
-            if b"".join(own[0]) != data or b"".join(own[1]) != data:
+            text = " " + stretch
+            # The left side's tokens are the bytes themselves; the right side's may not be.
+            if b"".join(map(spell, right)) != text.encode():
                 self.known[stretch] = None
                 continue
+            left = self.left.encode_ordinary(text)
             fit.append(stretch)
-            left_ids.append(left)
-            right_ids.append(right)
-            sizes[0] += map(len, own[0])
-            sizes[1] += map(len, own[1])
+            left_ids += left
+            right_ids += right
+            left_count.append(len(left))
+            right_count.append(len(right))
         if not fit:
             return
-        left_ends, right_ends = (np.cumsum(s) for s in sizes)
+        lefts, rights = np.array(left_ids), np.array(right_ids)
+        left_ends, right_ends = np.cumsum(self.left_sizes[lefts]), np.cumsum(self.right_sizes[rights])
         terminal = terminals(left_ends, right_ends)
-        of_left, of_right = terminal[: len(left_ends)], terminal[len(left_ends) :]
-        # The group's last token on the right ends with the one on the left.
-        linked = np.searchsorted(right_ends, left_ends)
-        flat_right = np.array([t for own in right_ids for t in own], dtype=np.int64)
-        at = [0, 0]
-        for stretch, left, right in zip(fit, left_ids, right_ids, strict=True):
-            groups: dict[int, tuple[list[str], list[str]]] = {}
-            for i, t in enumerate(left, at[0]):
-                groups.setdefault(int(of_left[i]), ([], []))[0].append(str(t))
-            for i, t in enumerate(right, at[1]):
-                groups[int(of_right[i])][1].append(str(t))
-            ends = np.array(list(groups), dtype=np.int64)
-            pairs = np.array(left, dtype=np.int64)[ends - at[0]] << 32 | flat_right[linked[ends]]
-            text = ";".join(f"{','.join(a)}|{','.join(b)}" for a, b in groups.values())
-            self.known[stretch] = len(left), len(right), len(groups), text, pairs.tobytes()
-            at[0] += len(left)
-            at[1] += len(right)
+        n = len(lefts)
+        # A group's last tokens end together: one link.
+        last = np.flatnonzero(terminal[:n] == np.arange(n))
+        pairs = lefts[last] << 32 | rights[np.searchsorted(right_ends, left_ends[last])]
+        # Tokens by group, the left ones first, each followed by what stands between it and the next.
+        order = np.argsort(terminal, kind="stable")
+        group, right_side = terminal[order], order >= n
+        mark = np.where(group[1:] != group[:-1], ";", np.where(right_side[1:] != right_side[:-1], "|", ","))
+        ids = np.concatenate([lefts, rights])[order].tolist()
+        spelled = list(map(add, map(self.digits.__getitem__, ids), [*mark.tolist(), ""]))
+        token_to = np.cumsum(np.add(left_count, right_count)).tolist()
+        group_to = np.searchsorted(last, np.cumsum(left_count)).tolist()
+        token_from, group_from = 0, 0
+        for stretch, n_a, n_b, token, end in zip(fit, left_count, right_count, token_to, group_to, strict=True):
+            text = "".join(spelled[token_from:token]).rstrip(";")
+            self.known[stretch] = n_a, n_b, end - group_from, text, pairs[group_from:end].tobytes()
+            token_from, group_from = token, end
 
     def align(self, texts: Sequence[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, groups_sha256, distinct linked pairs, how often each) of every text."""
         cut = [None if not t else _BORDER.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > KEPT:
-            self.known = {}
+        room = KEPT - len(self.known)
         new = {s for own in cut if own for s in own if s not in self.known}
         if new:
             self.learn(list(new))
@@ -139,8 +142,8 @@ class Aligner:
             digest = hashlib.sha256(";".join(found).encode()).hexdigest()
             codes, times = np.unique(np.frombuffer(b"".join(pairs), dtype=np.int64), return_counts=True)
             out.append((sum(n_a), sum(n_b), sum(n_groups), digest, codes, times))
-        for s in new:
-            if len(s) > LONGEST_KEPT:
+        for i, s in enumerate(new):
+            if i >= room or len(s) > LONGEST_KEPT:
                 del self.known[s]
         return out
 
