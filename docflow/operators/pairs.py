@@ -10,7 +10,8 @@ several values under one key), which is had from grouped rows:
   gives at most 2**SHORT_SET - 1 rows, and they are counted before they meet.
 * Longer value sets against one-value documents: the sum over values of n1(v) * n2(v).
 * Longer value sets against others: documents with the same set act alike, so different sets meet once
-  per pair of sets.  Values held by very many sets ("heavy") meet through the heavy part of the sets
+  per pair of sets.  A short set takes the long ones from the lists of its few values, and two long
+  sets meet as rows; two short ones never do.  Values held by very many sets ("heavy") meet through the heavy part of the sets
   only; light values meet in groups of bounded size, leaving out pairs already found through a heavy
   value.
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.values import NULL, is_common, norm_text, rule_type
+from docflow.session import cut_lineage
 
 HEAVY_SETS = 1_000
 SHORT_SET = 8
@@ -113,6 +115,51 @@ def _sided(df: DataFrame, cols: list[str], side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c + side) if c in cols else F.col(c) for c in df.columns])
 
 
+def _rule_names(
+    sets: DataFrame, scope: list[str], kind: Callable[[Column, Column, Column], Column], same: bool
+) -> DataFrame:
+    """scope, SIDES, rule_type, rule_id: the names behind rule numbers, from the distinct (cluster, key, common)."""
+    by = ["cluster", "key"]
+    keys = sets.select(*scope, *by, common_norm(F.col("norm")).alias("_c")).distinct()
+    sample = F.when(F.col("_c"), F.lit("z")).otherwise(F.lit("s:"))
+    keys = keys.withColumn("norm", sample).drop("_c")
+    named = _sided(keys, by, "_1").join(_sided(keys, by, "_2"), [*scope, "norm"])
+    if not same:
+        named = named.where(F.col("cluster_1") < F.col("cluster_2"))
+    named = named.withColumn("rule_type", kind(F.col("key_1"), F.col("key_2"), F.col("norm")))
+    named = named.select(*scope, *SIDES, "rule_type").distinct().withColumn("rule_id", F.xxhash64(*SIDES, "rule_type"))
+    return named
+
+
+def _short_long_pairs(
+    light: DataFrame, scope: list[str], kind: Callable[[Column, Column, Column], Column], same: bool
+) -> DataFrame:
+    """Pairs of a short and a long set that share a light value: scope, SIDES, rule_type, n.
+
+    Every value lists the long sets that hold it, one list for each cluster and key and no longer than the bound on light
+    values; a short set joins the lists of its few values and counts each long set once.
+    """
+    by = ["cluster", "key"]
+    listed = light.where("_long").groupBy(*scope, "norm", F.col("cluster").alias("_lc"), F.col("key").alias("_lk")).agg(
+        F.collect_list(F.struct("_g1", "_g2", "n")).alias("_sets")
+    )
+    short = light.where(~F.col("_long")).select(*scope, "norm", *by, "_g1", "_g2", "n")
+    met = short.join(listed, [*scope, "norm"])
+    if same:
+        met = met.where((F.col("cluster") == F.col("_lc")) & (F.col("key") == F.col("_lk")))
+    else:
+        met = met.where(F.col("cluster") != F.col("_lc"))
+    first = F.col("cluster") <= F.col("_lc")
+    for one, two in (("cluster", "_lc"), ("key", "_lk")):
+        met = met.withColumn(f"{one}_1", F.when(first, F.col(one)).otherwise(F.col(two)))
+        met = met.withColumn(f"{one}_2", F.when(first, F.col(two)).otherwise(F.col(one)))
+    met = met.withColumn("rule_type", kind(F.col("key_1"), F.col("key_2"), F.col("norm")))
+    names = [*scope, *SIDES, "rule_type"]
+    per_set = met.groupBy(*names, first.alias("_first"), "_g1", "_g2", "n").agg(F.array_distinct(F.flatten(F.collect_list("_sets"))).alias("_sets"))
+    held = F.aggregate("_sets", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return per_set.groupBy(*names).agg(F.sum(F.col("n") * held).alias("n"))
+
+
 def _set_pairs(
     sets: DataFrame,
     scope: list[str],
@@ -130,6 +177,7 @@ def _set_pairs(
         .groupBy(*scope, *by, "norm", "_g1", "_g2", "_long")
         .agg(F.count("*").alias("n"))
     )
+    cells = cut_lineage(cells)
     heavy_values = (
         cells.groupBy(*scope, *by, "norm")
         .agg(F.count("*").alias("_sets"))
@@ -138,6 +186,12 @@ def _set_pairs(
         .distinct()
         .withColumn("_heavy", F.lit(True))
     )
+    out = [*scope, "rule_id"]
+    names = [*scope, *SIDES, "rule_type"]
+    by_lists = heavy_values.isEmpty()
+    if by_lists:
+        from_lists = _short_long_pairs(cells, scope, kind, same)
+        cells = cells.where("_long")
     one_set = Window.partitionBy(*scope, *by, "_g1", "_g2", "_long")
     marked = (
         cells.join(heavy_values, [*scope, "norm"], "left")
@@ -145,9 +199,6 @@ def _set_pairs(
         .withColumn("_hp", F.bit_xor(F.when(F.col("_heavy"), F.xxhash64("norm", F.lit(43)))).over(one_set))
         .withColumn("_hp", F.coalesce("_hp", F.lit(0)))
     )
-    out = [*scope, "rule_id"]
-    names = [*scope, *SIDES, "rule_type"]
-
     def meet(table: DataFrame, ids: list[str]) -> DataFrame:
         cols = [*by, *ids, "_long", "n"]
         met = _sided(table, cols, "_1").join(_sided(table, cols, "_2"), [*scope, "norm"])
@@ -173,6 +224,9 @@ def _set_pairs(
             pairs = F.when(equal, (F.col("n_1") * (F.col("n_1") - 1) / 2).cast("long")).otherwise(pairs)
         return met.groupBy(*out).agg(F.sum(pairs).alias("n"))
 
+    if by_lists:
+        counted = total(meet(cells, ["_g1", "_g2"]), ["_g1", "_g2"])
+        return counted.join(_rule_names(sets, scope, kind, same), out).select(*names, "n").unionByName(from_lists)
     classes = marked.where("_heavy").groupBy(*scope, *by, "norm", "_hp", "_long").agg(F.sum("n").alias("n"))
     heavy_met = meet(classes, ["_hp"])
     ends = ["_hp_1", "_long_1", "_hp_2", "_long_2"]
@@ -188,16 +242,7 @@ def _set_pairs(
         .groupBy(*out)
         .agg(F.sum("n").alias("n"))
     )
-    # The names behind the rule numbers, from the distinct (cluster, key, common) of the sets.
-    keys = sets.select(*scope, *by, common_norm(F.col("norm")).alias("_c")).distinct()
-    sample = F.when(F.col("_c"), F.lit("z")).otherwise(F.lit("s:"))
-    keys = keys.withColumn("norm", sample).drop("_c")
-    named = _sided(keys, by, "_1").join(_sided(keys, by, "_2"), [*scope, "norm"])
-    if not same:
-        named = named.where(F.col("cluster_1") < F.col("cluster_2"))
-    named = named.withColumn("rule_type", kind(F.col("key_1"), F.col("key_2"), F.col("norm")))
-    named = named.select(*names).distinct().withColumn("rule_id", F.xxhash64(*SIDES, "rule_type"))
-    return counted.join(named, out).select(*names, "n")
+    return counted.join(_rule_names(sets, scope, kind, same), out).select(*names, "n")
 
 
 def cross_pair_counts(
@@ -225,7 +270,7 @@ def cross_pair_counts(
             .groupBy(*SIDES, kind.alias("rule_type"))
             .agg(F.sum(F.col("n_1") * F.col("n_2")).alias("n"))
         )
-    sets = _value_sets(rows, by)
+    sets = cut_lineage(_value_sets(rows, by))
     subsets = _subsets(sets, by, short)
     cols = [*by, "n", "kind"]
     same_key = F.col("key_1") == F.col("key_2")
@@ -274,7 +319,7 @@ def same_type_pair_counts(
     """
     scope = scope or []
     by = ["cluster", "key"]
-    sets = _value_sets(rows, [*scope, *by])
+    sets = cut_lineage(_value_sets(rows, [*scope, *by]))
     choose = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
     from_short = _subsets(sets, [*scope, *by], short).groupBy(*scope, *by).agg(F.sum(_sign() * choose).alias("n"))
     mixed = (
