@@ -7,7 +7,7 @@ from docflow.functions.dates import normalize_date
 from docflow.operators import arrays, doctypes, leaves, objects
 from docflow.plans.inputs import LINES, event_documents, line_documents, order_flow
 from docflow.plans.registry import query, table
-from docflow.sources.files import parse_raw
+from docflow.sources.files import ANY_XML, parse_raw
 from docflow.sources.tables import row_documents, row_leaves
 
 NUM = "CASE WHEN {0} = floor({0}) THEN ({0})::BIGINT::VARCHAR ELSE ({0})::VARCHAR END"
@@ -436,7 +436,7 @@ def parse_xml_shapes(spark, folder):
         F.concat(F.lit("/in/order/"), text("o_orderkey"), F.lit(".xml")).alias("path"),
         F.concat(F.lit("<auftrag><id>"), text("o_orderkey"), F.lit("</id><status>"), text("o_orderstatus"), F.lit("</status>"), F.col("pos"), F.lit("</auftrag>")).alias("value"),
     )
-    documents, rejects = parse_raw(customers.unionByName(orders))
+    documents, rejects = parse_raw(customers.unionByName(orders), ANY_XML)
     got = lambda *paths: F.coalesce(*[F.get_json_object("content", p) for p in paths])
     listed = F.coalesce(F.json_array_length(got("$.pos")), F.lit(1)).cast("long")
     good = documents.select(

@@ -9,6 +9,8 @@ from docflow.functions.names import base_name
 # File kinds that are listed; text files are listed but not read as documents.
 LISTED = "*.{json,xml,txt}"
 _CORRUPT = "_malformed"
+#: In place of a schema: XML files of any shape.
+ANY_XML = "variant"
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -85,15 +87,18 @@ def parse_raw(
 
     documents: doc_id, path, title, kind, content (JSON text) and the metadata columns.
     rejects: path and reason; a malformed file never stops the others.
-    Without `xml_schema` XML files of any shape are read (see xml_variant); `last_wins` needs a schema.
+    `xml_schema` is the DDL of the XML files' fields, or ANY_XML to read files of any shape (see xml_variant); `last_wins`
+    needs a DDL.  Without it XML files are rejected.
     """
-    if last_wins and xml_schema is None:
-        raise ValueError("last_wins needs an xml_schema")
+    if last_wins and xml_schema in (None, ANY_XML):
+        raise ValueError("last_wins needs the fields of the XML files")
     kind = route(F.col("path"))
     json_ok = F.try_parse_json("value")
     content = F.when(F.col("kind") == "json", F.when(json_ok.isNotNull(), F.col("value")))
-    xml = xml_variant(F.col("value")) if xml_schema is None else xml_content(F.col("value"), xml_schema, last_wins)
-    content = content.when(F.col("kind") == "xml", xml)
+    if xml_schema is not None:
+        value = F.col("value")
+        xml = xml_variant(value) if xml_schema == ANY_XML else xml_content(value, xml_schema, last_wins)
+        content = content.when(F.col("kind") == "xml", xml)
     routed = raw.withColumn("kind", kind).withColumn("content", content)
     meta = [c for c in ("file_size", "modified_at", "created_at", "accessed_at") if c in raw.columns]
     documents = routed.where(F.col("content").isNotNull()).select(
@@ -107,6 +112,7 @@ def parse_raw(
     rejects = routed.where(F.col("content").isNull()).select(
         "path",
         F.when(F.col("kind") == "unsupported", "unsupported extension")
+        .when((F.col("kind") == "xml") & F.lit(xml_schema is None), "no xml schema given")
         .otherwise("malformed content")
         .alias("reason"),
     )

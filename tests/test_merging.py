@@ -237,9 +237,9 @@ def test_xml_of_any_shape(spark):
         "bad": "<a><b></a>", "none": "no xml", "blank": "",
     }
     raw = spark.createDataFrame([(f"/in/{k}.xml", v) for k, v in texts.items()], "path string, value string")
-    documents, rejects = files.parse_raw(raw)
+    documents, rejects = files.parse_raw(raw, files.ANY_XML)
     found = {r.title: json.loads(r.content) for r in documents.collect()}
     assert found == {"a": {"key": 5, "n": "x y"}, "b": {"no": 7, "pos": [{"p": 1}, {"p": 2}], "empty": None}}
     assert {(r.path, r.reason) for r in rejects.collect()} == {(f"/in/{k}.xml", "malformed content") for k in ("bad", "none", "blank")}
     with pytest.raises(ValueError):
-        files.parse_raw(raw, last_wins=True)
+        files.parse_raw(raw, files.ANY_XML, last_wins=True)
