@@ -61,12 +61,12 @@ TOOLS = [
 
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
-    """The conversations as a tool log: every assistant turn makes a call about the first words of its text, and the
-    user turn after it holds the result.  A call needs the one at half its turn.  What a hash of the row draws decides
-    about the tool and about wrong, missing and unknown arguments."""
+    """The conversations as a tool log: every assistant turn makes a call with its whole text, and the user turn after it
+    holds the result.  A call needs the one at half its turn.  What a hash of the row draws decides about the tool, also
+    one without a schema, and about wrong, missing and unknown arguments."""
     draw = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(12))
-    name = F.when(draw % 3 == 0, "search").when(draw % 3 == 1, "translate").otherwise("measure")
-    head = F.substring(F.coalesce("text", F.lit("")), 1, 24)
+    name = F.when(draw == 9, "recall").when(draw % 3 == 0, "search").when(draw % 3 == 1, "translate").otherwise("measure")
+    head = F.coalesce("text", F.lit(""))
     value = (
         F.when(draw == 0, F.to_json(F.struct(head.alias("query"), F.length("text").alias("limit"))))
         .when(draw == 1, F.to_json(F.struct(F.lit("de").alias("to"), head.alias("query"))))

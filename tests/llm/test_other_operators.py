@@ -225,7 +225,7 @@ def test_extract_keeps_rows(spark):
 
 def test_all_operators_are_registered():
     found = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in found) == 1
     assert "pipeline" in found
     assert set(queries.oracle_sql()) <= set(found)
