@@ -8,7 +8,9 @@ Nodes are compared without ever listing the pairs of a large group:
   1. every document is confirmed against one pivot it met (the least document of a shared node), which joins copies;
   2. nodes inside one component have nothing left to find and are dropped;
   3. nodes with few members outside their largest component are compared exhaustively across components, which takes
-     a number of comparisons in proportion to the node's size, however large it is;
+     a number of comparisons in proportion to the node's size, however large it is: a handful by a join, up to some
+     thousands by blocks of the node in one task each, where the full sets decide, so that of a family of loose copies
+     links leave the task and not its pairs;
   4. nodes of many components are compared with one pivot and branch further, until none is left.  The deeper a tree
      goes, the less often a pair stays together in it, so the documents of these nodes get more trees, with minwise
      tokens of their own, until a pair of the least similarity is missed no more often than `recall` allows.
@@ -35,6 +37,11 @@ from docflow.operators.graph import components
 TOKENS = 96
 SKETCHED = 256
 BLOCK_BYTES = 4_000_000
+#: Blocks of a node: members, bytes of a set that comes along (a longer one is confirmed apart), and how many of its nodes
+#: a member names so that a pair is compared in the first node that both name.
+BLOCK_MEMBERS = 4096
+CARRIED_BYTES = 16_384
+NAMED_NODES = 64
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -130,14 +137,15 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Method:
     """words: shingle length; share: least similarity; trees and depth: of the first branching; small: most members
-    outside a node's largest component for it to be compared exhaustively; recall: least share of the pairs of least
+    outside a node's largest component for it to be compared exhaustively, and few: by a join; recall: least share of the pairs of least
     similarity that are to meet in a node that is compared, at whatever depth."""
 
     words: int = 5
     share: tuple[int, int] = (80, 100)
     trees: int = 10
     depth: int = 3
-    small: int = 64
+    small: int = 2048
+    few: int = 8
     recall: float = 0.9998
 
     def missed(self, trees: Sequence[int], depth: int) -> float:
@@ -298,6 +306,83 @@ def confirm(texts: DataFrame, pairs: DataFrame, method: Method) -> DataFrame:
     return links
 
 
+def _met_before(places: list[np.ndarray], a: int, others: np.ndarray, path: int) -> np.ndarray:
+    """Whether a and each of the others name a common node before this one."""
+    mine = places[a][places[a] < path]
+    if not len(mine) or not len(others):
+        return np.zeros(len(others), dtype=bool)
+    joined = np.concatenate([places[b] for b in others])
+    starts = np.concatenate(([0], np.cumsum([len(places[b]) for b in others])[:-1]))
+    found = mine[np.minimum(np.searchsorted(mine, joined), len(mine) - 1)] == joined
+    return np.logical_or.reduceat(found, starts)
+
+
+def _linked_in_block(method: Method, schema: pa.Schema):
+    """Of one block of a node: links (sure) between the probes and the block's members that join two components, and the
+    pairs with a long set, which are left to be confirmed."""
+    least, (few, many) = method.least_matches, method.share
+
+    def links(table: pa.Table) -> pa.Table:
+        plain = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        path, probe, outside, size = int(table.column("path")[0].as_py()), plain("probe"), plain("outside"), plain("n_shingles")
+        rank, part = (np.unique(plain(name), return_inverse=True)[1] for name in ("id", "part"))
+        sketches = np.stack([plain(s) for s in _SKETCH_NAMES], axis=1).view(np.uint64)
+        places = [np.asarray(x.values) for x in table.column("places").combine_chunks()]
+        sets = [None if x is None else _unpacked(x) for x in table.column("words").to_pylist()]
+        carried = np.array([x is not None for x in sets])
+        stored = np.flatnonzero(~probe)
+        out: list[tuple[int, int, bool]] = []
+        for a in np.flatnonzero(probe):
+            near = (part[stored] != part[a]) & (~outside[stored] | (rank[a] < rank[stored]))
+            near &= (size[stored] * many >= size[a] * few) & (size[a] * many >= size[stored] * few)
+            others = stored[near]
+            lost = sketches[others] ^ sketches[a]
+            lost = np.bitwise_count((lost | (lost >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            others = others[SKETCHED - lost >= least]
+            others = others[~_met_before(places, a, others, path)]
+            exact = carried[others] & carried[a]
+            out.extend((a, b, False) for b in others[~exact])
+            others = others[exact]
+            if not len(others):
+                continue
+            joined = np.concatenate([sets[b] for b in others])
+            starts = np.concatenate(([0], np.cumsum([len(sets[b]) for b in others])[:-1]))
+            own = sets[a]
+            held = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+            common = np.add.reduceat(held.astype(np.int64), starts)
+            found = others[many * common >= few * (len(own) + np.array([len(sets[b]) for b in others]) - common)]
+            parts, first = np.unique(part[found], return_index=True)
+            out.extend((a, b, True) for b in found[first])
+            part[np.isin(part, parts)] = part[a]
+        ids = table.column("id").combine_chunks()
+        ends = [ids.take(pa.array([x[i] for x in out], pa.int64())) for i in (0, 1)]
+        return pa.Table.from_arrays([*ends, pa.array([x[2] for x in out], pa.bool_())], schema=schema)
+
+    return links
+
+
+def _linked_in_blocks(texts: DataFrame, nodes: DataFrame, method: Method) -> DataFrame:
+    """src, dst, sure over the nodes (path, id, part, outside, n and sketches): every member outside the largest component
+    meets all others in blocks of bounded size."""
+    spark, kind = texts.sparkSession, texts.schema["id"].dataType.simpleString()
+    members = nodes.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("path")), 1, NAMED_NODES).alias("places"))
+    spec = f"id {kind}, words binary"
+    sets = maybe_in(texts, members, ["id"]).mapInArrow(_set_rows(method.words, to_arrow_schema(StructType.fromDDL(spec))), spec)
+    carried = F.when(F.length("words") <= CARRIED_BYTES, F.col("words")).alias("words")
+    at = shared_path(spark, "members")
+    members = write_to(members.join(sets.select("id", carried), "id"), at)
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    own = nodes.withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("probe", F.lit(False))
+    probes = nodes.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("probe", F.lit(True))
+    columns = ["path", "block", "probe", "id", "part", "outside", *_SKETCH]
+    rows = own.select(columns).unionByName(probes.select(columns)).join(members, "id")
+    spec = f"src {kind}, dst {kind}, sure boolean"
+    found = rows.groupBy("path", "block").applyInArrow(_linked_in_block(method, to_arrow_schema(StructType.fromDDL(spec))), spec)
+    found = written(found, "block-links")
+    remove(spark, at)
+    return found
+
+
 def _branched(nodes: DataFrame, tokens: DataFrame, depth: int) -> DataFrame:
     """The nodes (path, draw, id) some levels down."""
     spec = f"path long, draw int, id {nodes.schema['id'].dataType.simpleString()}"
@@ -413,17 +498,25 @@ def link(docs: DataFrame, method: Method = Method(), id_col: str = "doc_id", tex
         mixed = write_to(mixed.withColumn("outside", F.col("part") != F.col("main")), at_mixed)
         remove(spark, at_nodes)
         # 3. Nodes with few members outside their largest component: these against all of other components.
-        few = mixed.where(F.col("n") - F.col("most") <= method.small)
+        rest = F.col("n") - F.col("most")
+        few = mixed.where(rest <= min(method.few, method.small))
         once = ~F.col("b.outside") | (F.col("a.id") < F.col("b.id"))
         across = (F.col("a.path") == F.col("b.path")) & (F.col("a.part") != F.col("b.part")) & once
         pairs = few.where("outside").alias("a").join(few.alias("b"), across & _similar(method))
         # 4. The others are compared with one pivot, which joins what is alike, and branch on.
-        large = mixed.where(F.col("n") - F.col("most") > method.small)
+        large = mixed.where(rest > method.small)
         star = (F.col("a.path") == F.col("b.path")) & (F.col("a.part") != F.col("b.part"))
         stars = large.where(F.col("id") == F.col("pivot")).alias("a").join(large.alias("b"), star & _similar(method))
         pairs = pairs.select("a.id", F.col("b.id").alias("other")).unionByName(stars.select("a.id", F.col("b.id").alias("other")))
-        pairs = pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
-        labels = _merged(labels, confirm(texts, pairs, method))
+        pairs = pairs.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))
+        blocks = mixed.where((rest > method.few) & (rest <= method.small))
+        sure = None
+        if not blocks.isEmpty():
+            found = _linked_in_blocks(texts, blocks, method)
+            sure = found.where("sure").select("src", "dst")
+            pairs = pairs.unionByName(found.where("not sure").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+        links = confirm(texts, pairs.distinct(), method)
+        labels = _merged(labels, links.unionByName(sure) if sure is not None else links)
         if large.isEmpty():
             remove(spark, at_mixed)
             break

@@ -117,8 +117,12 @@ def _brute_components(docs, k):
     return sorted((d, len(s), root(d)) for d, s in sets)
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_near_duplicates_against_brute_force(spark, small):
+@pytest.mark.parametrize("method", [{}, {"small": 64, "few": 64}, {"small": 2}, {"few": 0}])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, method):
+    if method.get("few") == 0:  # blocks of a few members, some sets too long to come along
+        monkeypatch.setattr(near_duplicates, "BLOCK_MEMBERS", 7)
+        monkeypatch.setattr(near_duplicates, "CARRIED_BYTES", 1200)
+        monkeypatch.setattr(near_duplicates, "NAMED_NODES", 3)
     rng = random.Random(2)
     docs = [(0, None), (1, ""), (2, " \t\n"), (3, "One"), (4, "one"), (5, "word " * 5000)]
     for family in range(12):
@@ -129,7 +133,7 @@ def test_near_duplicates_against_brute_force(spark, small):
                 own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
             docs.append((len(docs), " ".join(own)))
     docs += [(1000 + i, docs[20][1].upper()) for i in range(30)]
-    method = near_duplicates.Method(words=2, small=small)
+    method = near_duplicates.Method(words=2, **method)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).selectExpr("*", "1 AS id", "2 AS path")
     got = near_duplicates.link(frame, method)
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got.collect()) == _brute_components(docs, 2)
