@@ -1,8 +1,8 @@
 """Main text of web pages by two passes over text blocks.
 
-First pass: a block is judged alone, by its place (menus, footers, adverts and the like; article containers), its link
-density, its length and its share of stop words.  Second pass: what stays undecided takes the label of its nearest
-decided neighbours.
+First pass: a block is judged alone, by its link density, its length and its share of stop words; its place (menus,
+footers, adverts and the like; article containers) shifts that.  Second pass: what stays undecided takes the label of its
+nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ _ASIDE_WORDS = set(
     "comments reply replies disqus respond related recommended recommendations widget pagination pager toolbar skip".split()
 )
 _CONTENT_WORDS = set("article content post entry story main body text maintext".split())
+_MODIFIERS = set("no not non has with without free enabled disabled layout".split())
+_HEAD_TAGS = set("head title base link meta style script noscript template object".split())
 _STOP = {
     "en": "the of and to a in is that for it was on with be as by he at from his not are but this have had an they which or were you we there been has when who will more if no out so said what up its about into than them can only".split(),
     "de": "der die das und in zu den von mit ist des sich auf für ein nicht im dem eine als auch es an er hat aus bei wie nach am war oder wird sind noch über einen so zum haben nur aber einer".split(),
@@ -51,7 +53,7 @@ _TOKEN = re.compile(
     |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^<>"']*+(?:(?:"[^"<]*+"|'[^'<]*+')[^<>"']*+)*+>|[^>]*+(?:>|\Z))""",
     re.S | re.X,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in _RAW}
 
@@ -65,7 +67,6 @@ class Rules:
     link_density: float = 0.2
     content_link_density: float = 0.6
     stop_low: float = 0.10
-    stop_high: float = 0.30
 
 
 @dataclass
@@ -74,6 +75,7 @@ class Block:
     linked: int = 0
     aside: bool = False
     content: bool = False
+    hinted: bool = False
     heading: bool = False
 
     @property
@@ -82,7 +84,10 @@ class Block:
 
 
 def _hint(tag: str, attrs: str, in_content: bool) -> str:
-    """What an element says about its content: "aside", "content" or nothing."""
+    """What an element says about its content: "aside", "content", "hint" (a class name for content) or nothing.
+
+    Names that only say what a layout has or lacks (`banner-free`, `no-sidebar`) say nothing.
+    """
     if tag in _ASIDE or tag == "header" and not in_content:
         return "aside"
     found = "content" if tag in _CONTENT else ""
@@ -92,12 +97,16 @@ def _hint(tag: str, attrs: str, in_content: bool) -> str:
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _ASIDE_ROLES:
             return "aside"
+        if key == "role" and value.lower() == "main":
+            found = "content"
         if key in ("class", "id") and tag not in ("html", "body"):
-            words = {w.lower() for w in _NAME.findall(value)}
+            names = [{w.lower() for w in _NAME.findall(name)} for name in value.split()]
+            names = [words for words in names if words and not words & _MODIFIERS]
+            words = set().union(*names)
             if words & _ASIDE_WORDS and not (tag in _CONTENT or in_content and words & {"header", "text", "body"} and not words & (_ASIDE_WORDS - {"header"})):
                 return "aside"
-            if words & _CONTENT_WORDS:
-                found = "content"
+            if not found and any(name <= _CONTENT_WORDS for name in names):
+                found = "hint"
     return found
 
 
@@ -154,6 +163,7 @@ def blocks(page: str) -> list[Block]:
             out.append(Block())
         out[-1].aside = opened.hints["aside"] > 0
         out[-1].content = opened.hints["content"] > 0
+        out[-1].hinted = opened.hints["hint"] > 0
         out[-1].heading = opened.heading()
 
     def add(raw: str) -> None:
@@ -175,6 +185,9 @@ def blocks(page: str) -> list[Block]:
                 add(m[0][9:-3])
             continue
         tag = m["tag"].lower()
+        if opened.tags["head"] and tag not in _HEAD_TAGS and not m["end"]:
+            opened.end("head")
+            begin()
         if m["end"]:
             if opened.end(tag):
                 begin()
@@ -190,7 +203,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in _INLINE:
             opened.imply(_ONE_OPEN.get(tag, set()) | {"p"})
-        opened.push(tag, _hint(tag, m["attrs"], opened.hints["content"] > 0))
+        opened.push(tag, _hint(tag, m["attrs"], opened.hints["content"] + opened.hints["hint"] > 0))
         if tag not in _INLINE:
             begin()
 
@@ -200,62 +213,81 @@ def stop_share(text: str) -> float:
     return max((sum(w in stop for w in words) for stop in _STOP_SETS), default=0) / len(words) if words else 0.0
 
 
-def _first_pass(block: Block, has_content: bool, rules: Rules) -> str:
-    text = block.text
-    size = len("".join(text.split()))
-    density = block.linked / size if size else 0.0
-    if block.aside or text[0] in "©®" or not any(c.isalnum() for c in text) and not block.content:
-        return "bad"
-    if block.content:
-        return "bad" if density > rules.content_link_density and not block.heading else "good"
-    if density > rules.link_density or has_content:
-        return "bad"
+#: Marks of the first pass, rising; those in the middle are undecided.
+BAD, SHORT, NEAR, GOOD = range(4)
+
+
+def _alone(block: Block, text: str, density: float, rules: Rules) -> int:
+    """What a block is by link density, length and stop words."""
+    if block.aside or text[0] in "©®" or density > rules.link_density or not any(c.isalnum() for c in text):
+        return BAD
     if len(text) < rules.short:
-        return "bad" if block.linked else "short"
-    share = stop_share(text)
-    if share >= rules.stop_high:
-        return "good" if len(text) >= rules.long else "near"
-    if share >= rules.stop_low:
-        return "good" if len(text) >= rules.long else "near"
-    return "near" if len(text) >= rules.long else "short"
+        return BAD if block.linked else SHORT
+    if stop_share(text) >= rules.stop_low:
+        return GOOD if len(text) >= rules.long else NEAR
+    return NEAR if len(text) >= rules.long else SHORT
+
+
+def _first_pass(page_blocks: list[Block], rules: Rules) -> list[int]:
+    """Marks of all blocks.
+
+    An article container lifts what is inside to good, unless nearly all of it is links, and lowers what is outside to
+    bad, if it holds at least as much text as is good outside by itself.  Otherwise it counts like a class name that says
+    content: it lifts an undecided block by one.
+    """
+    texts = [b.text for b in page_blocks]
+    density = [b.linked / len("".join(t.split())) for b, t in zip(page_blocks, texts, strict=True)]
+    alone = [_alone(b, t, d, rules) for b, t, d in zip(page_blocks, texts, density, strict=True)]
+    inside = sum(len(t) for b, t in zip(page_blocks, texts, strict=True) if b.content and not b.aside)
+    outside = sum(len(t) for b, t, mark in zip(page_blocks, texts, alone, strict=True) if mark == GOOD and not b.content)
+    trusted = 0 < inside >= outside
+    out = []
+    for block, text, links, mark in zip(page_blocks, texts, density, alone, strict=True):
+        if block.aside or text[0] in "©®" or trusted and not block.content:
+            mark = BAD
+        elif trusted:
+            mark = BAD if links > rules.content_link_density and not block.heading else GOOD
+        elif mark != BAD and (block.content or block.hinted):
+            mark = min(mark + 1, GOOD)
+        out.append(mark)
+    return out
 
 
 def labels(page_blocks: list[Block], rules: Rules = Rules()) -> list[bool]:  # noqa: B008
     """Whether each block is main text.
 
-    Where a page marks its article, only blocks of it can be main text.  Otherwise an undecided block between two
-    good ones is good; between a good and a bad one it is good if nearly good, or if the good one is nearer, counted in
-    blocks.  Without good blocks the nearly good count as such, and without those the short ones.
+    An undecided block between two good ones is good; between a good and a bad one it is good if nearly good, or if the
+    good one is nearer, counted in blocks, or if it is a heading before a good one.  Without good blocks the nearly good
+    count as such, and without those the short ones.
     """
-    has_content = any(b.content and not b.aside for b in page_blocks)
-    first = [_first_pass(b, has_content, rules) for b in page_blocks]
-    for weaker in ("near", "short"):
-        if "good" not in first:
-            first = ["good" if x == weaker else x for x in first]
+    first = _first_pass(page_blocks, rules)
+    for weaker in (NEAR, SHORT):
+        if GOOD not in first:
+            first = [GOOD if x == weaker else x for x in first]
     n = len(first)
     before, after, seen = [(n + 1, False)] * n, [(n + 1, False)] * n, None
     for i in range(n):
-        if first[i] in ("good", "bad"):
+        if first[i] in (GOOD, BAD):
             seen = i
         elif seen is not None:
-            before[i] = (i - seen, first[seen] == "good")
+            before[i] = (i - seen, first[seen] == GOOD)
     seen = None
     for i in range(n - 1, -1, -1):
-        if first[i] in ("good", "bad"):
+        if first[i] in (GOOD, BAD):
             seen = i
         elif seen is not None:
-            after[i] = (seen - i, first[seen] == "good")
+            after[i] = (seen - i, first[seen] == GOOD)
     out = []
     for i in range(n):
-        if first[i] in ("good", "bad"):
-            out.append(first[i] == "good")
+        if first[i] in (GOOD, BAD):
+            out.append(first[i] == GOOD)
             continue
         (d0, good0), (d1, good1) = before[i], after[i]
         if good0 == good1:
             out.append(good0)
         else:
             nearer = good0 and d0 < d1 or good1 and d1 < d0
-            out.append(nearer or first[i] == "near" or page_blocks[i].heading and good1)
+            out.append(nearer or first[i] == NEAR or page_blocks[i].heading and good1)
     return out
 
 

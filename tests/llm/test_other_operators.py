@@ -212,6 +212,59 @@ def test_main_text_by_context():
     assert html.main_text(page) == " ".join(f"{story * 2} He sat. {story * 2}".split())
 
 
+STORY = "The man who was in the house with his dog said that it was not for him to be there when they had it all, and so he went out to the garden and sat down by the water for an hour, as he had done on all the other days. "
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article style="overflow:hidden"><p>{}</article><footer>f</footer>', "{}"),
+        ('<div data-hidden="1"><p>{}</div>', "{}"),
+        ('<div class="banner-free no-sidebar"><p>{}</div><div class="sidebar">s</div>', "{}"),
+        ("<head><title>t</title><body><p>{}", "{}"),
+        ("<html><head><meta charset=x><style>b</style><div><p>{}</div>", "{}"),
+        ('<div class="text-center">x y</div><p>{}<p>{}', "x y {} {}"),
+        ('<div class="post-meta">by me</div><p>{}', "by me {}"),
+        ('<nav><a href=1>Home</a></nav><div class="post-content">Short.</div><div role="main"><p>{}</div><p>' + "Order now. " * 9, "{}"),
+        ("<article>Teaser</article><div><p>{}<p>{}</div>", "Teaser {} {}"),
+        ("<div hidden>{}</div><p>{}", "{}"),
+        ("<div><a href=1>One</a> <a href=2>two</a></div><h2>Day</h2><p>{}<div><a href=3>More</a></div>", "Day {}"),
+    ],
+)
+def test_main_text_by_rules(page, text):
+    assert html.main_text(page.replace("{}", STORY)) == " ".join(text.replace("{}", STORY).split())
+
+
+def test_neighbours_against_brute_force():
+    rng = random.Random(8)
+    kinds = [(STORY, 0), (STORY[:120], 0), ("Short one", 0), ("Link", 4), (STORY, 200), ("zq " * 90, 0), ("!", 0)]
+    for _ in range(400):
+        page = [html.Block([text], linked, rng.random() < 0.1, False, rng.random() < 0.1, rng.random() < 0.2) for text, linked in rng.choices(kinds, k=rng.randrange(12))]
+        first = html._first_pass(page, html.Rules())
+        for weaker in (html.NEAR, html.SHORT):
+            first = first if html.GOOD in first else [html.GOOD if x == weaker else x for x in first]
+        decided = [i for i, x in enumerate(first) if x in (html.GOOD, html.BAD)]
+        want = []
+        for i, x in enumerate(first):
+            left = max((j for j in decided if j < i), default=None)
+            right = min((j for j in decided if j > i), default=None)
+            good = [j for j in (left, right) if j is not None and first[j] == html.GOOD]
+            bad = [j for j in (left, right) if j is not None and first[j] == html.BAD]
+            if i in decided:
+                want.append(x == html.GOOD)
+            elif not good:
+                want.append(False)
+            else:
+                nearer = not bad or abs(good[0] - i) < abs(bad[0] - i)
+                want.append(nearer or x == html.NEAR or page[i].heading and right in good)
+        assert html.labels(page) == want
+
+
+def test_main_text_of_deep_and_long_pages():
+    assert html.main_text("<div><b>" * 30000 + STORY) == STORY.strip()
+    assert html.main_text(f"<p>{STORY}" * 20000) == " ".join([STORY.strip()] * 20000)
+
+
 def test_extract_keeps_rows(spark):
     frame = spark.createDataFrame([(1, "u", "<article>é</article>"), (1, "u", "<article>é</article>"), (2, None, None)], PAGES).selectExpr("*", "1 AS TEXT")
     got = html.extract(frame)
