@@ -8,9 +8,6 @@ sequences.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +15,7 @@ from docflow.llm import language, lines, near_duplicates, packing, postings
 from docflow.llm.common import recorded, remove, shared_path, write_to
 from docflow.llm.queries import tokenizer_path
 
-#: Tables that the stage before has left in the shared folder.
-_left: list[str] = []
-
-
-def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage first deletes what the stage before has left, as its own input is that stage's written result."""
-
-    @wraps(fn)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, *_left)
-        _left.clear()
-        with recorded(_left):
-            return fn(spark, docs, sf_dir)
-
-    return run_stage
 
-
-@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised.  Rejected: null texts, texts without a letter, and texts of which
     no n-gram is known in any language."""
@@ -43,7 +23,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > 0)).select("doc.*")
 
 
-@_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of runs of lines; one of which nothing but white space is left goes."""
     found = lines.dedup(docs.select(F.struct("*").alias("doc"), "doc_id", "text"))
@@ -52,21 +31,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(~F.coalesce(emptied, F.lit(False))).select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
-@_stage
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    The smallest doc_id of a group stays.  Documents with a null or empty text, or without words, are in no group and
+    stay.
+    """
     return near_duplicates.keep_one(docs)
 
 
-@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no ten consecutive words of a benchmark item occur."""
+    """Documents in which no ten consecutive words of a benchmark item occur.
+
+    Null and empty texts stay, repeated rows are judged alike, and items without words match nothing.
+    """
     return postings.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their token ids and their places in sequences of at most 2048 tokens."""
+    """Pieces of documents with their token ids and their places in sequences of at most 2048 tokens.
+
+    A null text counts as empty: one piece with the end token.  Which sequence takes which of equally long pieces is free.
+    """
     return packing.assign(packing.tokenize(docs, tokenizer_path()))
 
 
@@ -83,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`.  What a stage leaves in the shared folder goes once its result is written; the
+    result of the last one is read from its own tables, which stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = write_to(stage(spark, docs, sf_dir), shared_path(spark, name))
+        left: list[str] = []
+        with recorded(left):
+            docs = write_to(stage(spark, docs, sf_dir), shared_path(spark, name))
+        remove(spark, *left)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -323,3 +323,27 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
     assert "\n" not in eight.text and eight.n_chars == len(eight.text)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == kept[3]
+    again = corpus_pipeline.run(spark, str(tmp_path))
+    columns = ["doc_id", "piece", "length"]
+    assert sorted(packed.select(columns).collect()) == sorted(again.select(columns).collect())
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_stages_take_empty_tables_repeated_rows_and_clashing_columns(spark, tmp_path, n):
+    import corpus_pipeline
+
+    extra = "id long, line string, token long, _slot long, component_id string, score double, spans int"
+    values = (7, "l", 8, 9, "c", 0.5, 1)
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, "en"), (1, text, "en"), (2, "other words stand in this text", None)][:n]
+    docs = spark.createDataFrame([(*r, "s", 5, *values) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    items = [("a", "nothing of the kind"), ("b", None)] if n else []
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert set(kept.columns) == set(docs.columns)
+        found = kept.collect()
+        assert {r.doc_id for r in found} == ({1, 2} if n else set())
+        assert all((r.id, r.line, r.token, r._slot, r.component_id, r.score, r.spans) == values for r in found)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == ({1, 2} if n else set())
