@@ -344,6 +344,16 @@ def unused_docs(spark, folder):
     return correlate.unused(docs, used)
 
 
+@query(
+    "orders_without_returns",
+    "SELECT o_orderkey AS doc_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
+)
+def orders_without_returns(spark, folder):
+    docs = table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    returned = table(spark, folder, "lineitem").where(F.col("l_returnflag") == "R")
+    return correlate.unused(docs, returned.select(F.col("l_orderkey").alias("doc_id")))
+
+
 @query(
     "case_members",
     """SELECT o_orderkey AS case_id, 'order' AS cluster, false AS is_shared, count(*) AS n FROM orders GROUP BY 1
@@ -414,6 +424,56 @@ def document_similarity(spark, folder):
     return out.select("doc_1", "doc_2", F.round("similarity", 6).alias("similarity"))
 
 
+ORDER_PAIRS = """p AS (SELECT o_orderkey AS doc_2, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS doc_1 FROM orders),
+    m AS (SELECT doc_1, doc_2, a.o_totalprice AS v1, b.o_totalprice AS v2, a.o_orderstatus AS s1, b.o_orderstatus AS s2,
+      a.o_orderpriority AS t1, b.o_orderpriority AS t2, exp(-abs(epoch_us(a.o_orderdate) - epoch_us(b.o_orderdate)) / 8.64e10 / 30) AS near
+      FROM p JOIN orders a ON a.o_orderkey = doc_1 JOIN orders b ON b.o_orderkey = doc_2)"""
+
+
+def order_pairs(spark, folder):
+    """Every order with the one before it of its customer."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    near = neighbour(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], {"o_orderkey": "doc_1"}, -1)
+    return near.where(F.col("doc_1").isNotNull()).select("doc_1", F.col("o_orderkey").alias("doc_2"))
+
+
+def order_times(spark, folder):
+    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("final_ts"))
+
+
+@query("temporal_similarity", f"WITH {ORDER_PAIRS} SELECT doc_1, doc_2, round(near, 6) AS temporal FROM m")
+def temporal_similarity(spark, folder):
+    """How near in time every order is to the one before it of its customer."""
+    out = similarity.temporal_similarity(order_pairs(spark, folder), order_times(spark, folder))
+    return out.withColumn("temporal", F.round("temporal", 6))
+
+
+@query(
+    "order_similarity",
+    f"""WITH {ORDER_PAIRS}, w AS (SELECT *, list_distinct(string_split(t1, '-')) AS x, list_distinct(string_split(t2, '-')) AS y,
+      (CASE WHEN greatest(abs(v1), abs(v2)) = 0 THEN 1 ELSE 1 - abs(v1 - v2) / greatest(abs(v1), abs(v2)) END
+        + 1 - levenshtein(t1, t2) / greatest(length(t1), length(t2))::DOUBLE) / 2 AS attributes FROM m)
+    SELECT doc_1, doc_2, round(0.30 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE + 0.30 * attributes
+      + 0.25 * (CASE WHEN s1 = s2 THEN 0.8 ELSE 0 END + CASE WHEN t1 = t2 THEN 0.5 ELSE 0 END) / 1.3 + 0.15 * near, 6) AS similarity FROM w""",
+)
+def order_similarity(spark, folder):
+    """All four parts of the similarity of orders: text, attributes, business keys and time."""
+    given = cut_lineage(order_pairs(spark, folder))
+    orders = table(spark, folder, "orders")
+    leaf = row_leaves(orders, {"o_orderkey": "doc_id"}, ["o_totalprice", "o_orderpriority"])
+    keyed = row_leaves(orders, {"o_orderkey": "doc_id"}, ["o_orderstatus", "o_orderpriority"])
+    tiers, weights = {"primary": ("o_orderstatus",), "secondary": ("o_orderpriority",)}, {"primary": 0.8, "secondary": 0.5}
+    words = orders.select(F.col("o_orderkey").alias("doc_id"), F.split("o_orderpriority", "-").alias("tokens"))
+    parts = {
+        "text": similarity.token_similarity(given, words),
+        "attributes": similarity.attribute_similarity(given, leaf),
+        "business_keys": similarity.business_key_similarity(given, keyed, tiers, weights),
+        "temporal": similarity.temporal_similarity(given, order_times(spark, folder)),
+    }
+    out = similarity.document_similarity(given, parts)
+    return out.select("doc_1", "doc_2", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     "numeric_derivation",
     """WITH w AS (SELECT l_orderkey AS case_id, count(*)::DOUBLE AS n_lines, max(l_linenumber)::DOUBLE AS last_line,

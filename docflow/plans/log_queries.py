@@ -59,6 +59,27 @@ def unrelated_activities(spark, folder):
     return footprint.unrelated(footprint.dfg(log), log)
 
 
+PRIORITY_FLOW = (
+    "flow AS (SELECT o_orderkey AS case_id, 'order ' || o_orderpriority AS activity, o_orderdate AS ts FROM orders "
+    "UNION ALL SELECT l_orderkey, 'ship_' || l_returnflag, l_shipdate FROM lineitem)"
+)
+
+
+@query(
+    "unrelated_priorities",
+    f"""WITH {PRIORITY_FLOW}, {FLOW_STEPS}, {DFG}, names AS (SELECT DISTINCT activity FROM flow)
+    SELECT x.activity AS a, y.activity AS b FROM names x JOIN names y ON x.activity < y.activity
+    WHERE NOT EXISTS (SELECT 1 FROM dfg WHERE (a = x.activity AND b = y.activity) OR (a = y.activity AND b = x.activity))""",
+)
+def unrelated_priorities(spark, folder):
+    """Orders by priority and their shipments: orders never follow each other, as a case holds one."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("case_id"), F.concat_ws(" ", F.lit("order"), "o_orderpriority").alias("activity"), F.col("o_orderdate").alias("ts")
+    )
+    log = order_flow(spark, folder).where(F.col("activity") != "order").unionByName(orders)
+    return footprint.unrelated(footprint.dfg(log, order=FLOW_ORDER), log)
+
+
 @query(
     "start_end_activities",
     f"""WITH {USER_LOG}, edge AS (SELECT case_id,

@@ -1117,3 +1117,85 @@ def case_features(spark, folder):
         decisions.activity_flags(evidence, ["view>click"]).withColumnRenamed("has_at_view>click", "has_step"),
     ]
     return decisions.case_features(parts)
+
+
+ORDER_STEPS = f"""{ORDER_FLOW}, {FLOW_STEPS}, evi AS (SELECT a || '>' || b AS activity_id, case_id FROM steps WHERE b IS NOT NULL)"""
+
+
+def _order_steps(spark, folder):
+    """Consecutive documents of orders as activities: activity_id, case_id, activity, next_activity."""
+    steps = eventlog.follows(order_flow(spark, folder), order=FLOW_ORDER).where(F.col("next_activity").isNotNull())
+    return steps.select(F.concat_ws(">", "activity", "next_activity").alias("activity_id"), "case_id", "activity", "next_activity")
+
+
+NUMBERS = ("max_amount", "min_amount", "avg_amount", "amount_range", "max_price", "min_price", "avg_price", "total_value", "total_quantity", "max_quantity", "avg_quantity", "total_weight", "avg_weight")
+
+
+@query(
+    "case_vector",
+    f"""WITH {ORDER_STEPS}, t AS (SELECT case_id, hour(min(ts))::INT AS hour, (isodow(min(ts)) - 1)::INT AS day_of_week, (isodow(min(ts)) >= 6)::INT AS is_weekend,
+      round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) AS process_duration, (hour(min(ts)) < 12)::INT AS morning_start,
+      (hour(min(ts)) >= 18)::INT AS evening_start, count(*) AS total_documents, count(DISTINCT activity) AS unique_doc_types FROM flow GROUP BY 1),
+    l AS (SELECT l_orderkey AS case_id, 'quantity' AS c, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, 'price', l_extendedprice FROM lineitem
+      UNION ALL SELECT l_orderkey, 'price', l_discount FROM lineitem UNION ALL SELECT l_orderkey, 'other', l_tax FROM lineitem
+      UNION ALL SELECT l_orderkey, 'weight', l_quantity * 2 FROM lineitem),
+    n AS (SELECT case_id, max(v) AS max_amount, min(v) AS min_amount, avg(v) AS avg_amount, max(v) - min(v) AS amount_range,
+      max(v) FILTER (WHERE c = 'price') AS max_price, min(v) FILTER (WHERE c = 'price') AS min_price, avg(v) FILTER (WHERE c = 'price') AS avg_price,
+      sum(v) FILTER (WHERE c = 'price') AS total_value, sum(v) FILTER (WHERE c = 'quantity') AS total_quantity,
+      max(v) FILTER (WHERE c = 'quantity') AS max_quantity, avg(v) FILTER (WHERE c = 'quantity') AS avg_quantity,
+      sum(v) FILTER (WHERE c = 'weight') AS total_weight, avg(v) FILTER (WHERE c = 'weight') AS avg_weight FROM l GROUP BY 1),
+    f AS (SELECT case_id, max(coalesce((a = 'order' AND b = 'ship_A')::INT, 0)) AS seq_order_to_ship_A,
+      max(coalesce((a = 'ship_N' AND b = 'ship_R')::INT, 0)) AS seq_ship_N_to_ship_R FROM steps GROUP BY 1),
+    h AS (SELECT case_id, max((activity_id = 'order>ship_N')::INT) AS has_order_n, max((activity_id = 'ship_R>ship_R')::INT) AS has_r_r FROM evi GROUP BY 1)
+    SELECT t.*, {', '.join(f'round({c}, 4) AS {c}' for c in NUMBERS)}, seq_order_to_ship_A, seq_ship_N_to_ship_R, has_order_n, has_r_r
+    FROM t LEFT JOIN n USING (case_id) LEFT JOIN f USING (case_id) LEFT JOIN h USING (case_id)""",
+)
+def case_vector(spark, folder):
+    """The whole feature vector of order cases: all time and number features, follows-pairs and activities."""
+    from docflow.operators.leaves import categorized_numbers
+
+    flow = order_flow(spark, folder)
+    lines = german_lines(spark, folder).withColumn("Gewicht", F.col("Menge") * 2)
+    leaf = row_leaves(lines, {"doc_id": "case_id"}, ["Menge", "Gesamtpreis", "Rabattbetrag", "Steuer", "Gewicht"])
+    flags = decisions.activity_flags(_order_steps(spark, folder), ["order>ship_N", "ship_R>ship_R"])
+    out = decisions.case_features(
+        [
+            decisions.time_features(flow),
+            decisions.number_features(categorized_numbers(leaf)),
+            decisions.follow_flags(flow, [("order", "ship_A"), ("ship_N", "ship_R")], order=FLOW_ORDER),
+            flags.toDF("case_id", "has_order_n", "has_r_r"),
+        ]
+    )
+    return out.withColumns({c: F.round(c, 4) for c in NUMBERS} | {"process_duration": F.round("process_duration", 6)})
+
+
+@query(
+    "contradicted_steps",
+    f"""WITH {ORDER_STEPS}, sp AS (SELECT case_id, activity, min(ts) AS lo, max(ts) AS hi FROM flow GROUP BY 1, 2),
+    acts AS (SELECT DISTINCT a, b FROM steps WHERE b IS NOT NULL)
+    SELECT DISTINCT a || '>' || b AS activity_id FROM acts JOIN sp x ON x.activity = a JOIN sp y ON y.case_id = x.case_id AND y.activity = b WHERE x.lo > y.hi""",
+)
+def contradicted_steps(spark, folder):
+    """Steps between the documents of an order whose end lies whole before their start in some other order."""
+    kinds = cut_lineage(_order_steps(spark, folder).select("activity_id", "activity", "next_activity").distinct())
+    sides = {"input": "activity", "output": "next_activity"}
+    ins, outs = (kinds.select("activity_id", F.lit(d).alias("direction"), F.col(c).alias("cluster"), F.lit(0).alias("variant")) for d, c in sides.items())
+    log = order_flow(spark, folder).withColumn("activity", F.concat("activity", F.lit("_0")))
+    return act.temporal_contradictions(ins.unionByName(outs), log)
+
+
+@query(
+    "compatible_month_rules",
+    """WITH ru AS (SELECT DISTINCT 'month ' || month(o_orderdate) AS activity_id, 'status ' || o_orderstatus AS lo, 'priority ' || o_orderpriority AS hi FROM orders),
+    k AS (SELECT activity_id, lo, hi, unnest([lo, hi]) AS key FROM ru)
+    SELECT DISTINCT x.activity_id AS id_1, y.activity_id AS id_2, x.key FROM k x JOIN k y ON x.key = y.key AND x.activity_id < y.activity_id
+    WHERE (x.lo, x.hi) <> (y.lo, y.hi)""",
+)
+def compatible_month_rules(spark, folder):
+    """The orders of a month as an activity, with the pairs of status and priority that occur in it as its rules."""
+    part = lambda kind, c: F.concat_ws(" ", F.lit(kind), c.cast("string"))
+    rules = table(spark, folder, "orders").select(
+        part("month", F.month("o_orderdate")).alias("activity_id"), F.lit("SAME_VALUE").alias("rule_type"),
+        part("status", F.col("o_orderstatus")).alias("key_lo"), part("priority", F.col("o_orderpriority")).alias("key_hi"),
+    )
+    return act.compatible_rules(cut_lineage(rules.distinct()))
