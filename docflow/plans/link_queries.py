@@ -243,7 +243,7 @@ def document_cases(spark, folder):
 
 @query(
     "components",
-    f"""WITH RECURSIVE {LINES}, l AS (SELECT DISTINCT doc_id, line FROM lines WHERE length(line) >= 20),
+    f"""WITH RECURSIVE {LINES}, l AS (SELECT DISTINCT doc_id, line FROM lines WHERE length(line) > 0),
     hub AS (SELECT line, min(doc_id) AS d FROM l GROUP BY line HAVING count(*) > 1),
     e AS (SELECT DISTINCT l.doc_id AS a, hub.d AS b FROM l JOIN hub USING (line) WHERE l.doc_id <> hub.d),
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -251,9 +251,9 @@ def document_cases(spark, folder):
     SELECT node, min(root) AS component FROM walk GROUP BY node""",
 )
 def document_components(spark, folder):
-    """Text documents that share a whole line of at least 20 characters."""
+    """Text documents that share a whole line."""
     docs = table(spark, folder, "documents")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= 20)
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0)
     entries = lines.select("doc_id", F.lit(0).alias("entry_idx"), F.lit("line").alias("key"), F.col("line").alias("norm"))
     edges = correlate.entry_links(entries).select(F.col("doc_id").alias("src"), F.col("to_doc").alias("dst"))
     return components(edges, docs.select(F.col("doc_id").alias("node")))
