@@ -199,7 +199,7 @@ def invoice_members(spark, folder):
     WHERE a.rule_type <> 'SAME_COMMON_VALUE' AND b.rule_type <> 'SAME_COMMON_VALUE'""",
 )
 def rule_overlap(spark, folder):
-    rows = invoice_members(spark, folder)
+    rows = cut_lineage(invoice_members(spark, folder))
     out = correlate.rule_overlap(rows, pairs.rule_counts(rows))
     return out.withColumn("jaccard", F.round("jaccard", 9))
 
