@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from docflow.functions.names import base_name
+from docflow.session import cut_lineage
 
 # File kinds that are listed; text files are listed but not read as documents.
 LISTED = "*.{json,xml,txt}"
@@ -101,6 +102,9 @@ def parse_raw(
         content = content.when(F.col("kind") == "xml", xml)
     routed = raw.withColumn("kind", kind).withColumn("content", content)
     meta = [c for c in ("file_size", "modified_at", "created_at", "accessed_at") if c in raw.columns]
+    # Parsed once: both results would parse every file again, to choose its rows and to fill them.
+    if not raw.isStreaming:
+        routed = cut_lineage(routed.select("path", "kind", "content", *meta))
     documents = routed.where(F.col("content").isNotNull()).select(
         F.xxhash64("path").alias("doc_id"),
         "path",
