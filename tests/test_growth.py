@@ -119,3 +119,14 @@ def test_files_are_parsed_once(spark):
     raw = spark.createDataFrame([("/a.xml", "<r><x>1</x></r>"), ("/b.xml", "<r><x>1</r>"), ("/c.json", '{"x": 1}')], "path string, value string")
     documents, rejects = parse_raw(raw, ANY_XML)
     assert documents.inputFiles() and documents.count() == 2 and rejects.count() == 1
+
+
+def test_relations_get_tasks_by_rows(spark, monkeypatch):
+    rows = [(c, v, t, 0, "k", t, None, False) for c in range(20) for v in ("n:5", "n:6") for t in ("a", "b")]
+    leaf = spark.createDataFrame(rows, LEAF)
+    plain = relations.evidence_documents(relations.relation_instances(leaf), leaf)
+    want = sorted(map(str, plain.collect()))
+    monkeypatch.setattr(skew, "TASK_ROWS", 8)
+    found = relations.relation_instances(leaf)
+    assert ", 10), REPARTITION_BY_NUM" in _plan(found)
+    assert sorted(map(str, relations.evidence_documents(found, leaf).collect())) == want and len(want) == 80
