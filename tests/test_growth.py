@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from docflow.operators import correlate, pairs, relations, skew
+from docflow.operators import cases, correlate, pairs, relations, skew
 from docflow.session import cut_lineage
 from docflow.sources.files import ANY_XML, parse_raw
 
@@ -130,3 +130,20 @@ def test_relations_get_tasks_by_rows(spark, monkeypatch):
     found = relations.relation_instances(leaf)
     assert ", 10), REPARTITION_BY_NUM" in _plan(found)
     assert sorted(map(str, relations.evidence_documents(found, leaf).collect())) == want and len(want) == 80
+
+
+def test_cells_of_a_value_meet_in_one_pass(spark):
+    rows = [(1, "n:5", t, v, k, f"{t}{v}", None, False) for t, v in (("a", 0), ("a", 1), ("b", 0)) for k in ("k", "l")]
+    rows += [(c, n, t, 0, "k", t, None, False) for c, n in ((None, "n:5"), (1, None), (2, "n:9")) for t in ("a", "b") if (c, t) != (2, "b")]
+    found = relations.relation_instances(spark.createDataFrame(rows + rows, LEAF))
+    assert "Join" not in _plan(found)
+    met = sorted((r["doc_1"], r["key_1"], r["doc_2"], r["key_2"]) for r in found.collect())
+    pairs_of = [("a0", "a1"), ("a0", "b0"), ("a1", "b0")]
+    assert met == sorted((x, k, y, j) for x, y in pairs_of for k in "kl" for j in "kl")
+
+
+def test_variants_are_composed_once(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (2, "a", 2), (3, "a", 1), (3, "b", 0)], "case_id int, cluster string, n_own long")
+    found = cases.case_variants(counts)
+    assert found.inputFiles() and "Scan ExistingRDD" not in _plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, "a=2", 2), (2, "a=2", 2), (3, "a=1", 1)]
