@@ -24,6 +24,8 @@ MULTIPLIERS = (0x9E3779B1, 0x85EBCA77)
 UNDETERMINED = "und"
 #: Texts are worked on in blocks of about this many bytes, whatever a batch holds.
 BLOCK_BYTES = 4_000_000
+#: Scoring takes some 40 bytes for each byte of a block.
+SCORE_BYTES = 250_000
 
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() or c == 39 else 32 for c in range(256))
 
@@ -37,13 +39,13 @@ class LanguageFilters:
     chance: np.ndarray
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def _blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, list[bytes]]]:
     start, size, block = 0, 0, []
     for i, text in enumerate(texts):
         words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
         block.append(b"  " + b" ".join(words) + b"  \n")
         size += len(block[-1])
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield start, block
             start, size, block = i + 1, 0, []
     if block:
@@ -73,7 +75,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column(0).to_pylist()
         texts = batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
-            for _, block in _blocks([t for t, x in zip(texts, langs, strict=True) if x == lang]):
+            for _, block in _blocks([t for t, x in zip(texts, langs, strict=True) if x == lang], BLOCK_BYTES):
                 codes, inside, _ = _grams(block)
                 grams, n = np.unique(codes[inside], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -142,7 +144,7 @@ def _scores(texts: list[str | None], model: LanguageFilters) -> tuple[list[str],
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if not model.languages:
         return names, scores
-    for start, block in _blocks(texts):
+    for start, block in _blocks(texts, SCORE_BYTES):
         codes, inside, starts = _grams(block)
         first, second = _slots(codes)
         n = np.add.reduceat(inside.astype(np.int64), starts)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -41,6 +42,16 @@ def test_language_without_labels(spark):
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
 
 
+def test_language_scores_take_little_memory():
+    texts = ["ein kurzer satz mit vielen worten " * 60] * 4000
+    model = language.LanguageFilters(("en", "de"), np.full((1, 1 << language.SLOT_BITS), 2, dtype=np.uint64), np.zeros(2))
+    tracemalloc.start()
+    names, _ = language._scores(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(names) == {"de"} and peak < 40e6
+
+
 def test_language_long_text_and_many_languages(spark):
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyz"
