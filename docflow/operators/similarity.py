@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Params
-from docflow.operators.skew import lookup_join
+from docflow.operators.skew import hot_keys, lookup_join
 from docflow.functions.values import KEY_TIERS, TIER_WEIGHTS, number_similarity, string_similarity
 
 # Weights of the parts of a pair's similarity.
@@ -24,6 +24,18 @@ def value_similarity(vtype_1: Column, v_1: Column, num_1: Column, vtype_2: Colum
     )
 
 
+def _meet(pairs: DataFrame, one: DataFrame, two: DataFrame, *keys: str) -> DataFrame:
+    """Pairs with the rows of both documents, those of equal `keys`.
+
+    Documents in very many pairs are looked for among the pairs, so that no join runs for that alone; only where there
+    are any, and `keys`, the joined rows are searched.
+    """
+    given = pairs.select("doc_1", "doc_2")
+    hot = hot_keys(given, ["doc_2"])
+    first = lookup_join(given, one, ["doc_1"])
+    return lookup_join(first, two, ["doc_2", *keys], hot=None if hot and keys else hot)
+
+
 def attribute_similarity(pairs: DataFrame, leaf: DataFrame) -> DataFrame:
     """Mean similarity over common attributes: doc_1, doc_2, n_common, attributes.
 
@@ -35,8 +47,7 @@ def attribute_similarity(pairs: DataFrame, leaf: DataFrame) -> DataFrame:
             F.col("doc_id").alias(f"doc_{n}"), "key", *[F.col(c).alias(f"{c}_{n}") for c in ("value", "vtype", "num")]
         )
 
-    first = lookup_join(pairs.select("doc_1", "doc_2"), side("1"), ["doc_1"])
-    met = lookup_join(first, side("2"), ["doc_2", "key"])
+    met = _meet(pairs, side("1"), side("2"), "key")
     score = value_similarity(*[F.col(c) for c in ("vtype_1", "value_1", "num_1", "vtype_2", "value_2", "num_2")])
     return met.groupBy("doc_1", "doc_2").agg(F.count("*").alias("n_common"), F.avg(score).alias("attributes"))
 
@@ -51,8 +62,7 @@ def business_key_similarity(pairs: DataFrame, leaf: DataFrame, tiers: dict = KEY
     def side(n: str) -> DataFrame:
         return keyed.select(F.col("doc_id").alias(f"doc_{n}"), "key", F.col("norm").alias(f"norm_{n}"))
 
-    first = lookup_join(pairs.select("doc_1", "doc_2"), side("1"), ["doc_1"])
-    met = lookup_join(first, side("2"), ["doc_2", "key"])
+    met = _meet(pairs, side("1"), side("2"), "key")
     return (
         met.where(F.col("norm_1") == F.col("norm_2"))
         .select("doc_1", "doc_2", "key")
@@ -68,7 +78,7 @@ def token_similarity(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     two = texts.select(F.col("doc_id").alias("doc_2"), F.array_distinct("tokens").alias("_t2"))
     union = F.size(F.array_union("_t1", "_t2"))
     jaccard = F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect("_t1", "_t2")) / union)
-    met = lookup_join(lookup_join(pairs.select("doc_1", "doc_2"), one, ["doc_1"]), two, ["doc_2"])
+    met = _meet(pairs, one, two)
     return met.select("doc_1", "doc_2", jaccard.alias("text"))
 
 
@@ -77,7 +87,7 @@ def temporal_similarity(pairs: DataFrame, times: DataFrame, params: Params = DEF
     one = times.select(F.col("doc_id").alias("doc_1"), F.col("final_ts").alias("_a"))
     two = times.select(F.col("doc_id").alias("doc_2"), F.col("final_ts").alias("_b"))
     days = F.abs(F.unix_micros(F.col("_a").cast("timestamp")) - F.unix_micros(F.col("_b").cast("timestamp"))) / 8.64e10
-    met = lookup_join(lookup_join(pairs.select("doc_1", "doc_2"), one, ["doc_1"]), two, ["doc_2"])
+    met = _meet(pairs, one, two)
     return met.select("doc_1", "doc_2", F.exp(-days / params.max_pattern_days).alias("temporal"))
 
 

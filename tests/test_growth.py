@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from docflow.operators import cases, correlate, pairs, relations, skew
+from docflow.operators import cases, correlate, pairs, relations, similarity, skew
 from docflow.session import cut_lineage
 from docflow.sources.files import ANY_XML, parse_raw
 
@@ -147,3 +147,22 @@ def test_variants_are_composed_once(spark):
     found = cases.case_variants(counts)
     assert found.inputFiles() and "Scan ExistingRDD" not in _plan(found)
     assert sorted(map(tuple, found.collect())) == [(1, "a=2", 2), (2, "a=2", 2), (3, "a=1", 1)]
+
+
+def test_no_join_runs_to_find_hot_documents(spark, monkeypatch):
+    searched, search = [], skew.hot_and_rows
+    monkeypatch.setattr(skew, "hot_and_rows", lambda df, cols, *rest: searched.append(_plan(df)) or search(df, cols, *rest))
+    given = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 3)], "doc_1 int, doc_2 int")
+    texts = spark.createDataFrame([(d, ["a", "b"][:d]) for d in (1, 2, 3)], "doc_id int, tokens array<string>")
+    leaf = spark.createDataFrame([(d, k, "x", "STRING", None, "s:x") for d in (1, 2, 3) for k in "kl"], "doc_id int, key string, value string, vtype string, num double, norm string")
+
+    def parts():
+        words = {(r["doc_1"], r["doc_2"]): r["text"] for r in similarity.token_similarity(given, texts).collect()}
+        alike = {(r["doc_1"], r["doc_2"]): (r["n_common"], r["attributes"]) for r in similarity.attribute_similarity(given, leaf).collect()}
+        return words, alike
+
+    plain = parts()
+    assert plain == ({(1, 2): 0.5, (1, 3): 0.5, (2, 3): 1.0, (3, 3): 1.0}, dict.fromkeys([(1, 2), (1, 3), (2, 3), (3, 3)], (2, 1.0)))
+    assert searched and not any("Join" in plan for plan in searched)
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 1)
+    assert parts() == plain
