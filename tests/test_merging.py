@@ -1,5 +1,6 @@
 """Complete evidence of relations and what merging decides on it, on small planted tables."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -243,3 +244,40 @@ def test_xml_of_any_shape(spark):
     assert {(r.path, r.reason) for r in rejects.collect()} == {(f"/in/{k}.xml", "malformed content") for k in ("bad", "none", "blank")}
     with pytest.raises(ValueError):
         files.parse_raw(raw, files.ANY_XML, last_wins=True)
+
+
+def _cover(io, rules, scores, reference):
+    """The greedy choice as it reads, per (activity, score)."""
+    ranked = sorted({(-s, a) for a, s in scores if s is not None and s >= 2})
+    rows = [(n, a, d, (d, c, v), c in reference) for n, (_, a) in enumerate(ranked) for b, d, c, v in io if a == b]
+    first = {}
+    for n, _, _, item, _ in rows:
+        first[item] = min(n, first.get(item, n))
+    seen = [(r[0], r[3]) for r in rows]
+    kept = {n for n, _, _, item, _ in rows if first[item] == n} - {
+        n for n, _, _, item, ref in rows if ref and (first[item] != n or seen.count((n, item)) > 1)
+    }
+    left = {r[0] for r in rows} - kept
+    pairs = [(n, k) for n, (_, a) in enumerate(ranked) for b, _, *k in rules if a == b]
+    covered = [k for n, k in pairs if n in kept and None not in k]
+    second = {min(n for n, other in pairs if n in left and other == k) for m, k in pairs if m in left and k not in covered}
+    return sorted((ranked[n][1], -ranked[n][0], why) for ids, why in ((kept, "new objects"), (second, "new attributes")) for n in ids)
+
+
+def test_cover_sorts_no_object_in_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = [f"a{i}" for i in range(40)]
+    io = [(rng.choice(ids), rng.choice(["input", "output"]), rng.choice(["p", "q", "r", None]), rng.choice([0, 1, None])) for _ in range(120)]
+    rules = [(rng.choice(ids), "SAME_VALUE", f"k{rng.randrange(9)}", rng.choice(["z", None])) for _ in range(90)]
+    scores = [(a, float(rng.randrange(9))) for a in ids] + [("a1", 7.0), ("a1", 7.0), ("a2", None)]
+    tables = (
+        spark.createDataFrame(io + io[:9], "activity_id string, direction string, cluster string, variant int"),
+        spark.createDataFrame(rules + rules[:9], "activity_id string, rule_type string, key_lo string, key_hi string"),
+        spark.createDataFrame(scores, "activity_id string, score double"),
+    )
+    layer = spark.createDataFrame([("p", "reference"), ("q", "case")], "cluster string, layer string")
+    monkeypatch.setattr(act, "cut_lineage", lambda df: df)
+    for reference, given in ((set(), None), ({"p"}, layer)):
+        out = act.select_cover(*tables, layer=given)
+        assert sorted(map(tuple, out.collect())) == _cover(io + io[:9], rules + rules[:9], scores, reference)
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
