@@ -253,13 +253,14 @@ def _cover(io, rules, scores, reference):
     first = {}
     for n, _, _, item, _ in rows:
         first[item] = min(n, first.get(item, n))
-    seen = [(r[0], r[3]) for r in rows]
+    seen = [(n, item) for n, _, _, item, _ in rows for _ in range(scores.count((ranked[n][1], -ranked[n][0])))]
     kept = {n for n, _, _, item, _ in rows if first[item] == n} - {
         n for n, _, _, item, ref in rows if ref and (first[item] != n or seen.count((n, item)) > 1)
     }
-    left = {r[0] for r in rows} - kept
+    names = {ranked[n][1] for n in kept}
+    left = {r[0] for r in rows if r[1] not in names}
     pairs = [(n, k) for n, (_, a) in enumerate(ranked) for b, _, *k in rules if a == b]
-    covered = [k for n, k in pairs if n in kept and None not in k]
+    covered = [k for n, k in pairs if ranked[n][1] in names and None not in k]
     second = {min(n for n, other in pairs if n in left and other == k) for m, k in pairs if m in left and k not in covered}
     return sorted((ranked[n][1], -ranked[n][0], why) for ids, why in ((kept, "new objects"), (second, "new attributes")) for n in ids)
 
