@@ -25,7 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of runs of lines; one of which nothing but white space is left goes."""
-    found = lines.dedup(docs.select(F.struct("*").alias("doc"), "doc_id", "text"))
+    # The other columns go along as one; the text, which line dedup writes with them, only once.
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc")
+    found = lines.dedup(docs.select(others, "doc_id", "text"))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return found.where(~F.coalesce(emptied, F.lit(False))).select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

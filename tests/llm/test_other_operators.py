@@ -328,6 +328,18 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
     assert sorted(packed.select(columns).collect()) == sorted(again.select(columns).collect())
 
 
+def test_line_dedup_writes_a_text_once(spark):
+    import corpus_pipeline
+    from docflow.llm.common import recorded
+
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, "", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = []
+    with recorded(left):
+        found = corpus_pipeline.dedup_lines(spark, docs, "")
+    assert found.columns == docs.columns and sorted(found.collect()) == sorted(docs.collect())
+    assert sum(spark.read.parquet(path).schema.simpleString().count("text:string") for path in left) == 1
+
+
 @pytest.mark.parametrize("n", [0, 3])
 def test_stages_take_empty_tables_repeated_rows_and_clashing_columns(spark, tmp_path, n):
     import corpus_pipeline
