@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from docflow.llm import language, lines, near_duplicates, postings, suffixes
+from docflow.llm import language, lines, near_duplicates, postings, queries, suffixes
 
 DOCS = "doc_id long, text string, lang string"
 ENGLISH = "the cat and the dog were in the garden with the old man and his friends"
@@ -272,6 +272,22 @@ def test_substrings_against_brute_force(spark, monkeypatch):
     assert suffixes.dedup(frame.limit(0)).count() == 0
 
 
+def test_substrings_planted_in_documents(spark, tmp_path):
+    # Passages of over 50 words that documents share: those of 400 bytes go, shorter ones stay, and n_bytes tells neither.
+    rng = random.Random(7)
+    prose = lambda n, letters: " ".join("".join(rng.choice("abcdefghij") for _ in range(letters)) for _ in range(n))
+    around = lambda passage="": f"{prose(rng.randrange(20, 90), 6)} {passage} {prose(rng.randrange(20, 90), 6)}"
+    long, short = [prose(60, 7) for _ in range(8)], [prose(60, 4) for _ in range(8)]
+    texts = {"long": [around(p) for p in long for _ in range(3)], "short": [around(p) for p in short for _ in range(3)], "clean": [around() for _ in range(30)]}
+    docs = list(enumerate(t for kind in texts.values() for t in kind))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op9_repeated_substrings(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == _brute_substrings(docs, 400)
+    assert [n_bytes for _, n_bytes, *_ in got] == [len(t) for _, t in docs]
+    assert all(n_removed >= len(long[0]) and n_spans == 1 for _, _, n_removed, n_spans, _ in got[:24])
+    assert all(n_removed == 0 for _, _, n_removed, *_ in got[24:])
+
+
 def test_substrings_of_a_passage_in_many_texts(spark):
     # As contexts: one gram and right side, every left side its own.
     rows = [(7, i, 100, b"%0100d" % i, b"r" * 500) for i in range(3000)] + [(8, 1, 100, b"l" * 100, b"s" * 500)]
