@@ -91,6 +91,31 @@ def test_only_shared_values_are_combined(spark, monkeypatch):
     assert sizes == [20]
 
 
+def test_values_combine_only_where_their_rules_meet(spark, monkeypatch):
+    # Every id and buyer is shared, but no order holds both, except o9.
+    rows = [(f"o{i}", "order", "id", f"n:{100 + i}") for i in range(5)] + [(f"o{i}", "order", "buyer", f"n:{500 + i}") for i in range(5, 9)]
+    rows += [("o9", "order", "id", "n:109"), ("o9", "order", "buyer", "n:509")]
+    rows += [(f"l{i}", "line", k, f"n:{v}") for i in range(10) for k, v in (("id", 100 + i), ("buyer", 505 + i % 5), ("buyer", 504))]
+    frame = spark.createDataFrame(rows, "doc_id string, cluster string, key string, norm string")
+    sizes, cut = [], correlate.cut_lineage
+
+    def counted(df):
+        if df.columns == ["doc_id", "cluster", "key", "norm"]:
+            sizes.append(df.count())
+        return cut(df)
+
+    monkeypatch.setattr(correlate, "cut_lineage", counted)
+    found = correlate.rule_overlap(frame, pairs.rule_counts(frame)).collect()
+    assert [(r["n_a"], r["n_b"], r["n_both"]) for r in found] == [(10, 6, 1)] and sizes == [2]
+
+
+def test_rules_beyond_a_mask_still_combine(spark):
+    rows = [(d, c, k, "n:5") for d, c in (("a", "x"), ("b", "y")) for k in "klmnopqr"]
+    frame = spark.createDataFrame(rows, "doc_id string, cluster string, key string, norm string")
+    found = correlate.rule_overlap(frame, pairs.rule_counts(frame)).collect()
+    assert len(found) == 64 * 63 // 2 and {r["n_both"] for r in found} == {1}
+
+
 def test_a_lookup_is_not_broadcast_by_its_size_on_disk(spark):
     left, right = spark.range(5), spark.range(5).withColumn("v", F.lit(1))
     plan = _plan(skew.lookup_join(left, right, ["id"]))
