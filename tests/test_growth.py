@@ -1,6 +1,7 @@
 """What must not grow faster than the input: rows listed, shuffles, rows of one task."""
 
 from collections import defaultdict
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -157,6 +158,25 @@ def test_relations_get_tasks_by_rows(spark, monkeypatch):
     assert sorted(map(str, relations.evidence_documents(found, leaf).collect())) == want and len(want) == 80
 
 
+def test_evidence_moves_once_by_case(spark, monkeypatch):
+    day = lambda d: datetime(2024, 1, d)
+    rows = [(1, "n:5", "a", 0, "k", "a0", t, False) for t in (day(3), None, day(2), day(2))]
+    rows += [(1, "n:5", "b", 0, "k", d, None, False) for d in ("b0", "b0", None)] + [(None, "n:5", "b", 0, "k", "b1", None, False)]
+    rows += [(1, f"n:{v}", "a", 0, "other", "a0", None, False) for v in range(100, 150)]
+    leaf = spark.createDataFrame(rows, LEAF)
+    found = cut_lineage(relations.relation_instances(leaf))
+    out = relations.evidence_documents(found, leaf)
+    dealt = {x.split("hashpartitioning(")[1] for x in _plan(out).splitlines() if "hashpartitioning(case_id#" in x}
+    assert len(dealt) == 1 and "norm#" not in dealt.pop() and "SortMergeJoin" not in _plan(out)
+    want = [("a0", 1, day(2)), ("b0", 2, None), (None, 2, None)]
+    assert sorted(((r.doc, r.side, r.ts) for r in out.collect()), key=str) == sorted(want, key=str)
+    # Cases with many rows, and values with many, take other routes.
+    for least in (1, 20):
+        monkeypatch.setattr(skew, "HOT_MIN_ROWS", least)
+        again = relations.evidence_documents(relations.relation_instances(leaf), leaf)
+        assert sorted(((r.doc, r.side, r.ts) for r in again.collect()), key=str) == sorted(want, key=str)
+
+
 def test_cells_of_a_value_meet_in_one_pass(spark):
     rows = [(1, "n:5", t, v, k, f"{t}{v}", None, False) for t, v in (("a", 0), ("a", 1), ("b", 0)) for k in ("k", "l")]
     rows += [(c, n, t, 0, "k", t, None, False) for c, n in ((None, "n:5"), (1, None), (2, "n:9")) for t in ("a", "b") if (c, t) != (2, "b")]
